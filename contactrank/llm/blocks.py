@@ -80,52 +80,68 @@ def runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(ids[a]), int(a), int(b)) for a, b in zip(lo, hi, strict=True)]
 
 
-def answer(asked: DataFrame, decide: Callable[[list[bytes]], list[bytes]], tag: int = 0) -> DataFrame:
-    """Runs decide(all messages of a bucket) -> one answer each, in order; rows (block, bucket, tag, data)."""
+def answer(asked: DataFrame, decide: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """Runs decide(all messages of a bucket) -> one answer each, in order. A negative bucket only returns its message."""
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        out = decide([x.as_py() for x in table["data"]])
-        n = table.num_rows
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "tag": pa.array([tag] * n, pa.int32()), "data": pa.array(out, pa.binary())})
+        if key[0].as_py() >= 0:
+            table = table.set_column(2, "data", pa.array(decide(table["data"].to_pylist()), pa.binary()))
+        return table.select(["bucket", "block", "data"])
 
-    return asked.groupBy("bucket").applyInArrow(one, "block long, bucket long, tag int, data binary")
+    return asked.groupBy("bucket").applyInArrow(one, MESSAGE)
 
 
-def answers_of(table: pa.Table, tag: int = 0) -> list[bytes]:
-    """A block's answers with this tag, in key order."""
-    got = [(b, d) for b, t, d in zip(table["bucket"].to_pylist(), table["tag"].to_pylist(), table["data"].to_pylist(), strict=True) if t == tag]
+def answers_of(table: pa.Table) -> list[bytes]:
+    """A block's answers in key order."""
+    got = [(b, d) for b, d in zip(table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True) if b >= 0]
     return [d for _, d in sorted(got, key=lambda x: x[0])]
 
 
-def repeated(per_message: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each message's distinct keys: their total count over all messages, at most 255."""
-    sizes = [len(k) for k in per_message]
-    keys = np.concatenate(per_message) if per_message else np.zeros(0, np.uint64)
-    if not len(keys):
-        return [np.zeros(0, np.uint8) for _ in per_message]
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq))
-    return np.split(np.minimum(total, 255).astype(np.uint8)[inverse], np.cumsum(sizes)[:-1])
+#: Counts travel as bytes where only "more than once" matters, else as four byte planes.
+def _planes(values: np.ndarray, wide: bool) -> bytes:
+    if not wide:
+        return np.minimum(values, 255).astype(np.uint8).tobytes()
+    return np.ascontiguousarray(np.minimum(values, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts inside the block, at most 255."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + pack(keys)
+def counts_in(data: bytes | memoryview, wide: bool = False) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not wide:
+        return raw
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.uint32)
 
 
-def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 9
-    return unpack(memoryview(data)[n:]), np.frombuffer(data, np.uint8, n)
+def counter(wide: bool = False) -> Callable[[list[bytes]], list[bytes]]:
+    """decide() that answers each key with its count over all blocks (of at most 255 unless wide)."""
+    width = 4 if wide else 1
 
+    def decide(data: list[bytes]) -> list[bytes]:
+        size = [len(d) // (8 + width) for d in data]
+        keys = np.concatenate([unpack(memoryview(d)[n * width :]) for d, n in zip(data, size, strict=True)])
+        counts = np.concatenate([counts_in(memoryview(d)[: n * width], wide) for d, n in zip(data, size, strict=True)])
+        uniq, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)[inverse]
+        return [_planes(x, wide) for x in np.split(total, np.cumsum(size)[:-1])]
 
-def count_keys(data: list[bytes]) -> list[bytes]:
-    """decide() for counts."""
-    parts = [decode(d) for d in data]
-    return [x.tobytes() for x in repeated([k for k, _ in parts], [c for _, c in parts])]
+    return decide
 
 
-def ask(block: int, keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray]) -> pa.Table:
-    """Messages for a block's keys, and the order in which answers() puts them."""
+def ask(block: int, keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray], wide: bool = False, state: bytes | None = None) -> pa.Table:
+    """Messages with a block's distinct keys and counts; state: what comes back to the block as it is."""
     uniq, counts = np.unique(keys, return_counts=True)
-    return messages((b, block, encode(uniq[lo:hi], counts[lo:hi])) for b, lo, hi in runs(bucket_of(uniq)))
+    out = [(b, block, _planes(counts[lo:hi], wide) + pack(uniq[lo:hi])) for b, lo, hi in runs(bucket_of(uniq))]
+    if state is not None:
+        out.append((-1 - block, block, state))
+    return messages(out)
+
+
+def counts_for(keys: np.ndarray, answers: pa.Table, wide: bool = False) -> np.ndarray:
+    """The corpus-wide count of each of the keys that the block asked for."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    _, inverse = np.unique(keys, return_inverse=True)
+    return np.concatenate([counts_in(d, wide) for d in answers_of(answers)])[inverse].astype(np.int64)
+
+
+def state_of(answers: pa.Table) -> bytes:
+    return next((d for b, d in zip(answers["bucket"].to_pylist(), answers["data"].to_pylist(), strict=True) if b < 0), b"")

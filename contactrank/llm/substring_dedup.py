@@ -135,13 +135,10 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        order = pc.sort_indices(pc.fill_null(pc.struct_field(table["row"], text), ""))
-        table = table.take(order)
         words = words_of(table)
         at, keys = suffix_keys(words, window)
-        _, inverse = np.unique(keys, return_inverse=True)
-        leaves = np.frombuffer(b"".join(B.answers_of(answers)), np.uint8)
-        drop = P.covered(len(words), at[leaves[inverse] > 1], window) if len(at) else np.zeros(len(words), bool)
+        leaves = B.counts_for(keys, answers)
+        drop = P.covered(len(words), at[leaves > 1], window)
         data = words.data.tobytes()
         kept, removed, counts = [], [], []
         for d in range(table.num_rows):
@@ -158,5 +155,5 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS)])
     asked = rows.groupBy("block").applyInArrow(send, B.MESSAGE)
-    replies = B.answer(asked, B.count_keys)
+    replies = B.answer(asked, B.counter())
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
