@@ -26,8 +26,15 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.ngram_join import jaccard_components
+
+    out = jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup, op9_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
