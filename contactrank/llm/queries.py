@@ -33,8 +33,28 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.decontamination import contaminated
+
+    out = contaminated(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return out.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op10_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from contactrank.llm.bpe import decode, encode
+
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup, op9_ngram_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup, op8_benchmark_decontamination, op9_ngram_join, op10_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
