@@ -98,7 +98,7 @@ def answers_of(table: pa.Table) -> list[bytes]:
 
 
 #: Counts travel as bytes where only "more than once" matters, else as four byte planes.
-def _planes(values: np.ndarray, wide: bool) -> bytes:
+def planes(values: np.ndarray, wide: bool) -> bytes:
     if not wide:
         return np.minimum(values, 255).astype(np.uint8).tobytes()
     return np.ascontiguousarray(np.minimum(values, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -121,7 +121,7 @@ def counter(wide: bool = False) -> Callable[[list[bytes]], list[bytes]]:
         counts = np.concatenate([counts_in(memoryview(d)[: n * width], wide) for d, n in zip(data, size, strict=True)])
         uniq, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)[inverse]
-        return [_planes(x, wide) for x in np.split(total, np.cumsum(size)[:-1])]
+        return [planes(x, wide) for x in np.split(total, np.cumsum(size)[:-1])]
 
     return decide
 
@@ -129,7 +129,7 @@ def counter(wide: bool = False) -> Callable[[list[bytes]], list[bytes]]:
 def ask(block: int, keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray], wide: bool = False, state: bytes | None = None) -> pa.Table:
     """Messages with a block's distinct keys and counts; state: what comes back to the block as it is."""
     uniq, counts = np.unique(keys, return_counts=True)
-    out = [(b, block, _planes(counts[lo:hi], wide) + pack(uniq[lo:hi])) for b, lo, hi in runs(bucket_of(uniq))]
+    out = [(b, block, planes(counts[lo:hi], wide) + pack(uniq[lo:hi])) for b, lo, hi in runs(bucket_of(uniq))]
     if state is not None:
         out.append((-1 - block, block, state))
     return messages(out)

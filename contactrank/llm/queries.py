@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,34 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(mod: int) -> Column:
+    """True for the rows whose crc32(doc_id as text) leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == 2, F.lit(False))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.lm_scoring import lm_score
+
+    out = lm_score(_read(spark, sf_dir, "documents").select("doc_id", "text"), ~_fold(7))
+    return out.select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").withColumn("held_out", _fold(7))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.language_id import predict_language
+
+    out = predict_language(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~_fold(4))
+    return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", _fold(4))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.quality_classifier import score_quality, train_quality
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"), ~_fold(4))
+    out = score_quality(docs, model).select("row.doc_id", "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int")).withColumn("held_out", _fold(4))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactrank.llm.line_rules import quality_rules
 
@@ -79,7 +107,8 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op4_quality_rules, op6_suffix_array_dedup, op8_benchmark_decontamination, op9_ngram_join, op10_bpe_encoding)}
+    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op10_bpe_encoding)
+    return {f.__name__: f for f in made}
 
 
 OP2_SQL = r"""
