@@ -165,10 +165,11 @@ class Geometry:
         return np.flatnonzero(out)
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, per_bucket: int = B.BUCKET_KEYS) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, per_bucket: int = B.BUCKET_KEYS, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a `size`-byte string that also starts anywhere else.
 
     Returns row (the input's columns), kept (binary: the bytes left), n_bytes, n_removed and removed (spans of bytes).
+    as_text: kept is a string without the bytes of characters that a cut went through.
     """
     total = B.total_bytes(docs, text)
     v, cover = cover_for(size)
@@ -233,10 +234,10 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200,
             kept.append(g.data[lo:hi][~drop[lo:hi]].tobytes())
         counts = np.array(counts, np.int64).reshape(-1, 2)
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"row": table["row"], "kept": pa.array(kept, pa.binary()), "n_bytes": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, spans)})
+        return pa.table({"row": table["row"], "kept": pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "n_bytes": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, spans)})
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
     of_block = rows.groupBy("block")
     ranks = B.answer(of_block.applyInArrow(send_sample, B.MESSAGE), B.counter())
     anchors = B.answer(of_block.cogroup(ranks.groupBy("block")).applyInArrow(send_anchors, B.MESSAGE), B.counter(wide=True))
