@@ -36,7 +36,7 @@ from contactrank.llm.substring_dedup import slices
 CACHE = 300_000
 #: White space as the tokenizer's pattern has it; Python's split() has four control characters more.
 _MORE_SPACE = regex.compile("[\x1c-\x1f]")
-_SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile("[" + "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 
 
 def byte_alphabet() -> list[str]:
