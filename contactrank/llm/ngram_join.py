@@ -4,14 +4,11 @@
 2. The global n-gram order is by the number of classes that hold an n-gram, rare ones first. A pair that reaches
    the threshold shares an n-gram among the first |x| - ceil(t |x|) + 1 of both sets; n-grams of one class are
    nobody's, so most documents end here.
-3. The order is cut into fragments of equal weight. Each fragment counts the partial overlap of the pairs asked
-   for; a pair's partial overlaps are summed and compared with the threshold. A class without its hapaxes is all
-   that is moved, once per pair.
-4. Which pairs are asked: not all within a group. In every round, each shared n-gram's most central class that
-   has not had its turn is compared with those of the group that no earlier link connects to it. A
-   thousand near copies of a page take a thousand comparisons. As soon as the pairs left over are few for the
-   number of rows, all of them are compared in one last round. Pairs inside one component need no comparison, and
-   all others are compared, so the components are those of the complete join.
+3. The order is cut into fragments by powers of two of the counts. Partial overlaps are counted fragment by fragment,
+   from the fragment's inverted lists, and summed per pair; a class's n-grams of its own never take part.
+4. Classes that share a prefix n-gram form a group, dealt in blocks of bounded size. Not all its pairs are compared or
+   sent: the most central class is compared with all, then those that are left outside the largest component. A pair
+   is skipped only inside one component, so the components are those of the complete join. A task returns a forest.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing and are their
 own component; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; a
@@ -33,7 +30,10 @@ from contactrank.llm.components import checkpoint, components
 from contactrank.llm.substring_dedup import slices
 
 _U = np.uint64
-FRAGMENTS = 16
+#: Text in one block of documents.
+BLOCK_BYTES = 2 << 20
+#: N-grams in one block of a group; a task holds two blocks.
+BLOCK_GRAMS = 1_500_000
 #: Bits of a fingerprint by which occurrences are counted; the count only orders n-grams.
 _COUNT_SHIFT = _U(16)
 
@@ -78,10 +78,10 @@ def set_classes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """cls, n, central, prefix (n-grams that a partner may share), grams (count and fingerprint of all that others hold too)."""
+    """cls, n, m (n-grams not of this class alone), central, prefix (n-grams that a partner may share), grams (count and fingerprint of all that others hold too)."""
     num, den = threshold
     n_bytes = B.total_bytes(docs, text)
-    n_blocks = max(8, -(-n_bytes // B.BLOCK_BYTES))
+    n_blocks = max(8, -(-n_bytes // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).alias("block")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).withColumn("block", place)
     chosen = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th", "cls").withColumn("block", place)
@@ -107,7 +107,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
         order = np.lexsort((keys, counts, doc))
         doc, keys, counts = doc[order], keys[order], counts[order]
         bounds = np.searchsorted(doc, np.arange(len(cls) + 1))
-        out: dict[str, list] = {c: [] for c in ("cls", "n", "central", "prefix", "counts", "grams")}
+        out: dict[str, list] = {c: [] for c in ("cls", "n", "m", "central", "prefix", "counts", "grams")}
         for d, c in enumerate(cls.tolist()):
             lo, hi = bounds[d], bounds[d + 1]
             n = hi - lo
@@ -116,94 +116,119 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
             if alone < length:
                 out["cls"].append(c)
                 out["n"].append(n)
+                out["m"].append(n - alone)
                 out["central"].append(float(counts[lo:hi].sum()) / n)
                 out["prefix"].append(keys[lo + alone : lo + length].view(np.int64))
                 out["counts"].append(counts[lo + alone : hi].astype(np.int16))
                 out["grams"].append(keys[lo + alone : hi].view(np.int64))
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), types, strict=True)})
 
     asked = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, B.MESSAGE)
     counted = B.answer(asked, B.counter())
-    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, central double, prefix array<long>, counts array<short>, grams array<long>")
-
-
-def _cut(sets: DataFrame, fragments: int) -> DataFrame:
-    """(cls, fragment, grams): the global order (count, fingerprint) in fragments of about equal weight.
-
-    The pivots come from the number of n-grams of each count: at most 256 rows on the driver.
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, m long, central double, prefix array<long>, counts array<short>, grams array<long>")
+
+
+def _groups(tokens: DataFrame) -> DataFrame:
+    """(token, weight) of tokens with two or more classes; of those with equal members one stays."""
+    members = F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")), F.sum(F.xxhash64("cls", F.lit(2)).cast("decimal(38,0)"))
+    groups = tokens.groupBy("token").agg(F.count("*").alias("k"), F.sum("m").alias("weight"), *(m.alias(f"s{i}") for i, m in enumerate(members)))
+    return groups.where("k > 1").groupBy("k", "s0", "s1").agg(F.min("token").alias("token"), F.min("weight").alias("weight")).select("token", "weight")
+
+
+class _Group:
+    """Classes that share an n-gram of their prefixes: partial overlaps by fragment of the global order."""
+
+    def __init__(self, cls: np.ndarray, n: np.ndarray, m: np.ndarray, central: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]):
+        self.cls, self.n, self.m, self.central = cls, n, m, central
+        sizes = np.array([len(g) for g in grams])
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        _, self.ids = np.unique(np.concatenate(grams), return_inverse=True)
+        self.fragment = np.frexp(np.concatenate(counts).astype(np.float64))[1]  # by powers of two of the count
+        member = np.repeat(np.arange(len(cls)), sizes)
+        order = np.argsort(self.ids, kind="stable")
+        self.posting = member[order]
+        self.start = np.searchsorted(self.ids[order], np.arange(self.ids.max() + 2))
+
+    def overlaps(self, a: int) -> np.ndarray:
+        """Overlap of a with every member: the partial overlaps of the fragments, summed."""
+        ids, fragment = (x[self.bounds[a] : self.bounds[a + 1]] for x in (self.ids, self.fragment))
+        total = np.zeros(len(self.cls), np.int64)
+        for f in np.unique(fragment):
+            holders = [self.posting[self.start[i] : self.start[i + 1]] for i in ids[fragment == f]]
+            total += np.bincount(np.concatenate(holders), minlength=len(total))
+        return total
+
+    def links(self, num: int, den: int) -> list[tuple[int, int]]:
+        """A forest with the components of the group's similar pairs.
+
+        The most central member is compared with all others. Then members outside the largest component are, until
+        every pair is inside one component or compared.
+        """
+        k = len(self.cls)
+        comp, done, out = np.arange(k), np.zeros(k, bool), []
+        a = int(np.lexsort((self.cls, -self.central))[0])
+        while True:
+            done[a] = True
+            other = (comp != comp[a]) & (np.minimum(self.m, self.m[a]) * (num + den) >= (self.n + self.n[a]) * num)
+            if other.any():
+                for b in np.flatnonzero(other & (self.overlaps(a) * (num + den) >= (self.n + self.n[a]) * num)).tolist():
+                    if comp[b] != comp[a]:
+                        out.append((a, b))
+                        comp[comp == comp[b]] = comp[a]
+            size = np.bincount(comp, minlength=k)
+            left = np.flatnonzero(~done & (comp != size.argmax()))
+            if not len(left):
+                return out
+            a = int(left[np.argmin(size[comp[left]])])
+
+
+def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): similar classes, enough of them to connect all that the complete join would.
+
+    A group of more than BLOCK_GRAMS n-grams is cut into blocks of members, and each pair of blocks is compared on its
+    own, so no task holds more than two blocks.
     """
-    weight = {r["c"]: r["w"] for r in sets.select(F.explode("counts").alias("c")).groupBy("c").agg(F.count("*").alias("w")).collect()}
-    share = max(1, sum(weight.values()) // fragments)
-    parts, base, at, filled = {}, {}, 0, 0
-    for c in sorted(weight):
-        if filled and filled + weight[c] > share:
-            at, filled = at + 1, 0
-        base[c], parts[c] = at, max(1, weight[c] // share)
-        at, filled = (at + parts[c], 0) if parts[c] > 1 else (at, filled + weight[c])
-    first, cells = np.zeros(256, np.int64), np.ones(256, np.int64)
-    first[list(base)], cells[list(parts)] = list(base.values()), list(parts.values())
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for c, counts, grams in zip(*(batch.column(k) for k in ("cls", "counts", "grams")), strict=True):
-                counts, grams = counts.values.to_numpy(), grams.values.to_numpy()
-                cell = ((grams.view(np.uint64) >> _U(33)) * cells[counts].astype(np.uint64)) >> _U(31)
-                for f, lo, hi in B.runs(first[counts] + cell.astype(np.int64)):
-                    for column, value in zip(out, (c.as_py(), f, grams[lo:hi]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["cls", "fragment", "grams"])
-
-    return sets.select("cls", "counts", "grams").mapInArrow(split, "cls long, fragment int, grams array<long>")
-
-
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap): partial overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
-    part = pairs.join(right, "b").join(left, ["a", "fragment"])
-    return part.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10), fragments: int = FRAGMENTS, max_rounds: int = 12) -> DataFrame:
+    num, den = threshold
+    tokens = sets.select("cls", "m", F.explode("prefix").alias("token"))
+    n_blocks = F.ceil(F.col("weight") / BLOCK_GRAMS).cast("int")
+    rows = tokens.join(_groups(tokens), "token").select("cls", "m", "token", n_blocks.alias("n_blocks"))
+    mine = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    rows = rows.select("cls", "m", "token", mine.alias("mine"), other)
+    rows = rows.select("cls", "m", F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    rows = checkpoint(rows)
+    work = rows.agg(F.sum("m")).first()[0] or 0
+    rows = rows.drop("m").join(sets.select("cls", "n", "m", "central", "counts", "grams"), "cls")
+    rows = rows.withColumn("w", F.pmod(F.xxhash64("g"), F.lit(int(max(16, work // BLOCK_GRAMS)))))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("g")
+        c = {k: table[k].combine_chunks() for k in ("cls", "n", "m", "central", "counts", "grams")}
+        c = {k: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for k, v in c.items()}
+        flat = {k: (c[k].offsets.to_numpy(), c[k].values.to_numpy()) for k in ("counts", "grams")}
+        plain = {k: c[k].to_numpy() for k in ("cls", "n", "m", "central")}
+        a, b = [], []
+        for _, lo, hi in B.runs(table["g"].to_numpy()):
+            if hi - lo > 1:
+                cut = {k: [v[o[i] : o[i + 1]] for i in range(lo, hi)] for k, (o, v) in flat.items()}
+                group = _Group(*(v[lo:hi] for v in plain.values()), cut["grams"], cut["counts"])
+                for x, y in group.links(num, den):
+                    a.append(group.cls[x])
+                    b.append(group.cls[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("w", "g", "cls", "n", "m", "central", "counts", "grams").groupBy("w").applyInArrow(compare, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
     """(id, th, n, cls, component): documents linked, directly or through others, by Jaccard >= num / den.
 
-    component is the least id reachable. After max_rounds rounds of central comparisons the rest are compared at once.
+    component is the least id reachable; th is xxhash64 of the text.
     """
-    num, den = threshold
     members = checkpoint(set_classes(docs, id_col, text, size))
     sets = checkpoint(_candidate_sets(docs, members, id_col, text, size, threshold))
-    tokens = sets.select("cls", "n", "central", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    rest = checkpoint(tokens.join(shared, "token"))
-    segments = checkpoint(_cut(sets.join(rest.select("cls").distinct(), "cls", "left_semi"), fragments))
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "cls long, comp long")
-    n_rows = rest.count()
-    near = (F.col("ca") != F.col("cb")) & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    for r in range(max_rounds + 1):
-        now = rest.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-        open_pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if open_pairs == 0:
-            break
-        last = r == max_rounds or open_pairs <= 2 * n_rows
-        b = now.select("token", "central", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        if last:
-            a = now.select("token", F.col("central").alias("za"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            asked = b.join(a, "token").where(near & (F.struct("za", "a") > F.struct("central", "b")))
-        else:
-            hub = now.groupBy("token").agg(F.max(F.struct("central", "cls", "n", "comp")).alias("h"))
-            asked = b.join(hub.select("token", F.col("h.cls").alias("a"), F.col("h.n").alias("na"), F.col("h.comp").alias("ca")), "token").where(near)
-            rest = checkpoint(rest.join(hub.select("token", F.col("h.cls").alias("hub")), "token").where("cls <> hub").drop("hub"))
-        found = _overlaps(asked.select("a", "b", "na", "nb").distinct(), segments)
-        found = found.where(F.col("overlap") * (num + den) >= (F.col("na") + F.col("nb")) * num)
-        links = checkpoint(links.union(found.select("a", "b")))
-        labels = components(links).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-        if last:
-            break
+    labels = components(_links(sets, threshold)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
     whole = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
     return whole.join(least, "comp", "left").select("id", "th", "n", "cls", F.coalesce("component", "id").alias("component"))
