@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactrank.llm.blocks import whole_text_rows
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    whole_text_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -156,5 +159,49 @@ FROM o
 """
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, i, word, CASE WHEN count(*) OVER (PARTITION BY r) - i >= 34
+  THEN sha256(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM w),
+t AS (SELECT r, i, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS twice FROM g),
+c AS (SELECT r, i, word, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS inside FROM t)
+SELECT doc_id, count(word) AS n_words, count(word) FILTER (WHERE inside) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT inside), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (r) GROUP BY r, doc_id
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT r, item, least(10, len(w)) AS size, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM b),
+bs AS (SELECT item, size, i, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s FROM bw),
+win AS (SELECT DISTINCT item, size, s FROM bs WHERE i <= n - size + 1),
+dw AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ds AS (SELECT r, size, i, n, string_agg(word, ' ') OVER (PARTITION BY r, size ORDER BY i ROWS BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS s FROM dw, (SELECT DISTINCT size FROM win)),
+hit AS (SELECT r, i, ds.size, item FROM ds JOIN win ON ds.size = win.size AND ds.s = win.s WHERE i <= n - ds.size + 1),
+place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (r) LEFT JOIN item USING (r)
+"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM w),
+s AS (SELECT DISTINCT r, least(n, 3) AS size, s FROM g WHERE i <= greatest(n - 2, 1)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.size = b.size AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN both_ways ON q = a)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x.doc_id) AS component_id
+FROM reach JOIN d USING (r) JOIN d x ON x.r = q LEFT JOIN n ON n.r = d.r GROUP BY reach.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL}
