@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from contactrank.llm.substring_dedup import slices
 
 #: Words and fragments that a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: White space as the tokenizer's pattern has it; Python's split() has four control characters more.
 _MORE_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -88,13 +88,19 @@ class WordBpe:
 
     def merge(self, symbols: tuple[str, ...]) -> list[int]:
         """Ids of one fragment: the pair of least rank first, the leftmost of equals."""
-        part, ranks = list(symbols), self.ranks
-        while len(part) <= 40:
-            best = min(((ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(part, part[1:], strict=False))), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                return [self.ids[p] for p in part]
-            k = best[1]
-            part[k : k + 2] = [part[k] + part[k + 1]]
+        part, rank_of = list(symbols), self.ranks.get
+        if len(part) <= 64:
+            never = 1 << 60
+            ranks = [rank_of(p, never) for p in zip(part, part[1:], strict=False)]
+            while ranks and (best := min(ranks)) != never:
+                k = ranks.index(best)
+                part[k] += part.pop(k + 1)
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = rank_of((part[k - 1], part[k]), never)
+                if k < len(ranks):
+                    ranks[k] = rank_of((part[k], part[k + 1]), never)
+            return [self.ids[p] for p in part]
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap = [(r, k, p) for k, p in enumerate(zip(part, part[1:], strict=False)) if (r := self.ranks.get(p)) is not None]
         heapq.heapify(heap)
