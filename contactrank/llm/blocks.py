@@ -14,16 +14,23 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 3 << 20
-#: Keys that one bucket holds in memory, at 8 to 32 bytes each.
+#: Keys that one bucket holds in memory, at 8 to 48 bytes each. Larger inputs get larger buckets, up to a bound, so
+#: that messages (blocks times buckets) stay worth their overhead: 190 keys each at 50 GB of text.
 BUCKET_KEYS = 400_000
+MAX_BUCKET_KEYS = 3_200_000
 
 MESSAGE = "bucket long, block long, data binary"
 
 
+def whole_text_rows(spark: SparkSession) -> None:
+    """Arrow batches of few rows: a row is a whole document, and a batch is held in memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number to the driver."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -39,8 +46,12 @@ def _hashable(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
 
 
-def n_buckets(keys: float, per_bucket: int = BUCKET_KEYS) -> int:
-    return int(max(16, -(-keys // per_bucket)))
+def bucket_keys(keys: float) -> int:
+    return int(min(MAX_BUCKET_KEYS, max(BUCKET_KEYS, 40 * keys**0.5)))
+
+
+def n_buckets(keys: float, per_bucket: int | None = None) -> int:
+    return int(max(16, -(-keys // (per_bucket or bucket_keys(keys)))))
 
 
 def pack(keys: np.ndarray) -> bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from contactrank.llm.substring_dedup import slices
 
 #: Words and fragments that a worker remembers.
-CACHE = 200_000
+CACHE = 150_000
 #: White space as the tokenizer's pattern has it; Python's split() has four control characters more.
 _MORE_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -166,8 +166,11 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """row (the input's columns) and ids array<int> of every whole text."""
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """row (the input's columns) and ids array<int> of every whole text.
+
+    decoded: name of one more column, the text that the ids decode to, made by the same worker as the ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -177,11 +180,15 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 parts = [bpe.encode(t) if t else b"" for t in texts.to_pylist()]
                 ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(done, len(texts)), ids], ["row", "ids"])
+                columns = {"row": batch.column("row").slice(done, len(texts)), "ids": ids}
+                if decoded:
+                    columns[decoded] = pa.array([bpe.decode(np.frombuffer(p, np.int32)) for p in parts], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 done += len(texts)
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

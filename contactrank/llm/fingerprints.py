@@ -29,14 +29,19 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE_BYTE))
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Powers kept between calls; longer rows are made when needed, so that idle workers stay small.
+_KEPT = 1 << 20
+
+
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64, kept for the next call."""
+    """base ** 0 .. base ** (n - 1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        row = np.full(size, base, dtype=np.uint64)
+        row = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         row[0] = 1
-        have = _powers[base] = np.multiply.accumulate(row)
+        have = np.multiply.accumulate(row)
+        if len(have) <= _KEPT:
+            _powers[base] = have
     return have[:n]
 
 
@@ -110,6 +115,11 @@ class Words:
         return at, _between(prefix, at, at + size, _BASE_WORD)
 
 
+def sequences(prints: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the word sequences [start, end), given the words' own."""
+    return _between(_prefix(prints, _BASE_WORD), start, end, _BASE_WORD)
+
+
 def byte_windows(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """Fingerprints of data[s : s + size] for each s in start."""
     return _between(_prefix(_BYTE_VALUE[data], _BASE_BYTE), start, start + size, _BASE_BYTE)

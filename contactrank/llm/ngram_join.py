@@ -6,8 +6,8 @@
    nobody's, so most documents end here.
 3. The order is cut into fragments by powers of two of the counts. Partial overlaps are counted fragment by fragment,
    from the fragment's inverted lists, and summed per pair; a class's n-grams of its own never take part.
-4. Classes that share a prefix n-gram form a group, dealt in blocks of bounded size. Not all its pairs are compared or
-   sent: the most central class is compared with all, then those that are left outside the largest component. A pair
+4. Classes that are connected by prefix n-grams form a group, dealt in blocks of bounded size. Not all its pairs are
+   compared, and none are sent: the most central class is compared with all, then those that are left outside the largest component. A pair
    is skipped only inside one component, so the components are those of the complete join. A task returns a forest.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing and are their
@@ -33,9 +33,10 @@ _U = np.uint64
 #: Text in one block of documents.
 BLOCK_BYTES = 2 << 20
 #: N-grams in one block of a group; a task holds two blocks.
-BLOCK_GRAMS = 1_500_000
-#: Bits of a fingerprint by which occurrences are counted; the count only orders n-grams.
-_COUNT_SHIFT = _U(16)
+BLOCK_GRAMS = 500_000
+#: Occurrences are counted by a fingerprint's upper bits, this many more than the number of n-grams has. The count only
+#: orders n-grams, so the few that share these bits do no harm.
+SPARE_BITS = 12
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +87,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).withColumn("block", place)
     chosen = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th", "cls").withColumn("block", place)
     buckets = B.n_buckets(n_bytes / 6)
+    shift = _U(max(0, 64 - SPARE_BITS - max(20, int(n_bytes // 6).bit_length())))
 
     def send(key: tuple, table: pa.Table, reps: pa.Table) -> pa.Table:
         cls = {(i, h): c for i, h, c in zip(reps["id"].to_pylist(), reps["th"].to_pylist(), reps["cls"].to_pylist(), strict=True)}
@@ -96,14 +98,14 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
                 own.append(c)
         _, keys = shingle_sets(table["text"].take(pa.array(take, pa.int64())), size)
         state = np.array(own, np.int64).tobytes() + table["th"].take(pa.array(take, pa.int64())).to_numpy().astype(np.int64).tobytes()
-        return B.ask(key[0].as_py(), keys >> _COUNT_SHIFT << _COUNT_SHIFT, lambda k: B.even_bucket(k, buckets), state=state)
+        return B.ask(key[0].as_py(), keys >> shift << shift, lambda k: B.even_bucket(k, buckets), state=state)
 
     def prefixes(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         cls, th = np.frombuffer(B.state_of(answers), np.int64).reshape(2, -1)
         where = {h: k for k, h in enumerate(table["th"].to_pylist())}
         take = pa.array([where[h] for h in th.tolist()], pa.int64())
         doc, keys = shingle_sets(table["text"].take(take), size)
-        counts = B.counts_for(keys >> _COUNT_SHIFT << _COUNT_SHIFT, answers)
+        counts = B.counts_for(keys >> shift << shift, answers)
         order = np.lexsort((keys, counts, doc))
         doc, keys, counts = doc[order], keys[order], counts[order]
         bounds = np.searchsorted(doc, np.arange(len(cls) + 1))
@@ -129,15 +131,8 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, m long, central double, prefix array<long>, counts array<short>, grams array<long>")
 
 
-def _groups(tokens: DataFrame) -> DataFrame:
-    """(token, weight) of tokens with two or more classes; of those with equal members one stays."""
-    members = F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")), F.sum(F.xxhash64("cls", F.lit(2)).cast("decimal(38,0)"))
-    groups = tokens.groupBy("token").agg(F.count("*").alias("k"), F.sum("m").alias("weight"), *(m.alias(f"s{i}") for i, m in enumerate(members)))
-    return groups.where("k > 1").groupBy("k", "s0", "s1").agg(F.min("token").alias("token"), F.min("weight").alias("weight")).select("token", "weight")
-
-
 class _Group:
-    """Classes that share an n-gram of their prefixes: partial overlaps by fragment of the global order."""
+    """Classes that may be similar: partial overlaps by fragment of the global order."""
 
     def __init__(self, cls: np.ndarray, n: np.ndarray, m: np.ndarray, central: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]):
         self.cls, self.n, self.m, self.central = cls, n, m, central
@@ -186,18 +181,20 @@ class _Group:
 def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): similar classes, enough of them to connect all that the complete join would.
 
-    A group of more than BLOCK_GRAMS n-grams is cut into blocks of members, and each pair of blocks is compared on its
-    own, so no task holds more than two blocks.
+    Classes that are connected by shared prefix n-grams form a group and are sent once. A group of more than
+    BLOCK_GRAMS n-grams is cut into blocks of members, and each pair of blocks is compared on its own, so no task holds
+    more than two blocks.
     """
     num, den = threshold
-    tokens = sets.select("cls", "m", F.explode("prefix").alias("token"))
-    n_blocks = F.ceil(F.col("weight") / BLOCK_GRAMS).cast("int")
-    rows = tokens.join(_groups(tokens), "token").select("cls", "m", "token", n_blocks.alias("n_blocks"))
+    tokens = sets.select("cls", F.explode("prefix").alias("token"))
+    stars = tokens.join(tokens.groupBy("token").agg(F.min("cls").alias("hub")), "token").where("cls <> hub")
+    groups = components(stars.select("cls", "hub").distinct(), "cls", "hub").select(F.col("node").alias("cls"), F.col("component").alias("g"))
+    groups = checkpoint(groups.join(sets.select("cls", "m"), "cls"))
+    n_blocks = groups.groupBy("g").agg(F.ceil(F.sum("m") / BLOCK_GRAMS).cast("int").alias("n_blocks"))
     mine = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = rows.select("cls", "m", "token", mine.alias("mine"), other)
-    rows = rows.select("cls", "m", F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
-    rows = checkpoint(rows)
+    rows = groups.join(n_blocks, "g").select("cls", "m", "g", mine.alias("mine"), other)
+    rows = rows.select("cls", "m", F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
     work = rows.agg(F.sum("m")).first()[0] or 0
     rows = rows.drop("m").join(sets.select("cls", "n", "m", "central", "counts", "grams"), "cls")
     rows = rows.withColumn("w", F.pmod(F.xxhash64("g"), F.lit(int(max(16, work // BLOCK_GRAMS)))))

@@ -101,10 +101,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    from contactrank.llm.bpe import decode, encode
+    from contactrank.llm.bpe import encode
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 

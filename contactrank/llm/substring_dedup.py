@@ -76,7 +76,7 @@ def prefix_histogram(docs: DataFrame, text: str, window: int) -> np.ndarray:
     return out
 
 
-def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
     """Runs of texts of about `size` bytes, so that the arrays made from them stay small."""
     total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
     begin = 0
@@ -117,13 +117,14 @@ class PrefixGroups:
         return self.base[cell] + ((within * self.parts[cell].astype(np.uint64)) >> _U(32)).astype(np.int64)
 
 
-def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, per_group: int = B.BUCKET_KEYS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, per_group: int | None = None) -> DataFrame:
     """Removes every word covered by a window of `window` words whose words also start anywhere else.
 
     Returns row (the input's columns), kept (the words left, joined by one space), n_words, n_removed and removed
     (spans of word numbers).
     """
-    groups = PrefixGroups(prefix_histogram(docs, text, window), per_group)
+    histogram = prefix_histogram(docs, text, window)
+    groups = PrefixGroups(histogram, per_group or B.bucket_keys(float(histogram.sum())))
     rows = B.in_blocks(docs.select(F.struct("*").alias("row")), B.total_bytes(docs, text))
 
     def words_of(table: pa.Table) -> P.Words:

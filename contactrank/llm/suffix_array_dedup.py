@@ -165,7 +165,7 @@ class Geometry:
         return np.flatnonzero(out)
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, per_bucket: int = B.BUCKET_KEYS, as_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, per_bucket: int | None = None, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a `size`-byte string that also starts anywhere else.
 
     Returns row (the input's columns), kept (binary: the bytes left), n_bytes, n_removed and removed (spans of bytes).

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactrank.llm.bpe import decode, encode
+from contactrank.llm.blocks import whole_text_rows
+from contactrank.llm.bpe import encode
 from contactrank.llm.components import checkpoint
 from contactrank.llm.decontamination import contaminated
 from contactrank.llm.ngram_join import jaccard_components
@@ -22,6 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier scores under 0.7; it learns from three of four labelled rows."""
+    whole_text_rows(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     scored = score_quality(docs, train_quality(docs.select("doc_id", "text"), labels, train))
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The kept one has the least doc_id; of repeated rows with that id one stays. Documents without words, and rows
     without an id, are in no group and stay.
     """
+    whole_text_rows(spark)
     groups = jaccard_components(docs, size=5, threshold=(4, 5))
     keep = groups.where("cls is null or id = component").select(F.col("id").alias("doc_id"), F.col("th").alias("_th"))
     rows = docs.select(*COLUMNS).withColumn("_th", F.xxhash64("text"))
@@ -46,6 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A document of which nothing is left is dropped, unless it was empty before.
     """
+    whole_text_rows(spark)
     out = remove_repeated_bytes(docs.select(*COLUMNS), as_text=True)
     out = out.select("row.doc_id", F.when(F.col("row.text").isNotNull(), F.col("kept")).alias("text"), "row.lang", "row.source", "n_removed")
     out = out.where("n_removed = 0 or text <> ''")
@@ -54,16 +58,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of ten consecutive words of a benchmark item."""
+    whole_text_rows(spark)
     out = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
     return out.where(F.size("hits") == 0).select("row.*").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, ids (BPE), n_tokens and whether decoding gives the tokens' text again."""
+    whole_text_rows(spark)
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(docs.select(*COLUMNS), path), path)
+    out = encode(docs.select(*COLUMNS), path, decoded="decoded")
     return out.select("row.doc_id", "row.source", "row.lang", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

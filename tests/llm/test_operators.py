@@ -157,7 +157,8 @@ def test_bpe(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     texts = odd_texts(4) + ["Hi<|endoftext|>There <|STARTOFTEXT|> don't 1²½ ΑΣ İ ẞ", "<|startoftext|>", "a" * 3000, "!?" * 500, chr(0x85).join("ab"), "a" + chr(0x1C) + "b", "日本 👍🏽 e" + chr(0x301)]
-    got = decode(encode(clash(spark, texts), path), path).select("row.doc_id", "ids", "decoded").collect()
+    got = decode(encode(clash(spark, texts), path, decoded="at_once"), path).select("row.doc_id", "ids", "decoded", "at_once").collect()
+    assert all(r.decoded == r.at_once for r in got)
     for t, r in zip(texts, sorted(got, key=lambda r: r.doc_id), strict=True):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert (list(r.ids), r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
