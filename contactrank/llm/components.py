@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage into the folder that the cluster names; a folder of our own only where none is named."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

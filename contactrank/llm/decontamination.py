@@ -94,7 +94,7 @@ class WindowIndex:
             first = int(np.lexsort((own, n))[0])
             rare.append(own[first])
             offset.append(int(np.flatnonzero(own == own[first])[0]))
-            prints.append(P._between(P._prefix(own, P._BASE_WORD), np.array([0]), np.array([len(own)]), P._BASE_WORD)[0])
+            prints.append(P.sequences(own, np.array([0]), np.array([len(own)]))[0])
         order = np.argsort(np.array(rare, np.uint64), kind="stable")
         self.rare = np.array(rare, np.uint64)[order]
         self.window = order
@@ -115,8 +115,7 @@ class WindowIndex:
             ok = (start >= words.first[doc]) & (start + self.length[e] <= words.first[doc + 1])
             start, e = start[ok], e[ok]
             if len(e):
-                prefix = P._prefix(prints, P._BASE_WORD)
-                ok = P._between(prefix, start, start + self.length[e], P._BASE_WORD) == self.print[e]
+                ok = P.sequences(prints, start, start + self.length[e]) == self.print[e]
                 for s, w in zip(start[ok].tolist(), self.window[e[ok]].tolist(), strict=True):
                     if all(words.data[a:b].tobytes() == x for a, b, x in zip(words.start[s : s + len(self.words[w])], words.end[s:], self.words[w], strict=False)):
                         yield s, w
