@@ -6,12 +6,14 @@
    nobody's, so most documents end here.
 3. The order is cut into fragments by powers of two of the counts. Partial overlaps are counted fragment by fragment,
    from the fragment's inverted lists, and summed per pair; a class's n-grams of its own never take part.
-4. Classes that are connected by prefix n-grams form a group, dealt in blocks of bounded size. Not all its pairs are
-   compared, and none are sent: the most central class is compared with all, then those that are left outside the largest component. A pair
-   is skipped only inside one component, so the components are those of the complete join. A task returns a forest.
+4. Classes that are connected by prefix n-grams form a group, dealt in blocks of bounded size. All its pairs of classes
+   that the length filter leaves are compared, and none are sent: a task returns the number of each class's similar
+   rows, added up over the pairs of blocks, and a forest for the components.
+5. Where only components are asked for (complete=False), the most central class is compared with all, then those that
+   are left outside the largest component. A pair is skipped only inside one component, so the components are the same.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing and are their
-own component; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; a
+own component with no links; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; a
 null id counts after every other id; an empty table gives none.
 """
 
@@ -37,6 +39,10 @@ BLOCK_GRAMS = 500_000
 #: Occurrences are counted by a fingerprint's upper bits, this many more than the number of n-grams has. The count only
 #: orders n-grams, so the few that share these bits do no harm.
 SPARE_BITS = 12
+#: Pairs that are compared at once.
+PAIRS = 1 << 21
+#: A member's side where a group's pairs are those inside one block.
+WITHIN = 2
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,29 +85,29 @@ def set_classes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """cls, n, m (n-grams not of this class alone), central, prefix (n-grams that a partner may share), grams (count and fingerprint of all that others hold too)."""
+    """cls, n, size (rows), m (n-grams not of this class alone), central, prefix (n-grams that a partner may share), grams (count and fingerprint of all that others hold too)."""
     num, den = threshold
     n_bytes = B.total_bytes(docs, text)
     n_blocks = max(8, -(-n_bytes // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).alias("block")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).withColumn("block", place)
-    chosen = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th", "cls").withColumn("block", place)
+    chosen = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size")).select("first.id", "first.th", "cls", "size").withColumn("block", place)
     buckets = B.n_buckets(n_bytes / 6)
     shift = _U(max(0, 64 - SPARE_BITS - max(20, int(n_bytes // 6).bit_length())))
 
     def send(key: tuple, table: pa.Table, reps: pa.Table) -> pa.Table:
-        cls = {(i, h): c for i, h, c in zip(reps["id"].to_pylist(), reps["th"].to_pylist(), reps["cls"].to_pylist(), strict=True)}
+        cls = {(i, h): (c, s) for i, h, c, s in zip(*(reps[k].to_pylist() for k in ("id", "th", "cls", "size")), strict=True)}
         take, own = [], []
         for k, pair in enumerate(zip(table["id"].to_pylist(), table["th"].to_pylist(), strict=True)):
             if (c := cls.pop(pair, None)) is not None:
                 take.append(k)
                 own.append(c)
         _, keys = shingle_sets(table["text"].take(pa.array(take, pa.int64())), size)
-        state = np.array(own, np.int64).tobytes() + table["th"].take(pa.array(take, pa.int64())).to_numpy().astype(np.int64).tobytes()
+        state = np.array(own, np.int64).reshape(-1, 2).T.tobytes() + table["th"].take(pa.array(take, pa.int64())).to_numpy().astype(np.int64).tobytes()
         return B.ask(key[0].as_py(), keys >> shift << shift, lambda k: B.even_bucket(k, buckets), state=state)
 
     def prefixes(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        cls, th = np.frombuffer(B.state_of(answers), np.int64).reshape(2, -1)
+        cls, rows_of, th = np.frombuffer(B.state_of(answers), np.int64).reshape(3, -1)
         where = {h: k for k, h in enumerate(table["th"].to_pylist())}
         take = pa.array([where[h] for h in th.tolist()], pa.int64())
         doc, keys = shingle_sets(table["text"].take(take), size)
@@ -109,7 +115,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
         order = np.lexsort((keys, counts, doc))
         doc, keys, counts = doc[order], keys[order], counts[order]
         bounds = np.searchsorted(doc, np.arange(len(cls) + 1))
-        out: dict[str, list] = {c: [] for c in ("cls", "n", "m", "central", "prefix", "counts", "grams")}
+        out: dict[str, list] = {c: [] for c in ("cls", "n", "size", "m", "central", "prefix", "counts", "grams")}
         for d, c in enumerate(cls.tolist()):
             lo, hi = bounds[d], bounds[d + 1]
             n = hi - lo
@@ -118,24 +124,25 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
             if alone < length:
                 out["cls"].append(c)
                 out["n"].append(n)
+                out["size"].append(rows_of[d])
                 out["m"].append(n - alone)
                 out["central"].append(float(counts[lo:hi].sum()) / n)
                 out["prefix"].append(keys[lo + alone : lo + length].view(np.int64))
                 out["counts"].append(counts[lo + alone : hi].astype(np.int16))
                 out["grams"].append(keys[lo + alone : hi].view(np.int64))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), types, strict=True)})
 
     asked = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, B.MESSAGE)
     counted = B.answer(asked, B.counter())
-    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, m long, central double, prefix array<long>, counts array<short>, grams array<long>")
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, size long, m long, central double, prefix array<long>, counts array<short>, grams array<long>")
 
 
 class _Group:
-    """Classes that may be similar: partial overlaps by fragment of the global order."""
+    """Classes that may be similar: those of one block (side WITHIN), or of two (sides 0 and 1)."""
 
-    def __init__(self, cls: np.ndarray, n: np.ndarray, m: np.ndarray, central: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.cls, self.n, self.m, self.central = cls, n, m, central
+    def __init__(self, cls: np.ndarray, n: np.ndarray, size: np.ndarray, m: np.ndarray, central: np.ndarray, side: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]):
+        self.cls, self.n, self.size, self.m, self.central, self.side = cls, n, size, m, central, side
         sizes = np.array([len(g) for g in grams])
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         _, self.ids = np.unique(np.concatenate(grams), return_inverse=True)
@@ -154,6 +161,63 @@ class _Group:
             total += np.bincount(np.concatenate(holders), minlength=len(total))
         return total
 
+    def complete(self, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """A forest with the components of all similar pairs, and each member's number of similar rows.
+
+        Pairs of one block, or those across two. Members are ordered by set size, so the length filter leaves a range
+        of partners. N-grams that many members hold are counted by a product of matrices, others from their lists.
+        """
+        k = len(self.cls)
+        order = np.lexsort((self.n, self.side))
+        place = np.empty(k, np.int64)
+        place[order] = np.arange(k)
+        n, size, within = self.n[order], self.size[order].astype(np.float64), self.side[0] == WITHIN
+        cut = 0 if within else int((self.side == 0).sum())
+        rows = k if within else cut
+        held = np.diff(self.start)
+        common = held >= max(2, k / 8)
+        posting, of = place[self.posting], np.repeat(np.arange(len(held)), held)
+        dense = np.zeros((k, int(common.sum())), np.float32)
+        dense[posting[common[of]], (np.cumsum(common) - 1)[of[common[of]]]] = 1
+        few = ~common & (held > 1)
+        owner, gram = posting[few[of]], of[few[of]]
+        by_owner = np.argsort(owner, kind="stable")
+        owner, gram = owner[by_owner], gram[by_owner]
+        upto = np.searchsorted(owner, np.arange(k + 1))
+        most = int(np.bincount(owner, weights=held[gram], minlength=1).max())
+        step = max(1, PAIRS // max(k, most))
+        comp, links, out, flag = np.arange(k), np.zeros(k), [], np.zeros(k, bool)
+        for lo in range(0, rows, step):
+            hi = min(rows, lo + step)
+            first = cut + int(np.searchsorted(n[cut:] * den, n[lo] * num))
+            last = hi if within else cut + int(np.searchsorted(n[cut:] * num, n[hi - 1] * den, "right"))
+            if last <= first:
+                continue
+            overlap = dense[lo:hi] @ dense[first:last].T
+            g = gram[upto[lo] : upto[hi]]
+            many = held[g]
+            if many.sum():
+                at = np.repeat(self.start[g] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                row, partner = np.repeat(owner[upto[lo] : upto[hi]] - lo, many), posting[at]
+                inside = (partner >= first) & (partner < last)
+                overlap += np.bincount(row[inside] * (last - first) + partner[inside] - first, minlength=overlap.size).reshape(overlap.shape)
+            similar = overlap >= -(-(n[lo:hi, None] + n[None, first:last]) * num // (num + den))
+            if within:
+                similar &= np.arange(first, last) < np.arange(lo, hi)[:, None]
+            weight = similar.astype(np.float64)
+            links[lo:hi] += weight @ size[first:last]
+            links[first:last] += size[lo:hi] @ weight
+            for r in np.flatnonzero(similar.any(1)).tolist():
+                b = first + np.flatnonzero(similar[r])
+                b = b[comp[b] != comp[lo + r]]
+                if len(b):
+                    joined, one_each = np.unique(comp[b], return_index=True)
+                    out += [(int(order[lo + r]), int(order[x])) for x in b[one_each]]
+                    flag[joined] = True
+                    comp[flag[comp]] = comp[lo + r]
+                    flag[joined] = False
+        return out, np.rint(links).astype(np.int64)[place]
+
     def links(self, num: int, den: int) -> list[tuple[int, int]]:
         """A forest with the components of the group's similar pairs.
 
@@ -178,14 +242,17 @@ class _Group:
             a = int(left[np.argmin(size[comp[left]])])
 
 
-def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b): similar classes, enough of them to connect all that the complete join would.
+def _links(sets: DataFrame, threshold: tuple[int, int], complete: bool) -> DataFrame:
+    """(a, b, links): similar classes, enough of them to connect all that the complete join would.
+
+    If complete, also rows without b: a's number of similar rows in one pair of blocks; their sum is the complete join's.
 
     Classes that are connected by shared prefix n-grams form a group and are sent once. A group of more than
     BLOCK_GRAMS n-grams is cut into blocks of members, and each pair of blocks is compared on its own, so no task holds
     more than two blocks.
     """
     num, den = threshold
+    scalars = ("cls", "n", "size", "m", "central", "side")
     tokens = sets.select("cls", F.explode("prefix").alias("token"))
     stars = tokens.join(tokens.groupBy("token").agg(F.min("cls").alias("hub")), "token").where("cls <> hub")
     groups = components(stars.select("cls", "hub").distinct(), "cls", "hub").select(F.col("node").alias("cls"), F.col("component").alias("g"))
@@ -194,38 +261,49 @@ def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     mine = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     rows = groups.join(n_blocks, "g").select("cls", "m", "g", mine.alias("mine"), other)
-    rows = rows.select("cls", "m", F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    side = F.when(F.col("mine") == F.col("other"), WITHIN).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    rows = rows.select("cls", "m", side.alias("side"), F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
     work = rows.agg(F.sum("m")).first()[0] or 0
-    rows = rows.drop("m").join(sets.select("cls", "n", "m", "central", "counts", "grams"), "cls")
+    rows = rows.drop("m").join(sets.select("cls", "n", "size", "m", "central", "counts", "grams"), "cls")
     rows = rows.withColumn("w", F.pmod(F.xxhash64("g"), F.lit(int(max(16, work // BLOCK_GRAMS)))))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("g")
-        c = {k: table[k].combine_chunks() for k in ("cls", "n", "m", "central", "counts", "grams")}
+        c = {k: table[k].combine_chunks() for k in (*scalars, "counts", "grams")}
         c = {k: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for k, v in c.items()}
         flat = {k: (c[k].offsets.to_numpy(), c[k].values.to_numpy()) for k in ("counts", "grams")}
-        plain = {k: c[k].to_numpy() for k in ("cls", "n", "m", "central")}
-        a, b = [], []
+        plain = {k: c[k].to_numpy() for k in scalars}
+        a, b, n_links = [], [], []
         for _, lo, hi in B.runs(table["g"].to_numpy()):
             if hi - lo > 1:
                 cut = {k: [v[o[i] : o[i + 1]] for i in range(lo, hi)] for k, (o, v) in flat.items()}
                 group = _Group(*(v[lo:hi] for v in plain.values()), cut["grams"], cut["counts"])
-                for x, y in group.links(num, den):
-                    a.append(group.cls[x])
-                    b.append(group.cls[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                forest, count = group.complete(num, den) if complete else (group.links(num, den), np.zeros(0, np.int64))
+                some = np.flatnonzero(count)
+                a += [group.cls[x] for x, _ in forest] + group.cls[some].tolist()
+                b += [group.cls[y] for _, y in forest] + [None] * len(some)
+                n_links += [None] * len(forest) + count[some].tolist()
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a), ("b", b), ("links", n_links))})
 
-    return rows.select("w", "g", "cls", "n", "m", "central", "counts", "grams").groupBy("w").applyInArrow(compare, "a long, b long").distinct()
+    return checkpoint(rows.select("w", "g", *scalars, "counts", "grams").groupBy("w").applyInArrow(compare, "a long, b long, links long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
-    """(id, th, n, cls, component): documents linked, directly or through others, by Jaccard >= num / den.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10), complete: bool = True) -> DataFrame:
+    """(id, th, n, cls, component, n_links): documents linked, directly or through others, by Jaccard >= num / den.
 
-    component is the least id reachable; th is xxhash64 of the text.
+    component is the least id reachable; th is xxhash64 of the text; cls is equal for equal sets. n_links is the number
+    of other rows with Jaccard >= num / den, rows of equal sets among them; without complete it is not computed.
     """
     members = checkpoint(set_classes(docs, id_col, text, size))
     sets = checkpoint(_candidate_sets(docs, members, id_col, text, size, threshold))
-    labels = components(_links(sets, threshold)).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    links = _links(sets, threshold, complete)
+    labels = components(links.where("b is not null")).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+    if complete:
+        partners = links.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("partners"))
+        classes = members.where("cls is not null").groupBy("cls").agg((F.count("*") - 1).alias("copies"))
+        labels = classes.join(partners, "cls", "left").join(labels, "cls", "left")
+        labels = labels.select("cls", "comp", (F.col("copies") + F.coalesce("partners", F.lit(0))).alias("n_links"))
     whole = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
-    return whole.join(least, "comp", "left").select("id", "th", "n", "cls", F.coalesce("component", "id").alias("component"))
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if complete else []
+    return whole.join(least, "comp", "left").select("id", "th", "n", "cls", F.coalesce("component", "id").alias("component"), *n_links)

@@ -89,6 +89,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_ngram_join with each document's number of links."""
+    from contactrank.llm.ngram_join import jaccard_components
+
+    out = jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactrank.llm.decontamination import contaminated
 
@@ -110,7 +118,7 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op10_bpe_encoding)
+    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op9_ngram_links, op10_bpe_encoding)
     return {f.__name__: f for f in made}
 
 
@@ -202,6 +210,15 @@ SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles,
 FROM reach JOIN d USING (r) JOIN d x ON x.r = q LEFT JOIN n ON n.r = d.r GROUP BY reach.r
 """
 
+OP9_LINKS_SQL = (
+    OP9_SQL[: OP9_SQL.index("SELECT any_value(d.doc_id)")]
+    + """
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x.doc_id) AS component_id, coalesce(any_value(l.n_links), 0) AS n_links
+FROM reach JOIN d USING (r) JOIN d x ON x.r = q LEFT JOIN n ON n.r = d.r
+LEFT JOIN (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.r = d.r GROUP BY reach.r
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL}

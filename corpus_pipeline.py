@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without an id, are in no group and stay.
     """
     whole_text_rows(spark)
-    groups = jaccard_components(docs, size=5, threshold=(4, 5))
+    groups = jaccard_components(docs, size=5, threshold=(4, 5), complete=False)
     keep = groups.where("cls is null or id = component").select(F.col("id").alias("doc_id"), F.col("th").alias("_th"))
     rows = docs.select(*COLUMNS).withColumn("_th", F.xxhash64("text"))
     kept = rows.join(keep, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])

@@ -135,6 +135,25 @@ def test_jaccard(spark, monkeypatch):
         assert sorted(map(tuple, got), key=key) == sorted(brute_components(texts, ids, size, num, den), key=key)
 
 
+@pytest.mark.parametrize("block_grams, size, num, den", [(1_500_000, 3, 9, 10), (700, 3, 4, 5), (700, 2, 1, 2)])
+def test_jaccard_links(spark, monkeypatch, block_grams, size, num, den):
+    import contactrank.llm.ngram_join as N
+
+    monkeypatch.setattr(N, "BLOCK_GRAMS", block_grams)
+    monkeypatch.setattr(N, "PAIRS", 300)
+    texts = odd_texts(5) + near_copies(5, 60) + near_copies(6, 4) * 2
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    want = [sum(i != j and bool(a) and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    args = {"size": size, "threshold": (num, den)}
+    got = jaccard_components(clash(spark, texts), **args).select("id", "n_links", "component").orderBy("id").collect()
+    assert [r.n_links for r in got] == want and max(want) > 8
+    early = jaccard_components(clash(spark, texts), **args, complete=False)
+    assert [r.component for r in early.orderBy("id").collect()] == [r.component for r in got]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100 + i, 100) for i in range(1, 9)] + [(5, 5), (7, 6), (7, 6)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
