@@ -263,6 +263,27 @@ def test_line_rules(spark):
     assert quality_rules(docs.where("false")).count() == 0
 
 
+def test_line_rules_against_sql_above_the_limit(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from contactrank.llm.queries import OP4_SQL, op4_quality_rules
+
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # digits are all one to the rule
+    words = lambda i, n=30: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(n))
+    line = lambda n: " ".join(f"menu{letters(k)}" for k in range(n))
+    rows = [(i, f"{line(25 + 10 * (i % 3))}\n{words(i)}", ("a", "b", None)[i % 4 % 3]) for i in range(252)]
+    rows += [(200 + i, f"Menu  Home {i % 10}\n{words(200 + i)}", "a") for i in range(21)] + [(300 + i, f"Legal Page 7\n{words(300 + i)}", "b") for i in range(20)]
+    rows += [rows[0], rows[0], (400, None, "a"), (401, "", None), (None, "menu home 3\n" * 3 + words(401), "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = op4_quality_rules(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({OP4_SQL})").fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    removed = [r for r in found.collect() if r.n_left < r.n_words and not r.base_failed]
+    assert {r.kept for r in removed} == {True, False} and all(r.n_left == r.n_words for r in found.where("doc_id between 300 and 319").collect())
+
+
 def test_empty_tables(spark):
     none = clash(spark, [])
     assert remove_repeated_passages(none).count() == remove_repeated_bytes(none).count() == 0
