@@ -289,9 +289,10 @@ def _links(sets: DataFrame, threshold: tuple[int, int], complete: bool) -> DataF
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10), complete: bool = True) -> DataFrame:
-    """(id, th, n, cls, component, n_links): documents linked, directly or through others, by Jaccard >= num / den.
+    """(id, th, n, cls, comp, component, n_links): documents linked, directly or through others, by Jaccard >= num / den.
 
-    component is the least id reachable; th is xxhash64 of the text; cls is equal for equal sets. n_links is the number
+    component is the least id reachable; th is xxhash64 of the text; cls is equal for equal sets, comp for
+    linked ones, both null for empty sets. n_links is the number
     of other rows with Jaccard >= num / den, rows of equal sets among them; without complete it is not computed.
     """
     members = checkpoint(set_classes(docs, id_col, text, size))
@@ -306,4 +307,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     whole = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if complete else []
-    return whole.join(least, "comp", "left").select("id", "th", "n", "cls", F.coalesce("component", "id").alias("component"), *n_links)
+    return whole.join(least, "comp", "left").select("id", "th", "n", "cls", "comp", F.coalesce("component", "id").alias("component"), *n_links)

@@ -7,12 +7,14 @@ their scores like any other row; a table without rows gives a result without row
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactrank.llm.blocks import whole_text_rows
 from contactrank.llm.bpe import encode
-from contactrank.llm.components import checkpoint
+from contactrank.llm.components import checkpoint_folder
 from contactrank.llm.decontamination import contaminated
 from contactrank.llm.ngram_join import jaccard_components
 from contactrank.llm.quality_classifier import score_quality, train_quality
@@ -33,15 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, Jaccard 0.8 or more.
 
-    The kept one has the least doc_id; of repeated rows with that id one stays. Documents without words, and rows
-    without an id, are in no group and stay.
+    The kept one has the least (doc_id, text hash), null ids last; of repeated rows with both one stays. Documents
+    without words are in no group and stay; of those that repeat an id and text one stays.
     """
     whole_text_rows(spark)
     groups = jaccard_components(docs, size=5, threshold=(4, 5), complete=False)
-    keep = groups.where("cls is null or id = component").select(F.col("id").alias("doc_id"), F.col("th").alias("_th"))
-    rows = docs.select(*COLUMNS).withColumn("_th", F.xxhash64("text"))
-    kept = rows.join(keep, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])
-    return kept.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
+    first = groups.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first"))
+    keep = first.select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th"))
+    rows = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    wordless = rows.where(F.coalesce(F.translate("text", " \t\n\x0b\f\r", ""), F.lit("")) == "")
+    kept = kept.unionByName(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"]))
+    return kept.unionByName(wordless.where("doc_id is null")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,10 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each is written to the shared checkpoint folder before the next."""
+    """All stages in order; each but the last is written as Parquet to the shared checkpoint folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid4()}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

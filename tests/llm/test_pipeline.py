@@ -40,3 +40,19 @@ def test_stages(spark, folder):
     assert all(columns[n] == C.COLUMNS for n, _ in C.STAGES[:-1])
     run = C.run(spark, folder)
     assert {r.doc_id for r in run.select("doc_id").collect()} == left["bpe_encoding"]
+
+
+def test_one_document_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " end", " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (None, text), (7, near), (7, text), (7, text), (9, text)] + [(None, other)] * 3 + [(None, other + " end")]
+    rows += [(None, None), (None, None), (3, ""), (3, ""), (4, " \n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in C.near_duplicates(spark, docs, "").collect()]
+    assert [i for i, t in got if t and t.startswith("w0 ")] == [7]
+    assert [i for i, t in got if t and t.startswith("v0 ")] == [None]
+    assert sorted(map(repr, (x for x in got if not (x[1] or "").strip()))) == sorted(map(repr, [(None, None), (None, None), (3, ""), (4, " \n")]))
+
+
+def test_stages_are_handed_over_as_parquet(spark, folder):
+    assert any("/benchmark_decontamination/" in f for f in C.run(spark, folder).inputFiles())
