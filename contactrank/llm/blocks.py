@@ -10,10 +10,11 @@ The documents' exchange appears once or more in such a plan with the same shape,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,23 @@ def whole_text_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about `size` bytes, so that the arrays made from them stay small."""
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + size, side="right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Deals rows anew where fewer tasks than cores hold any, as with a table of one row group; else as they are."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.groupBy(F.spark_partition_id()).count().count() >= n else docs.repartition(n)
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number to the driver."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

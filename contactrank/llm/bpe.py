@@ -3,22 +3,26 @@
 From the vocabulary alone: two neighbouring symbols that stand next to each other inside no token can never be
 merged across, whatever surrounds them, so the place between them is a certain cut. A text is cut at white space,
 at the tokenizer's word pattern and at these pairs. Fragments are short and few in kind; each is merged on its own,
-by rank, and remembered, and a text's ids are its fragments' ids in order.
+by rank, and a text's ids are its fragments' ids in order.
 
-Rows are independent: no shuffle, one task per input split, and per-worker memory bounded by CACHE entries.
+A batch's texts are cut at ASCII white space at once, the chunks are dictionary-encoded by Arrow, and only a batch's
+distinct chunks are looked up or encoded; ids and decoded texts are then gathered by chunk number. Rows are
+independent: no shuffle, one task per input split, and per-worker memory bounded by CACHE entries.
 
-The tokenizer's file is a parameter (a local path on every machine); normalisation (NFC, white space, lower case),
-word pattern, byte alphabet, end-of-word suffix and added tokens follow the file's settings.
+The tokenizer's file is a parameter (a local path on every machine). Its own normaliser and pre-tokenizer are run on
+distinct chunks, so that letters and cases are those of its Unicode version; vocabulary, merges, suffix and added
+tokens are read from it. A file for which chunks between white space are not independent (a pre-tokenizer that keeps
+white space, added tokens that strip or hold white space, a decoder other than the plain one) raises ValueError.
 
 Defined results: null text gives no ids and decodes to the empty text; empty text likewise; very long words are
-merged with a heap in n log n steps; columns come back untouched in `row`.
+merged with a heap in n log n steps; repeated rows give repeated results; an empty table gives none; columns come
+back untouched in `row`.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,45 +34,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactrank.llm.substring_dedup import slices
+from contactrank.llm import fingerprints as P
+from contactrank.llm.blocks import slices, spread
 
-#: Words and fragments that a worker remembers.
-CACHE = 150_000
-#: White space as the tokenizer's pattern has it; Python's split() has four control characters more.
-_MORE_SPACE = regex.compile("[\x1c-\x1f]")
-_SPACE = regex.compile("[" + "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
-
-
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte: itself where printable, else from 256 on in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, more = [""] * 256, 256
-    for b in range(256):
-        if b in plain:
-            out[b] = chr(b)
-        else:
-            out[b], more = chr(more), more + 1
-    return out
+#: Words and chunks that a worker remembers.
+CACHE = 300_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 
 
 class WordBpe:
     """A BPE vocabulary with an end-of-word suffix."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, added = spec["model"], spec["added_tokens"]
+        self.library = Tokenizer.from_file(path)
+        odd = model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges") or spec["decoder"]
+        if odd or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added) or self.pieces("a \t\n\x0b\x0c\r b") != self.pieces("a") + self.pieces("b"):
+            raise ValueError(f"chunks between white space are not independent in {path}")
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in added}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.alphabet = byte_alphabet()
+        self.alphabet = set(pre_tokenizers.ByteLevel.alphabet())
         self.inside = {pair for s in map(self.symbols, self.ids) for pair in zip(s, s[1:], strict=False)}
-        self.chunks: dict[str, bytes] = {}  # without white space
-        self.words: dict[str, list[int]] = {}  # matches of the word pattern
+        self.chunks: dict[str, tuple[bytes, str]] = {}  # without white space: ids and decoded text
+        self.words: dict[str, list[int]] = {}  # pieces of the pre-tokenizer
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces of the normalised text."""
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -87,7 +89,7 @@ class WordBpe:
         return out
 
     def merge(self, symbols: tuple[str, ...]) -> list[int]:
-        """Ids of one fragment: the pair of least rank first, the leftmost of equals."""
+        """Ids of one fragment: the pair of least rank first, the leftmost of equals. Symbols out of the vocabulary are dropped."""
         part, rank_of = list(symbols), self.ranks.get
         if len(part) <= 64:
             never = 1 << 60
@@ -100,7 +102,7 @@ class WordBpe:
                     ranks[k - 1] = rank_of((part[k - 1], part[k]), never)
                 if k < len(ranks):
                     ranks[k] = rank_of((part[k], part[k + 1]), never)
-            return [self.ids[p] for p in part]
+            return [self.ids[p] for p in part if p in self.ids]
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap = [(r, k, p) for k, p in enumerate(zip(part, part[1:], strict=False)) if (r := self.ranks.get(p)) is not None]
         heapq.heapify(heap)
@@ -116,45 +118,61 @@ class WordBpe:
                 right = after[left] if left >= 0 else len(part)
                 if right < len(part) and (r := self.ranks.get(p := (part[left], part[right]))) is not None:
                     heapq.heappush(heap, (r, left, p))
-        return [self.ids[p] for p in part if p]
+        return [self.ids[p] for p in part if p in self.ids]
 
-    def word(self, word: str) -> list[int]:
-        had = self.words.get(word)
+    def word(self, piece: str) -> list[int]:
+        had = self.words.get(piece)
         if had is None:
-            symbols = [self.alphabet[b] for b in word.encode()]
-            symbols[-1] += self.suffix
-            had = [i for piece in self.cut(symbols) for i in self.merge(piece)]
+            symbols = [*piece[:-1], piece[-1] + self.suffix]
+            had = [i for fragment in self.cut(symbols) for i in self.merge(fragment)]
             if len(self.words) >= CACHE:
                 self.words.clear()
-            if len(word) < 64:
-                self.words[word] = had
+            if len(piece) < 64:
+                self.words[piece] = had
         return had
 
-    def chunk(self, text: str) -> bytes:
-        """Ids, as 32-bit integers, of a text without white space."""
+    def plain(self, text: str) -> list[int]:
+        return [i for piece in self.pieces(text) for i in self.word(piece)]
+
+    def chunk(self, text: str) -> tuple[bytes, str]:
+        """Ids, as 32-bit integers, of a text without ASCII white space, and what they decode to."""
         had = self.chunks.get(text)
         if had is None:
-            plain = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            had = np.array([i for w in self.pattern.findall(plain.lower()) for i in self.word(w)], np.int32).tobytes()
+            if self.special_pattern and self.special_pattern.search(text):
+                ids, begin = [], 0
+                for m in self.special_pattern.finditer(text):
+                    ids += [*self.plain(text[begin : m.start()]), self.special[m.group()]]
+                    begin = m.end()
+                ids += self.plain(text[begin:])
+            else:
+                ids = self.plain(text)
+            had = np.array(ids, np.int32).tobytes(), " ".join(map(self.tokens.__getitem__, ids))
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
             if len(text) < 64:
                 self.chunks[text] = had
         return had
 
-    def encode(self, text: str) -> bytes:
-        if self.special_pattern and "<" in text and self.special_pattern.search(text):
-            out, begin = [], 0
-            for m in self.special_pattern.finditer(text):
-                out += [self.encode_plain(text[begin : m.start()]), np.array([self.special[m.group()]], np.int32).tobytes()]
-                begin = m.end()
-            return b"".join([*out, self.encode_plain(text[begin:])])
-        return self.encode_plain(text)
-
-    def encode_plain(self, text: str) -> bytes:
-        chunks = _SPACE.split(text) if _MORE_SPACE.search(text) else text.split()
-        have, chunk = self.chunks, self.chunk
-        return b"".join([have.get(c) or chunk(c) for c in chunks if c])
+    def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+        """Id lists and decoded texts."""
+        data, offsets = P.concat(texts)
+        words = P.Words(data, offsets)
+        bounds = np.concatenate([[0], np.cumsum(words.end - words.start)])
+        packed = data[~P.SPACE[data]]
+        chunks = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(packed)).dictionary_encode()
+        made = [self.chunk(c) for c in chunks.dictionary.to_pylist()]
+        which = chunks.indices.to_numpy()
+        size = np.array([len(ids) // 4 for ids, _ in made], np.int64)
+        flat = np.frombuffer(b"".join(ids for ids, _ in made), np.int32)
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        first = np.cumsum(size) - size
+        ids = flat[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(upto[words.first], pa.int32()), pa.array(ids, pa.int32()))
+        some = np.concatenate([[0], np.cumsum(n > 0)])  # a chunk without ids leaves no space behind
+        told = pa.array([text for _, text in made], pa.string()).take(pa.array(which[n > 0]))
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(some[words.first], pa.int32()), told), " ")
+        return lists, decoded
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -176,23 +194,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
         bpe = tokenizer(path)
         for batch in batches:
             done = 0
-            for texts in slices(pc.struct_field(batch.column("row"), text)):
-                parts = [bpe.encode(t) if t else b"" for t in texts.to_pylist()]
-                ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            for texts in slices(pc.struct_field(batch.column("row"), text), SLICE):
+                ids, told = bpe.encode(texts)
                 columns = {"row": batch.column("row").slice(done, len(texts)), "ids": ids}
                 if decoded:
-                    columns[decoded] = pa.array([bpe.decode(np.frombuffer(p, np.int32)) for p in parts], pa.string())
+                    columns[decoded] = told
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 done += len(texts)
 
-    rows = docs.select(F.struct("*").alias("row"))
+    rows = spread(docs).select(F.struct("*").alias("row"))
     more = [T.StructField(decoded, T.StringType())] if decoded else []
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Adds the text of each id list; special tokens are kept."""
+    """Adds the text of each id list (null: empty); special tokens are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)

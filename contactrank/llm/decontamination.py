@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
-from contactrank.llm.substring_dedup import slices
+from contactrank.llm.blocks import slices
 
 #: Windows in one part of the index: about 100 bytes each, so that a part stays under 100 MB.
 PART_WINDOWS = 1_000_000

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
-from contactrank.llm.substring_dedup import slices
+from contactrank.llm.blocks import slices
 
 _U = np.uint64
 HASHES = 3

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
 from contactrank.llm.components import checkpoint, components
-from contactrank.llm.substring_dedup import slices
+from contactrank.llm.blocks import slices
 
 _U = np.uint64
 #: Text in one block of documents.

@@ -63,7 +63,7 @@ def prefix_histogram(docs: DataFrame, text: str, window: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CELLS, np.int64)
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in B.slices(batch.column(0)):
                 _, keys = suffix_keys(P.Words(*P.concat(part)), window)
                 total += np.bincount((keys >> _U(_REST)).astype(np.int64), minlength=_CELLS)
         at = np.flatnonzero(total)
@@ -76,17 +76,6 @@ def prefix_histogram(docs: DataFrame, text: str, window: int) -> np.ndarray:
     return out
 
 
-def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
-    """Runs of texts of about `size` bytes, so that the arrays made from them stay small."""
-    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
-    begin = 0
-    while begin < len(texts):
-        before = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, before + size, side="right")))
-        yield texts.slice(begin, end - begin)
-        begin = end
-
-
 class PrefixGroups:
     """Memory-sized groups of variable-length prefixes."""
 

@@ -182,10 +182,28 @@ def test_bpe(spark):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert (list(r.ids), r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
     bpe = WordBpe(path)
-    cuts = bpe.cut([bpe.alphabet[b] for b in "naïve日本".encode()])
+    (piece,) = bpe.pieces("naïve日本")
+    cuts = bpe.cut(list(piece))
     assert len(cuts) > 1 and all((a[-1], b[0]) not in bpe.inside for a, b in zip(cuts, cuts[1:], strict=False))
 
 
+def test_bpe_every_code_point():
+    """Each between letters, at a word's end, at its start and alone, in one text for each 64 code points."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, bpe = Tokenizer.from_file(path), WordBpe(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 64 == 0 or c > 0x10FF00 or 0xE0000 <= c < 0xE0200)]
+    texts = [" ".join(f"a{c}b a{c} {c}b {c}" for c in map(chr, points[k : k + 64])) for k in range(0, len(points), 64)]
+    ids, decoded = bpe.encode(pa.array(texts))
+    for text, own, told in zip(texts, ids.to_pylist(), decoded.to_pylist(), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert own == want and told == library.decode(want, skip_special_tokens=False), [hex(ord(c)) for c in text[1:400:5]]
+    with pytest.raises(ValueError):
+        WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_lm(spark):
     from math import log10
 
