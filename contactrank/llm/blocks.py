@@ -55,9 +55,12 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def in_blocks(docs: DataFrame, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds `block`. The hash is over all columns: copies of a text with other ids go to other blocks."""
-    n = max(8, -(-n_bytes // block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64(*_hashable(docs)), F.lit(n)))
+    """Adds `block`. The hash is over all columns and the input's partition, so neither copies of a text with other ids
+    nor equal rows of a large input go to one block. Blocks grow with the cube root of inputs over 50 GB, up to 8 times.
+    """
+    block_bytes *= min(8.0, max(1.0, (n_bytes / 5e10) ** (1 / 3)))
+    n = max(8, int(-(-n_bytes // block_bytes)))
+    return docs.withColumn("block", F.pmod(F.xxhash64(*_hashable(docs), F.spark_partition_id()), F.lit(n)))
 
 
 def _hashable(docs: DataFrame) -> list[Column]:
@@ -126,50 +129,66 @@ def answers_of(table: pa.Table) -> list[bytes]:
     return [d for _, d in sorted(got, key=lambda x: x[0])]
 
 
-#: Counts travel as bytes where only "more than once" matters, else as four byte planes.
-def planes(values: np.ndarray, wide: bool) -> bytes:
-    if not wide:
-        return np.minimum(values, 255).astype(np.uint8).tobytes()
-    return np.ascontiguousarray(np.minimum(values, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """Counts as byte planes, as many as the largest needs (one byte says how many)."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
-def counts_in(data: bytes | memoryview, wide: bool = False) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not wide:
-        return raw
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view(np.uint32)
+def counts_in(data: bytes | memoryview) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.reshape(-1).view(np.int64)
+
+
+def keys_and_counts(data: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Number of keys, keys and counts of messages."""
+    split = [(len(d) - 1) // (8 + d[0]) for d in data]
+    keys = np.concatenate([unpack(memoryview(d)[1 + d[0] * n :]) for d, n in zip(data, split, strict=True)])
+    counts = np.concatenate([counts_in(memoryview(d)[: 1 + d[0] * n]) for d, n in zip(data, split, strict=True)])
+    return split, keys, counts
+
 
+def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of its key's counts for each key; sums are 64-bit integers."""
+    uniq, inverse = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(uniq), np.int64)
+    np.add.at(total, inverse, counts)
+    return total[inverse]
 
-def counter(wide: bool = False) -> Callable[[list[bytes]], list[bytes]]:
-    """decide() that answers each key with its count over all blocks (of at most 255 unless wide)."""
-    width = 4 if wide else 1
+
+def counter() -> Callable[[list[bytes]], list[bytes]]:
+    """decide() that answers each key with its count over all blocks."""
 
     def decide(data: list[bytes]) -> list[bytes]:
-        size = [len(d) // (8 + width) for d in data]
-        keys = np.concatenate([unpack(memoryview(d)[n * width :]) for d, n in zip(data, size, strict=True)])
-        counts = np.concatenate([counts_in(memoryview(d)[: n * width], wide) for d, n in zip(data, size, strict=True)])
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)[inverse]
-        return [planes(x, wide) for x in np.split(total, np.cumsum(size)[:-1])]
+        split, keys, counts = keys_and_counts(data)
+        return [planes(x) for x in np.split(totals(keys, counts), np.cumsum(split)[:-1])]
 
     return decide
 
 
-def ask(block: int, keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray], wide: bool = False, state: bytes | None = None) -> pa.Table:
-    """Messages with a block's distinct keys and counts; state: what comes back to the block as it is."""
-    uniq, counts = np.unique(keys, return_counts=True)
-    out = [(b, block, planes(counts[lo:hi], wide) + pack(uniq[lo:hi])) for b, lo, hi in runs(bucket_of(uniq))]
+def ask(block: int, keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray], counts: np.ndarray | None = None, state: bytes | None = None) -> pa.Table:
+    """Messages with a block's distinct keys and counts (of the occurrences, or their sums); state: what comes back to the block as it is."""
+    if counts is None:
+        uniq, n = np.unique(keys, return_counts=True)
+    else:
+        uniq, inverse = np.unique(keys, return_inverse=True)
+        n = np.zeros(len(uniq), np.int64)
+        np.add.at(n, inverse, counts)
+    out = [(b, block, planes(n[lo:hi]) + pack(uniq[lo:hi])) for b, lo, hi in runs(bucket_of(uniq))]
     if state is not None:
         out.append((-1 - block, block, state))
     return messages(out)
 
 
-def counts_for(keys: np.ndarray, answers: pa.Table, wide: bool = False) -> np.ndarray:
+def counts_for(keys: np.ndarray, answers: pa.Table) -> np.ndarray:
     """The corpus-wide count of each of the keys that the block asked for."""
     if not len(keys):
         return np.zeros(0, np.int64)
     _, inverse = np.unique(keys, return_inverse=True)
-    return np.concatenate([counts_in(d, wide) for d in answers_of(answers)])[inverse].astype(np.int64)
+    return np.concatenate([counts_in(d) for d in answers_of(answers)])[inverse]
 
 
 def state_of(answers: pa.Table) -> bytes:

@@ -1,13 +1,16 @@
-"""Vectorised fingerprints of words, word windows and byte windows (numpy, inside tasks).
+"""Vectorised hashes of words, word windows and byte windows (numpy, inside tasks).
 
-A block of texts is one byte array plus document offsets. Every fingerprint is a polynomial
-over 64-bit integers with random byte values, taken from prefix sums and then mixed, so a window
-costs the same whatever its length. Equal content always has equal fingerprints on every machine.
-Two different contents agree with a chance of 2**-64, so n windows have about n * n / 2**65 false pairs.
+A block of texts is one byte array plus document offsets. Every hash is a polynomial over 64-bit integers with random
+byte values, taken from prefix sums and then mixed, so a window costs the same whatever its length. Equal content
+always has equal hashes on every machine. Unequal content can be made to meet (a polynomial modulo 2**64 maps a long
+Thue-Morse word and its complement to the same value), so these hashes only choose, sample, order and balance; where a
+result depends on equality, contents are compared, or `strong` hashes are.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -58,6 +61,28 @@ def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix((prefix[end] - prefix[start]) * inverse[start] + U(0x5851F42D4C957F2D))
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE_VALUE[data]
+
+
+def grams(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` values."""
+    if len(values) < size:
+        return np.zeros(0, np.uint64)
+    prefix = _prefix(values, _BASE_WORD)
+    inverse = _power(pow(_BASE_WORD, -1, 1 << 64), len(prefix))
+    return mix((prefix[size:] - prefix[:-size]) * inverse[: len(prefix) - size] + U(0x5851F42D4C957F2D))
+
+
+def slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best over values[i : i + width], for each i with a whole range."""
+    have, span = values, 1
+    while span * 2 <= width:
+        have, span = best(have[:-span], have[span:]), span * 2
+    rest = width - span
+    return best(have[: len(have) - rest], have[rest:]) if rest else have
+
+
 def concat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts (null: none) and the n + 1 offsets of the documents."""
     if isinstance(texts, pa.ChunkedArray):
@@ -125,6 +150,27 @@ def byte_windows(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return _between(_prefix(_BYTE_VALUE[data], _BASE_BYTE), start, start + size, _BASE_BYTE)
 
 
+def dictionary(words: Words) -> tuple[np.ndarray, pa.Array]:
+    """Each word's number, equal for equal bytes only, and the distinct words."""
+    bounds = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    whole = words.data[np.repeat(words.start - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])]
+    found = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(whole)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def strong(values: pa.Array) -> np.ndarray:
+    """Two 64-bit numbers per string, of its 128-bit BLAKE2 digest."""
+    raw = b"".join(blake2b(v, digest_size=16).digest() for v in values.cast(pa.large_binary()).to_pylist())
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
+def strong_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pair of 64-bit lanes per row from two such pairs; every step mixes, so that no sum of terms can cancel."""
+    x = mix(a[:, 0] ^ mix(b[:, 0] + U(0x9E3779B97F4A7C15)))
+    y = mix(a[:, 1] + mix(b[:, 1] ^ U(0xD6E8FEB86659FD93)))
+    return np.stack([mix(x + (y >> U(7)) * U(0xA24BAED4963EE407)), mix(y ^ (x << U(9) | x >> U(55)))], axis=1)
+
+
 def hash_strings(values: list[bytes]) -> np.ndarray:
     """The word fingerprints of given words."""
     data = np.frombuffer(b"".join(values), np.uint8)

@@ -1,18 +1,9 @@
 """Operator 1: substring dedup by prefix-partitioned suffix trees over words.
 
-Every word position that has `window` words before its document's end is a suffix. Its key has the shape of a
-path in the corpus's suffix tree: bits for its first word, bits for its first two words, then a fingerprint of
-its first `window` words. In key order, suffixes that share one word, two words or the whole window are
-neighbours, as below the nodes of these depths.
-
-1. Vertical partitioning: a histogram of the shortest prefixes is counted over all documents. A prefix with more
-   suffixes than a group holds is extended by a word, and past two words by bits of the window's fingerprint;
-   small neighbouring prefixes share a group. So groups are memory-sized for any frequency of words.
-2. Each group's subtree is the sorted list of its keys; an internal node of depth `window` is a key with two or
-   more leaves. The deepest node is all that a removal of `window`-word repeats needs.
-3. Each block looks up which of its windows end below such a node and removes the words that they cover.
-
-Only fingerprints travel (see `fingerprints`), one per distinct window and block.
+Suffixes begin at words. They are split by prefixes of variable length into memory-sized groups; each group sorts its
+suffixes, and common-prefix lengths of neighbours are the inner nodes of its subtree. Inner nodes at a depth of
+`window` words or more, counting what precedes a sampled suffix alike, are the maximal repeats that cover the words to
+remove. See `suffixes` for the sample, the groups, and prefixes that are too frequent for one group.
 
 Defined results: a null text has no words and an empty kept text; texts shorter than the window are kept whole;
 repeated rows are repeats of each other; every input row gives one output row; an empty table gives none. Other
@@ -21,114 +12,24 @@ columns, whatever their names, are returned untouched inside `row`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
+from contactrank.llm.suffixes import ARROW_SPANS, SPANS, Words, mark_repeated
 
-_U = np.uint64
-#: Bits of the first word and of the first two words in a key.
-LEVEL_BITS = 6
-_CELLS = 1 << 2 * LEVEL_BITS
-_REST = 64 - 2 * LEVEL_BITS
-
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-
-
-def suffix_keys(words: P.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and key of each suffix that is long enough."""
-    prints = words.fingerprints()
-    at, whole = words.windows(window, prints)
-    if window < 2:
-        return at, whole
-    _, two = words.windows(2, prints)
-    # `two` misses only the last word of each document, which no window of two or more words starts at
-    two_at = np.zeros(len(words) + 1, np.int64)
-    two_at[words.windows(2, prints)[0]] = np.arange(len(two))
-    top = (prints[at] >> _U(64 - LEVEL_BITS)) << _U(64 - LEVEL_BITS)
-    second = (two[two_at[at]] >> _U(64 - LEVEL_BITS)) << _U(_REST)
-    return at, top | second | (whole >> _U(2 * LEVEL_BITS))
-
-
-def prefix_histogram(docs: DataFrame, text: str, window: int) -> np.ndarray:
-    """Suffixes below each prefix of two words: at most 4,096 numbers reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_CELLS, np.int64)
-        for batch in batches:
-            for part in B.slices(batch.column(0)):
-                _, keys = suffix_keys(P.Words(*P.concat(part)), window)
-                total += np.bincount((keys >> _U(_REST)).astype(np.int64), minlength=_CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    rows = docs.select(text).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(_CELLS, np.int64)
-    for r in rows:
-        out[r["cell"]] = r["n"]
-    return out
-
-
-class PrefixGroups:
-    """Memory-sized groups of variable-length prefixes."""
-
-    def __init__(self, histogram: np.ndarray, per_group: int):
-        self.base = np.zeros(_CELLS, np.int64)
-        self.parts = np.ones(_CELLS, np.int64)
-        fan = 1 << LEVEL_BITS
-        group, filled = 0, 0
-        for one in range(fan):  # prefixes of one word
-            cells = range(one * fan, (one + 1) * fan)
-            below = int(histogram[cells.start : cells.stop].sum())
-            nodes = [cells] if below <= per_group else [range(c, c + 1) for c in cells]  # extended by a word
-            for node in nodes:
-                n = int(histogram[node.start : node.stop].sum())
-                if filled and filled + n > per_group:
-                    group, filled = group + 1, 0
-                self.base[node.start : node.stop] = group
-                if n > per_group:  # extended by bits of the whole window
-                    self.parts[node.start] = parts = -(-n // per_group)
-                    group, filled = group + parts, 0
-                else:
-                    filled += n
-        self.n = group + 1
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        cell = (keys >> _U(_REST)).astype(np.int64)
-        within = (keys & _U((1 << _REST) - 1)) >> _U(_REST - 32)
-        return self.base[cell] + ((within * self.parts[cell].astype(np.uint64)) >> _U(32)).astype(np.int64)
-
-
-def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, per_group: int | None = None) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, **tuning: int) -> DataFrame:
     """Removes every word covered by a window of `window` words whose words also start anywhere else.
 
     Returns row (the input's columns), kept (the words left, joined by one space), n_words, n_removed and removed
-    (spans of word numbers).
+    (spans of word numbers). tuning: per_group, hot, hash_bits of `suffixes.mark_repeated`.
     """
-    histogram = prefix_histogram(docs, text, window)
-    groups = PrefixGroups(histogram, per_group or B.bucket_keys(float(histogram.sum())))
-    rows = B.in_blocks(docs.select(F.struct("*").alias("row")), B.total_bytes(docs, text))
-
-    def words_of(table: pa.Table) -> P.Words:
-        return P.Words(*P.concat(pc.struct_field(table["row"], text)))
-
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, keys = suffix_keys(words_of(table), window)
-        return B.ask(key[0].as_py(), keys, groups.of)
 
-    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        words = words_of(table)
-        at, keys = suffix_keys(words, window)
-        leaves = B.counts_for(keys, answers)
-        drop = P.covered(len(words), at[leaves > 1], window)
+    def finish(table: pa.Table, units: Words, drop: np.ndarray) -> pa.Table:
+        words = units.words
         data = words.data.tobytes()
         kept, removed, counts = [], [], []
         for d in range(table.num_rows):
@@ -140,10 +41,7 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
             removed.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
             counts.append((hi - lo, int(drop[lo:hi].sum())))
         counts = np.array(counts, np.int64).reshape(-1, 2)
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"row": table["row"], "kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, spans)})
+        return pa.table({"row": table["row"], "kept": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, ARROW_SPANS)})
 
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS)])
-    asked = rows.groupBy("block").applyInArrow(send, B.MESSAGE)
-    replies = B.answer(asked, B.counter())
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields), False), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS)])
+    return mark_repeated(docs, text, window, Words, finish, schema, **tuning)

@@ -1,21 +1,11 @@
 """Operator 6: suffix-array dedup of byte strings, blockwise, with a difference cover.
 
-A full suffix array has an entry per byte. Here only suffixes that can tie with another over `size` bytes are
-ever sorted, and each key range (bucket) of them is sorted on its own, so a task holds one bucket.
-
-1. Cover sample: positions whose offset modulo v lies in a difference cover D. For any two positions i, j there
-   is a shift l < v that puts both i + l and j + l into the sample, so two equal strings of `size` bytes hold a
-   pair of equal sample strings of size - v + 1 bytes. The sample's ranks (here: unique, or tied with another)
-   are computed first; a suffix whose next v places hold no tied sample place is unique and is dropped.
-2. Surviving suffixes are dealt to buckets by anchors, the least of the fingerprints of shorter strings in the
-   window, which equal windows choose alike. An anchor string that is unique, or whose whole surroundings are
-   repeated, decides all its windows at once: a long tie costs one entry, not one per byte.
-3. What is still open (windows near the ends of repeats) goes to suffix buckets by the fingerprint of its own
-   `size` bytes; equal neighbours in the sorted bucket are repeats.
-
-Order within a bucket is by 64-bit fingerprints of the compared strings and not alphabetical; dedup needs only
-equality. Each exchange sends distinct keys per block, so a passage in a third of all documents is one entry per
-block, and no bucket grows with the number of copies.
+The suffix array is built one bucket (a range of the byte order) at a time from the suffixes of a cover sample only.
+The sample is a difference cover chosen by content, a synchronising set: any two equal strings of `size` bytes
+hold a sample place at the same shift, which a cover of fixed residues also gives, but with 12 places in 133 instead of
+2. The order of the sampled suffixes and the ranks of what precedes them, compared byte by byte in the bucket, settle every longer
+tie: two strings are equal if, at their shift, they share a node of the bucket and a rank of the preceding bytes. See
+`suffixes` for the steps; a bucket's memory is bounded for any number of copies.
 
 Defined results: a null text is empty; strings never cross documents; texts shorter than `size` bytes are kept;
 repeated rows are repeats of each other; each input row gives one output row with its columns in `row`; an empty
@@ -24,222 +14,32 @@ table gives none.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
+from contactrank.llm.suffixes import ARROW_SPANS, SPANS, Bytes, mark_repeated
 
-_U = np.uint64
-
-
-@lru_cache
-def singer_cover(q: int) -> tuple[int, np.ndarray]:
-    """(v, D): q + 1 residues modulo v = q * q + q + 1 (q prime) whose differences are all residues.
-
-    The powers of a primitive element of GF(q**3) that lie in a plane through the origin.
-    """
-    v = q * q + q + 1
-    order = q**3 - 1
-    primes = [p for p in range(2, order) if order % p == 0 and all(p % r for r in range(2, int(p**0.5) + 1))]
-
-    def times(a: tuple, b: tuple, poly: tuple) -> tuple:
-        full = [0] * 5
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                full[i + j] += x * y
-        for k in (4, 3):  # x**3 = poly
-            for j in range(3):
-                full[k - 3 + j] += full[k] * poly[j]
-        return tuple(c % q for c in full[:3])
-
-    def power(e: int, poly: tuple) -> tuple:
-        out, base = (1, 0, 0), (0, 1, 0)
-        while e:
-            out = times(out, base, poly) if e & 1 else out
-            base, e = times(base, base, poly), e >> 1
-        return out
-
-    for code in range(q**3):
-        poly = (code % q, code // q % q, code // q // q)
-        if power(order, poly) == (1, 0, 0) and all(power(order // p, poly) != (1, 0, 0) for p in primes):
-            element, inside = (1, 0, 0), []
-            for i in range(v):
-                if element[2] == 0:
-                    inside.append(i)
-                element = times(element, (0, 1, 0), poly)
-            return v, np.array(inside)
-    raise ValueError(q)
-
-
-def cover_for(size: int) -> tuple[int, np.ndarray]:
-    """The largest cover that leaves sample strings of at least a third of the size."""
-    found = [singer_cover(q) for q in (2, 3, 5, 7, 11, 13, 17, 19) if q * q + q + 1 <= size - size // 3]
-    return max(found, key=lambda c: c[0]) if found else (1, np.zeros(1, np.int64))
-
-
-def _slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """best over values[i : i + width], for each i with a whole range."""
-    have, span = values, 1
-    while span * 2 <= width:
-        have, span = best(have[:-span], have[span:]), span * 2
-    rest = width - span
-    return best(have[: len(have) - rest], have[rest:]) if rest else have
-
-
-class Geometry:
-    """Places of one block: sample places, whole windows, anchors."""
-
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, size: int):
-        self.data, self.offsets = P.concat(texts)
-        self.size = size
-        self.v, self.cover = cover_for(size)
-        self.sample_size = size - self.v + 1
-        self.anchor_size = size - size // 4  # strings inside a window that stand for it
-        self.margin = size - self.anchor_size
 
-    def sample(self) -> np.ndarray:
-        """Places i in the cover, with a sample string inside their document."""
-        inside = np.zeros(self.v, bool)
-        inside[self.cover] = True
-        n = len(self.data)
-        start = np.repeat(self.offsets[:-1], np.diff(self.offsets))
-        end = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        place = np.arange(n)
-        return np.flatnonzero(inside[(place - start) % self.v] & (place + self.sample_size <= end))
-
-    def whole(self) -> np.ndarray:
-        """Mask of the places where a window begins that ends inside its document."""
-        end = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        return np.arange(len(self.data)) + self.size <= end
-
-    def open_windows(self, tied_sample: np.ndarray) -> np.ndarray:
-        """Mask of whole windows with a tied sample place among their first v places."""
-        near = np.zeros(len(self.data), bool)
-        delta = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(delta, np.maximum(tied_sample - self.v + 1, 0), 1)
-        np.add.at(delta, tied_sample + 1, -1)
-        near = np.cumsum(delta[:-1]) > 0
-        return near & self.whole()
-
-    def anchors(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Anchor places of the masked windows, and the least fingerprint of every place's window."""
-        n, reach = len(self.data), self.margin + 1
-        if n < self.size or not windows.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        prints = P.byte_windows(self.data, np.arange(n - self.anchor_size + 1), self.anchor_size)
-        least = _slide(prints, reach, np.minimum)  # of the window at i: prints[i : i + reach]
-        own = np.where(windows[: len(least)], least, _U(0))
-        pad = np.zeros(reach - 1, np.uint64)
-        highest = _slide(np.concatenate([pad, own, pad]), reach, np.maximum)  # over the windows that hold p
-        at = np.flatnonzero((highest == prints) & (highest > 0))
-        return at, least
-
-    def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of the anchor strings, and of these with `margin` bytes on both sides.
-
-        Where the document ends earlier, the second is made from what there is and from the missing lengths.
-        """
-        anchor = P.byte_windows(self.data, at, self.anchor_size)
-        doc = np.searchsorted(self.offsets, at, side="right") - 1
-        left = np.minimum(at - self.offsets[doc], self.margin)
-        right = np.minimum(self.offsets[doc + 1] - at - self.anchor_size, self.margin)
-        wide = P.byte_windows(self.data, at - left, left + self.anchor_size + right)
-        return anchor, P.mix(wide ^ P.mix((left * (self.margin + 1) + right + 1).astype(np.uint64)))
-
-    def windows_of(self, at: np.ndarray, windows: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Masked windows whose anchor is among `at`."""
-        out = np.zeros(len(windows), bool)
-        prints = P.byte_windows(self.data, at, self.anchor_size)
-        for back in range(self.margin + 1):
-            i = at - back
-            ok = (i >= 0) & (i < len(least))
-            i, p = i[ok], prints[ok]
-            out[i[windows[i] & (least[i] == p)]] = True
-        return np.flatnonzero(out)
-
-
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, per_bucket: int | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", size: int = 200, as_text: bool = False, **tuning: int) -> DataFrame:
     """Removes every byte covered by a `size`-byte string that also starts anywhere else.
 
     Returns row (the input's columns), kept (binary: the bytes left), n_bytes, n_removed and removed (spans of bytes).
-    as_text: kept is a string without the bytes of characters that a cut went through.
+    as_text: kept is a string without the bytes of characters that a cut went through. tuning: per_group, hot,
+    hash_bits of `suffixes.mark_repeated`.
     """
-    total = B.total_bytes(docs, text)
-    v, cover = cover_for(size)
-    rows = B.in_blocks(docs.select(F.struct("*").alias("row")), total, 2 << 20)
-    n_sample = B.n_buckets(total * len(cover) / v, per_bucket)
-    n_rest = B.n_buckets(total / 8, per_bucket)
-
-    def in_order(table: pa.Table) -> pa.Table:
-        # a block's rows come in any order; states between the steps go by place
-        return table.take(pc.sort_indices(pc.fill_null(pc.struct_field(table.combine_chunks()["row"], text), "")))
-
-    def geometry(table: pa.Table) -> Geometry:
-        return Geometry(pc.struct_field(table["row"], text), size)
-
-    def rank_keys(g: Geometry, at: np.ndarray) -> np.ndarray:
-        # 40 bits: a false tie only keeps a suffix for the next step
-        return P.byte_windows(g.data, at, g.sample_size) >> _U(24) << _U(24)
-
-    def send_sample(key: tuple, table: pa.Table) -> pa.Table:
-        g = geometry(in_order(table))
-        return B.ask(key[0].as_py(), rank_keys(g, g.sample()), lambda k: B.even_bucket(k, n_sample))
-
-    def anchor_keys(g: Geometry, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        anchor, wide = g.surroundings(at)
-        return anchor, P.mix(anchor ^ P.mix(wide))
-
-    def send_anchors(key: tuple, table: pa.Table, ranks: pa.Table) -> pa.Table:
-        g = geometry(in_order(table))
-        at = g.sample()
-        windows = g.open_windows(at[B.counts_for(rank_keys(g, at), ranks) > 1])
-        anchors, _ = g.anchors(windows)
-        return B.ask(key[0].as_py(), np.concatenate(anchor_keys(g, anchors)), lambda k: B.even_bucket(k, n_rest), wide=True, state=np.packbits(windows).tobytes())
-
-    def decided(g: Geometry, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Windows repeated because their anchor's whole surroundings are; windows that must be compared themselves."""
-        windows = np.unpackbits(np.frombuffer(B.state_of(answers), np.uint8), count=len(g.data)).astype(bool)
-        at, least = g.anchors(windows)
-        anchor, wide = anchor_keys(g, at)
-        n = B.counts_for(np.concatenate([anchor, wide]), answers, wide=True)
-        n_anchor, n_wide = n[: len(at)], n[len(at) :]
-        return g.windows_of(at[n_wide > 1], windows, least), g.windows_of(at[n_anchor > n_wide], windows, least)
-
-    def send_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        g = geometry(in_order(table))
-        repeated, compared = decided(g, answers)
-        state = len(repeated).to_bytes(8, "little") + B.pack(repeated.astype(np.uint64)) + B.pack(compared.astype(np.uint64))
-        return B.ask(key[0].as_py(), P.byte_windows(g.data, compared, size), lambda k: B.even_bucket(k, n_rest), state=state)
 
-    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = in_order(table)
-        g = geometry(table)
-        state = B.state_of(answers)
-        n = int.from_bytes(state[:8], "little")
-        repeated, compared = B.unpack(state[8 : 8 + 8 * n]).astype(np.int64), B.unpack(state[8 + 8 * n :]).astype(np.int64)
-        again = B.counts_for(P.byte_windows(g.data, compared, size), answers) > 1
-        drop = P.covered(len(g.data), np.concatenate([repeated, compared[again]]), size)
+    def finish(table: pa.Table, units: Bytes, drop: np.ndarray) -> pa.Table:
         kept, removed, counts = [], [], []
-        for lo, hi in zip(g.offsets[:-1], g.offsets[1:], strict=True):
+        for lo, hi in zip(units.first[:-1], units.first[1:], strict=True):
             start, end = P.spans_of(drop[lo:hi])
             removed.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
             counts.append((hi - lo, int((end - start).sum())))
-            kept.append(g.data[lo:hi][~drop[lo:hi]].tobytes())
+            kept.append(units.data[lo:hi][~drop[lo:hi]].tobytes())
         counts = np.array(counts, np.int64).reshape(-1, 2)
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"row": table["row"], "kept": pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "n_bytes": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, spans)})
+        return pa.table({"row": table["row"], "kept": pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "n_bytes": counts[:, 0], "n_removed": counts[:, 1], "removed": pa.array(removed, ARROW_SPANS)})
 
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
-    of_block = rows.groupBy("block")
-    ranks = B.answer(of_block.applyInArrow(send_sample, B.MESSAGE), B.counter())
-    anchors = B.answer(of_block.cogroup(ranks.groupBy("block")).applyInArrow(send_anchors, B.MESSAGE), B.counter(wide=True))
-    windows = B.answer(of_block.cogroup(anchors.groupBy("block")).applyInArrow(send_windows, B.MESSAGE), B.counter())
-    return of_block.cogroup(windows.groupBy("block")).applyInArrow(finish, schema)
+    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields), False), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS)])
+    return mark_repeated(docs, text, size, Bytes, finish, schema, **tuning)

@@ -18,8 +18,8 @@ from contactrank.llm.line_rules import quality_rules
 from contactrank.llm.lm_scoring import lm_score
 from contactrank.llm.ngram_join import jaccard_components
 from contactrank.llm.quality_classifier import score_quality, train_quality
-from contactrank.llm.substring_dedup import PrefixGroups, remove_repeated_passages
-from contactrank.llm.suffix_array_dedup import remove_repeated_bytes, singer_cover
+from contactrank.llm.substring_dedup import remove_repeated_passages
+from contactrank.llm.suffix_array_dedup import remove_repeated_bytes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -45,20 +45,12 @@ def odd_texts(seed=1, n=40):
     return texts
 
 
-def test_cover():
-    for q in (2, 3, 5, 7, 11):
-        v, cover = singer_cover(q)
-        assert len(cover) == q + 1 and {(a - b) % v for a in cover for b in cover} == set(range(v))
-
-
-def test_prefix_groups_are_memory_sized():
-    rng = np.random.default_rng(1)
-    histogram = rng.integers(0, 50, 4096)
-    histogram[100] = 100_000
-    groups = PrefixGroups(histogram, 5_000)
-    keys = np.sort(np.concatenate([(np.uint64(c) << np.uint64(52)) | rng.integers(0, 1 << 52, n, dtype=np.uint64) for c, n in enumerate(histogram)]))
-    of = groups.of(keys)
-    assert (np.diff(of) >= 0).all() and np.bincount(of).max() <= 5_600 and of.max() < groups.n
+def thue_morse(n):
+    """Two words of 2**n letters that polynomials modulo 2**64 cannot tell apart, for n of 10 and more."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
 
 
 def brute_spans(seqs, size):
@@ -73,28 +65,69 @@ def brute_spans(seqs, size):
     return out
 
 
-def test_repeated_passages(spark):
-    texts = odd_texts()
+def check_passages(spark, texts, window, **tuning):
+    out = remove_repeated_passages(clash(spark, texts), window=window, **tuning).select("row.*", F.col("kept").alias("left"), F.col("n_removed")).collect()
+    words = [tuple(WORD.findall(t or "")) for t in texts]
+    for mask, w, r in zip(brute_spans(words, window), words, sorted(out, key=lambda r: r.doc_id), strict=True):
+        assert (r.left, r.n_removed) == (" ".join(x for x, m in zip(w, mask, strict=True) if not m), sum(mask))
+        assert r.block == 1 and r.kept == "k"
+
+
+def check_bytes(spark, texts, size, **tuning):
+    out = remove_repeated_bytes(clash(spark, texts), size=size, **tuning).select("row.doc_id", "kept", "n_removed", "removed").collect()
+    data = [(t or "").encode() for t in texts]
+    for mask, b, r in zip(brute_spans(data, size), data, sorted(out, key=lambda r: r.doc_id), strict=True):
+        assert bytes(r.kept) == bytes(x for x, m in zip(b, mask, strict=True) if not m)
+        assert r.n_removed == sum(mask) == sum(s.end - s.start for s in r.removed)
+
+
+#: Grams of few hash bits meet often; with hot=1 every repeated window is counted by itself.
+TUNING = [{}, {"per_group": 50}, {"hot": 1, "per_group": 50}, {"hash_bits": 8, "hot": 10}]
+
+
+@pytest.mark.parametrize("tuning", TUNING)
+def test_repeated_passages(spark, tuning, monkeypatch):
+    import contactrank.llm.suffixes as S
+
+    monkeypatch.setattr(S, "RUN", 40 if tuning else 60_000)
     for window in (35, 3, 1):
-        out = remove_repeated_passages(clash(spark, texts), window=window, per_group=500).select("row.*", F.col("kept").alias("left"), F.col("n_removed")).collect()
-        words = [tuple(WORD.findall(t or "")) for t in texts]
-        for mask, w, r in zip(brute_spans(words, window), words, sorted(out, key=lambda r: r.doc_id), strict=True):
-            assert (r.left, r.n_removed) == (" ".join(x for x, m in zip(w, mask, strict=True) if not m), sum(mask))
-            assert r.block == 1 and r.kept == "k"
-
-
-def test_repeated_bytes(spark):
-    texts = odd_texts(2)
-    for size in (200, 40, 9):
-        out = remove_repeated_bytes(clash(spark, texts), size=size, per_bucket=500).select("row.doc_id", "kept", "n_removed", "removed").collect()
-        data = [(t or "").encode() for t in texts]
-        for mask, b, r in zip(brute_spans(data, size), data, sorted(out, key=lambda r: r.doc_id), strict=True):
-            assert bytes(r.kept) == bytes(x for x, m in zip(b, mask, strict=True) if not m)
-            assert r.n_removed == sum(mask) == sum(s.end - s.start for s in r.removed)
+        check_passages(spark, odd_texts(), window, **tuning)
+
+
+@pytest.mark.parametrize("tuning", TUNING)
+def test_repeated_bytes(spark, tuning):
+    for size in (200, 40, 9, 1):
+        check_bytes(spark, odd_texts(2), size, **tuning)
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (10, 11):
+        a, b = thue_morse(n)
+        texts = [" ".join([a] * 36), " ".join([b] * 36), f"{a} x", f"{b} y", " ".join([a, b] * 20)]
+        check_passages(spark, texts, 35)
+        check_passages(spark, texts, 35, hot=1)
+        check_bytes(spark, [a, b, a + "x", b + "y"], 1 << n)
+        check_bytes(spark, [a, b, a + "x", b + "y"], 1 << n, hot=1)
+        got = jaccard_components(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string"))
+        assert {r.id: r.component for r in got.collect()} == {1: 1, 2: 2}
+        known = lm_score(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), F.col("doc_id") == 1)
+        assert {r.doc_id: r.n_known for r in known.select("row.doc_id", "n_known").collect()} == {1: 2, 2: 1}
+
+
+def test_repeated_bytes_as_text(spark):
     text = remove_repeated_bytes(clash(spark, ["é" * 300, "x" + "é" * 300]), as_text=True).select("kept").collect()
     assert {r.kept for r in text} == {"", "x"}
 
 
+def test_counts_of_64_bits():
+    from contactrank.llm import blocks as B
+
+    keys, big = np.array([3, 5, 9], np.uint64), np.array([2**33, 7, 10**12])
+    decide = B.counter()
+    answers = decide([B.planes(big) + B.pack(keys), B.planes(np.array([2**33])) + B.pack(keys[:1])])
+    assert B.counts_in(answers[0]).tolist() == [2**34, 7, 10**12] and B.counts_in(answers[1]).tolist() == [2**34]
+
+
 def brute_components(texts, ids, size, num, den):
     sets = []
     for t in texts:
