@@ -1,25 +1,29 @@
-"""Operator 3: language-model scoring with a weighted backoff automaton.
+"""Operator 3: language-model scoring with a weighted backoff automaton of three orders.
 
-States are the root and one state per token seen in training (the bigram contexts). A state has an arc per bigram seen
-after it, with the log-probability of the smoothed bigram, and one failure arc to the root, whose weight is the
-mass it keeps for anything else; the root has an arc per known token and one for unknown ones. Smoothing is by a
-Dirichlet prior: P(w | h) = (c(h, w) + beta P(w)) / (c(h) + beta), P(w) = (c(w) + 1) / (N + V + 1), so arcs and
-failure arcs of each state sum to one.
+States are the root, one per token seen in training and one per pair of tokens seen there. A state has an arc per token
+seen after it, whose weight is the smoothed log-probability, and a failure arc to the state without its oldest token,
+whose weight is the mass that it keeps for anything else; the root has an arc per known token and one for unknown ones.
+Smoothing is by Dirichlet priors, order by order: P(w) = (c(w) + 1) / (N + V + 1), P(w | h) = (c(h, w) + beta P(w | h'))
+/ (c(h) + beta) with h' the shorter context, so arcs and failure arc of a state sum to one; every n-gram of the
+training texts is in the automaton, which grows with them.
 
-The automaton grows with the corpus and is nowhere whole. A block of documents asks for the arcs that its texts can
-take: its distinct tokens and bigrams, with their counts if they are in training documents. Buckets of the key space
-add up the counts of all blocks and answer. Then each block walks its documents from left to right, all at once:
-the state after a token is its own state if training knows it and the root if not, and every step takes its arc, or
-the failure arc and the root's.
+It is nowhere whole. A block of documents asks for the arcs that its texts can take: its distinct tokens, as text, and
+its distinct pairs and triples, by hash, with their counts if they are in training documents. Buckets add up the counts
+of all blocks and answer those who asked. Then the block's documents are walked from left to right, side by side, a
+token a step: each carries its state, takes the arc or follows failure arcs down to one, and adds up the weights.
 
-Every answer also carries its bucket's share of N and V, so no second pass is needed; nothing goes to the driver.
+Tokens are compared as text. Pairs and triples are 64-bit hashes of their tokens' digests, cut to SPARE_BITS more
+than the number of tokens has: about one n-gram in 2**SPARE_BITS shares the count of another.
 
-Defined results: null and empty texts are the end token alone; rows of unknown id count as training; repeated rows
-count as often as they occur; an empty table gives none; other columns come back in `row`.
+Defined results: null and empty texts are the end token alone; rows whose `train` is null count as training; repeated
+rows count as often as they occur; an empty table gives none; other columns come back in `row`.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,77 +35,143 @@ from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
 
 _U = np.uint64
-_END = P.mix(np.array([0xE0F], np.uint64))[0]
 _BLOCK = 6 << 20
-
-
-def automaton_keys(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token, an end token after each document's words: document, token key, bigram key, place of the token before.
-
-    Token keys are odd and bigram keys are even. The first token of a document follows the end token.
+SPARE_BITS = 20
+
+
+class Tokens:
+    """Tokens of a block, an end token after each document's words: document and number of each, and the distinct ones in an order of their digests."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        data, offsets = P.concat(texts)
+        words = P.Words(P.lower_ascii(data), offsets)
+        number, distinct = P.dictionary(words)
+        self.length = np.diff(words.first) + 1
+        self.doc = np.repeat(np.arange(len(self.length)), self.length)
+        self.end = np.cumsum(self.length) - 1
+        inner = np.ones(len(self.doc), bool)
+        inner[self.end] = False
+        # no word holds white space: one space stands for the end
+        distinct = pa.concat_arrays([distinct.cast(pa.large_binary()), pa.array([b" "], pa.large_binary())])
+        digests = P.strong(distinct)
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.digest, self.distinct = digests[order, 0], distinct.take(pa.array(order))
+        self.number = np.full(len(self.doc), rank[-1])
+        self.number[inner] = rank[number]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pair and the triple that end at each token; a document begins after an end token, and its first triple stands for nothing."""
+        key = self.digest[self.number]
+        start = self.end - self.length + 1
+        before = np.concatenate([key[:1], key[:-1]])
+        before[start] = key[self.end[0]] if len(self.end) else 0
+        pair = P.mix(before ^ P.mix(key + _U(0x9E3779B97F4A7C15)))
+        first = np.concatenate([pair[:1], pair[:-1]])
+        triple = P.mix(first ^ P.mix(key + _U(0xD6E8FEB86659FD93)))
+        triple[start] = P.mix(pair[start] + _U(1))
+        return pair, triple
+
+
+def training_size(docs: DataFrame, train: Column, text: str) -> tuple[int, int]:
+    """Number of tokens in training documents, end tokens among them, and of distinct ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(batch.column(0), 4 << 20):
+                tokens = Tokens(part)
+                yield pa.RecordBatch.from_arrays([tokens.distinct.cast(pa.binary()), pa.array(np.bincount(tokens.number, minlength=len(tokens.distinct)))], ["token", "n"])
+
+    rows = docs.where(F.coalesce(train, F.lit(True))).select(text).mapInArrow(count, "token binary, n long")
+    got = rows.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    return got[0] or 0, got[1]
+
+
+def _count_tokens(data: list[bytes]) -> list[bytes]:
+    """Counts of each block's tokens over all blocks, compared as text."""
+    asked = [pickle.loads(d) for d in data]
+    tokens = pa.concat_arrays([pa.array(t, pa.large_binary()) for t, _ in asked]).dictionary_encode()
+    which, counts = tokens.indices.to_numpy(), np.concatenate([n for _, n in asked])
+    total = np.zeros(len(tokens.dictionary), np.int64)
+    np.add.at(total, which, counts)
+    return [B.planes(x) for x in np.split(total[which], np.cumsum([len(n) for _, n in asked])[:-1])]
+
+
+def traverse(length: np.ndarray, known_start: bool, known: np.ndarray, arcs: np.ndarray, has: np.ndarray, failure: np.ndarray) -> np.ndarray:
+    """Log-probability of each document, walked from left to right, all documents a step at a time.
+
+    known: does training have a state for the token; arcs, has, failure (order, token): weight of the arc that the
+    state of this order has for the token, whether it has one, and the weight of the state's failure arc.
+    """
+    place = np.cumsum(length) - length
+    by_length = np.argsort(-length, kind="stable")
+    lanes = np.searchsorted(-length[by_length], -np.arange(length.max(initial=0)), side="left")  # documents with more than t tokens
+    state = np.full(len(length), int(known_start))  # order of the state: the end token's
+    score, at = np.zeros(len(length)), place[by_length]
+    for t, n in enumerate(lanes.tolist()):
+        p, now = at[:n] + t, state[:n].copy()
+        total = np.zeros(n)
+        for order in (2, 1):
+            fails = (now == order) & ~has[order, p]
+            total[fails] += failure[order, p[fails]]
+            now[fails] -= 1
+        score[:n] += total + arcs[now, p]
+        state[:n] = np.where(now == 0, known[p], 2)  # an arc of a pair or triple ends in the state of the last pair
+    out = np.empty(len(length))
+    out[by_length] = score
+    return out
+
+
+def lm_score(docs: DataFrame, train: Column, text: str = "text", beta: tuple[float, float] = (300.0, 60.0)) -> DataFrame:
+    """row, n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the automaton's log10 probability).
+
+    beta: weight of the shorter context for pairs and for triples.
     """
-    data, offsets = P.concat(texts)
-    words = P.Words(P.lower_ascii(data), offsets)
-    n_docs = len(offsets) - 1
-    lengths = np.diff(words.first)
-    doc = np.repeat(np.arange(n_docs), lengths + 1)
-    token = np.empty(len(doc), np.uint64)
-    ends = np.cumsum(lengths + 1) - 1
-    inner = np.ones(len(doc), bool)
-    inner[ends] = False
-    token[inner] = words.fingerprints()
-    token[~inner] = _END
-    before = np.arange(len(doc)) - 1
-    starts = ends - lengths
-    before[starts] = ends  # of its own document: the same token as that of any other
-    pair = P.mix(token[before] * _U(0x9E3779B97F4A7C15) + token) & ~_U(1)
-    return doc, token | _U(1), pair, before
-
-
-def _count_arcs(data: list[bytes]) -> list[bytes]:
-    """Counts for each block's keys; before them, this bucket's tokens and distinct tokens of training."""
-    size = [len(d) // 12 for d in data]
-    keys = np.concatenate([B.unpack(memoryview(d)[4 * n :]) for d, n in zip(data, size, strict=True)])
-    counts = np.concatenate([B.counts_in(memoryview(d)[: 4 * n], True) for d, n in zip(data, size, strict=True)])
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
-    tokens = (uniq & _U(1)).astype(bool)
-    head = np.array([total[tokens].sum(), (total[tokens] > 0).sum()], np.int64).tobytes()
-    return [head + B.planes(x, True) for x in np.split(total[inverse], np.cumsum(size)[:-1])]
-
-
-def lm_score(docs: DataFrame, train: Column, text: str = "text", beta: float = 300.0) -> DataFrame:
-    """row, n_tokens, n_known, train_tokens, base_score (smoothed unigrams) and score (the automaton's log10 probability)."""
     total = B.total_bytes(docs, text)
+    n_train, n_distinct = training_size(docs, train, text)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(train, F.lit(True)).alias("train"))
     rows = B.in_blocks(rows, total, _BLOCK)
-    n = B.n_buckets(total / 8)
+    n, n_tokens = B.n_buckets(total / 4), B.n_buckets(total / 100)
+    shift = _U(max(0, 64 - SPARE_BITS - max(20, int(total // 4).bit_length())))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        doc, token, pair, _ = automaton_keys(pc.struct_field(table["row"], text))
-        trained = np.concatenate([table["train"].combine_chunks().to_numpy(zero_copy_only=False)[doc]] * 2)
-        uniq, inverse = np.unique(np.concatenate([token, pair]), return_inverse=True)
-        counts = np.bincount(inverse, weights=trained, minlength=len(uniq)).astype(np.int64)
-        bounds = np.searchsorted(B.even_bucket(uniq, n), np.arange(n + 1))
-        return B.messages((b, key[0].as_py(), B.planes(counts[lo:hi], True) + B.pack(uniq[lo:hi])) for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)))
+        tokens, block = Tokens(pc.struct_field(table["row"], text)), key[0].as_py()
+        trained = table["train"].combine_chunks().to_numpy(zero_copy_only=False)[tokens.doc].astype(np.int64)
+        pair, triple = tokens.grams()
+        asked = B.ask(block, np.concatenate([pair, triple]) >> shift << shift, lambda k: B.even_bucket(k, n), counts=np.concatenate([trained, trained]))
+        counts = np.zeros(len(tokens.distinct), np.int64)
+        np.add.at(counts, tokens.number, trained)
+        words = tokens.distinct.to_pylist()
+        more = [(n + b, block, pickle.dumps((words[lo:hi], counts[lo:hi]))) for b, lo, hi in B.runs(B.even_bucket(tokens.digest, n_tokens))]
+        return pa.concat_tables([asked, B.messages(more)])
+
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        data = table["data"].to_pylist()
+        return table.set_column(2, "data", pa.array(_count_tokens(data) if key[0].as_py() >= n else B.counter()(data), pa.binary())).select(["bucket", "block", "data"])
 
     def walk(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        doc, token, pair, before = automaton_keys(pc.struct_field(table["row"], text))
-        replies = B.answers_of(answers)
-        n_train, n_distinct = np.sum([np.frombuffer(r, np.int64, 2) for r in replies], axis=0)
-        known = np.concatenate([B.counts_in(memoryview(r)[16:], True) for r in replies])
-        _, inverse = np.unique(np.concatenate([token, pair]), return_inverse=True)
-        c = known[inverse].astype(np.float64)
-        c_token, c_pair = c[: len(token)], c[len(token) :]
-        root = np.log10((c_token + 1) / (n_train + n_distinct + 1))  # the root's arcs
-        c_state = c_token[before]
-        failure = np.log10(beta / (c_state + beta))  # 0 at the root itself
-        arc = np.log10((c_pair + beta * 10**root) / (c_state + beta))
-        step = np.where(c_pair > 0, arc, failure + root)
+        tokens = Tokens(pc.struct_field(table["row"], text))
+        pair, triple = tokens.grams()
+        of_grams, of_tokens = answers.filter(pc.less(answers["bucket"], n)), answers.filter(pc.greater_equal(answers["bucket"], n))
+        c2, c3 = np.split(B.counts_for(np.concatenate([pair, triple]) >> shift << shift, of_grams).astype(np.float64), 2)
+        distinct = np.concatenate([B.counts_in(d) for d in B.answers_of(of_tokens)]).astype(np.float64)
+        c1 = distinct[tokens.number]
+        start = tokens.end - tokens.length + 1
+        of_end = distinct[tokens.number[tokens.end[0]]]
+        h1, h2 = np.concatenate([c1[:1], c1[:-1]]), np.concatenate([c2[:1], c2[:-1]])
+        h1[start], h2[start] = of_end, 0
+        p1 = (c1 + 1) / (n_train + n_distinct + 1)
+        p2 = (c2 + beta[0] * p1) / (h1 + beta[0])
+        p3 = (c3 + beta[1] * p2) / (h2 + beta[1])
+        has3 = c3 > 0
+        has3[start] = False
+        failure = np.log10(np.stack([np.ones(len(h1)), beta[0] / (h1 + beta[0]), beta[1] / (h2 + beta[1])]))
+        score = traverse(tokens.length, bool(of_end > 0), (c1 > 0).astype(np.int64), np.log10(np.stack([p1, p2, p3])), np.stack([np.ones(len(c1), bool), c2 > 0, has3]), failure)
         size = table.num_rows
-        out = {"n_tokens": np.bincount(doc, minlength=size), "n_known": np.bincount(doc, weights=c_token > 0, minlength=size).astype(np.int64), "train_tokens": np.full(size, n_train), "base_score": np.bincount(doc, weights=root, minlength=size), "score": np.bincount(doc, weights=step, minlength=size)}
+        out = {"n_tokens": tokens.length, "n_known": np.bincount(tokens.doc, weights=c1 > 0, minlength=size).astype(np.int64), "train_tokens": np.full(size, n_train), "base_score": np.bincount(tokens.doc, weights=np.log10(p1), minlength=size), "score": score}
         return pa.table({"row": table["row"], **out})
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    replies = B.answer(rows.groupBy("block").applyInArrow(send, B.MESSAGE), _count_arcs)
+    replies = rows.groupBy("block").applyInArrow(send, B.MESSAGE).groupBy("bucket").applyInArrow(decide, B.MESSAGE)
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(walk, schema)

@@ -215,9 +215,9 @@ def test_bpe(spark):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert (list(r.ids), r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
     bpe = WordBpe(path)
-    (piece,) = bpe.pieces("naïve日本")
-    cuts = bpe.cut(list(piece))
-    assert len(cuts) > 1 and all((a[-1], b[0]) not in bpe.inside for a, b in zip(cuts, cuts[1:], strict=False))
+    raw = np.frombuffer("naïve日本".encode(), np.uint8)
+    code, start = bpe.cuts(raw, np.array([len(raw)]))
+    assert len(start) > 1 and not bpe.inside[code[start[1:] - 1], code[start[1:]]].any()
 
 
 def test_bpe_every_code_point():
@@ -240,21 +240,25 @@ def test_bpe_every_code_point():
 def test_lm(spark):
     from math import log10
 
-    texts = ["A b a b", "a b c", None, "", "c c d", "a b"]
-    got = sorted(lm_score(clash(spark, texts), F.col("doc_id") < 4, beta=2.0).select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", F.col("score").alias("s")).collect())
-    tokens = [(t or "").lower().split() + [None] for t in texts]
-    c = Counter(x for t in tokens[:4] for x in t)
-    pair = Counter(p for t in tokens[:4] for p in zip([None, *t], t, strict=False))
+    long = " ".join(random.Random(9).choice("abcdefg") for _ in range(5000))
+    texts = ["A b a b", "a b c", None, "", "c c d", "a b", "a b a b c", "a b a b c", long, "b a q b a\u3000b"]
+    train = [0, 1, 2, 3, 6, 7]
+    got = sorted(lm_score(clash(spark, texts), F.col("doc_id").isin(train), beta=(2.0, 0.5)).select("row.doc_id", "n_tokens", "n_known", "train_tokens", "base_score", F.col("score").alias("s")).collect())
+    tokens = [WORD.findall((t or "").translate(LOWER)) + [None] for t in texts]
+    c = Counter(x for k in train for x in tokens[k])
+    pair = Counter(p for k in train for p in zip([None, *tokens[k]], tokens[k], strict=False))
+    triple = Counter(p for k in train for p in zip([None, *tokens[k]], tokens[k], tokens[k][1:], strict=False))
     total = sum(c.values()) + len(c) + 1
     p1 = lambda x: (c[x] + 1) / total
+    p2 = lambda a, x: (pair[a, x] + 2 * p1(x)) / (c[a] + 2)
+    p3 = lambda a, b, x: (triple[a, b, x] + 0.5 * p2(b, x)) / (pair[a, b] + 0.5)
     for t, r in zip(tokens, got, strict=True):
-        want = sum(log10((pair[a, b] + 2 * p1(b)) / (c[a] + 2)) for a, b in zip([None, *t], t, strict=False))
+        want = log10(p2(None, t[0])) + sum(log10(p3(*x)) for x in zip([None, *t], t, t[1:], strict=False))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), sum(c.values()))
-        assert abs(r.s - want) < 1e-9 and abs(r.base_score - sum(log10(p1(x)) for x in t)) < 1e-9
-    known = [x for x in c if x is not None] + [None]
-    for h in known:  # arcs and the failure arc leave no mass over
-        mass = sum((pair[h, w] + 2 * p1(w)) / (c[h] + 2) for w in known) + 2 * p1("new") / (c[h] + 2)
-        assert abs(mass - 1) < 1e-9
+        assert abs(r.s - want) < 1e-7 and abs(r.base_score - sum(log10(p1(x)) for x in t)) < 1e-7
+    vocabulary = [*(x for x in c if x is not None), None]
+    for a, b in [(None, "a"), ("a", "b"), ("b", "c"), ("x", "a"), ("x", "y")]:  # arcs and failure arcs leave no mass over
+        assert abs(sum(p3(a, b, w) for w in vocabulary) + p3(a, b, "new") - 1) < 1e-9
 
 
 def test_language(spark):
