@@ -1,7 +1,7 @@
 """Connected components of an edge list by alternating large-star and small-star rounds, on DataFrames.
 
-Rounds grow with the logarithm of a component's diameter. Each round is two minima per node and two joins whose
-output has a row per edge, so a node with a billion neighbours is never gathered in one task.
+Rounds grow with the logarithm of a component's diameter. Each round is two minima per node, added up before they are
+shuffled, and two joins that deal a node's edges to several tasks, so a hub's neighbours are never gathered in one.
 """
 
 from __future__ import annotations
@@ -9,14 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that share the rows of one key.
+SALTS = 16
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; a folder of our own only where none is named."""
+    """The folder that the cluster names; on a local master, where none is named, a folder of our own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -26,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_salted(many: DataFrame, one: DataFrame, keys: list[str], *by: str) -> DataFrame:
+    """Inner join of many rows with one row per key; the rows of a key are dealt to SALTS tasks by a hash of `by`."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    return dealt.join(one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the least node that it reaches. Loops and repeats do no harm."""
     now = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
@@ -38,9 +52,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: every larger neighbour of a node is tied to the node's least neighbour
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_salted(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every node's smaller neighbours, and itself, are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
+        small = join_salted(large, least, ["u"], "v").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
         now = checkpoint(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -2,15 +2,17 @@
 
 1. A document's set is its distinct word n-grams. Documents with equal sets form a class, which takes part once.
 2. The global n-gram order is by the number of classes that hold an n-gram, rare ones first. A pair that reaches
-   the threshold shares an n-gram among the first |x| - ceil(t |x|) + 1 of both sets; n-grams of one class are
-   nobody's, so most documents end here.
-3. The order is cut into fragments by powers of two of the counts. Partial overlaps are counted fragment by fragment,
-   from the fragment's inverted lists, and summed per pair; a class's n-grams of its own never take part.
-4. Classes that are connected by prefix n-grams form a group, dealt in blocks of bounded size. All its pairs of classes
-   that the length filter leaves are compared, and none are sent: a task returns the number of each class's similar
-   rows, added up over the pairs of blocks, and a forest for the components.
-5. Where only components are asked for (complete=False), the most central class is compared with all, then those that
-   are left outside the largest component. A pair is skipped only inside one component, so the components are the same.
+   the threshold shares an n-gram among the first |x| - ceil(t |x|) + 1 of both sets, and their sizes are within the
+   threshold; n-grams of one class are nobody's, so most documents end here. Classes that such n-grams connect form a
+   group; only pairs of one group are compared.
+3. The order is cut into FRAGMENTS by powers of four of the counts, and every set into its segments. Groups (large ones
+   as pairs of blocks of bounded size) and fragments are dealt out together: a task counts the partial overlaps of one
+   fragment's segments.
+4. The partial counts of a pair are summed over the fragments and compared with the threshold. Pairs travel as packed
+   arrays, never as rows; what leaves is each class's number of similar rows and a forest for the components.
+
+Words are 128-bit BLAKE2 digests, mixed into a 64-bit hash per n-gram; a class is 128 bits of all of its set. So a set is
+never taken for another, and an overlap is off by one with a chance of its set's size times n / 2**64 for n n-grams.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing and are their
 own component with no links; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; a
@@ -19,6 +21,7 @@ null id counts after every other id; an empty table gives none.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,36 +31,43 @@ from pyspark.sql import functions as F
 
 from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
-from contactrank.llm.components import checkpoint, components
-from contactrank.llm.blocks import slices
+from contactrank.llm.components import checkpoint, components, join_salted
 
 _U = np.uint64
 #: Text in one block of documents.
 BLOCK_BYTES = 2 << 20
-#: N-grams in one block of a group; a task holds two blocks.
-BLOCK_GRAMS = 500_000
-#: Occurrences are counted by a fingerprint's upper bits, this many more than the number of n-grams has. The count only
+#: N-grams and classes in one block of a group; a task holds one fragment of two blocks.
+BLOCK_GRAMS = 400_000
+BLOCK_CLASSES = 1_000
+#: Fragments of the n-gram order: counts of 2 and 3, to 15, to 63, ... and all above.
+FRAGMENTS = 6
+#: Occurrences are counted by a hash's upper bits, this many more than the number of n-grams has. The count only
 #: orders n-grams, so the few that share these bits do no harm.
 SPARE_BITS = 12
-#: Pairs that are compared at once.
+#: Pairs that are counted at once.
 PAIRS = 1 << 21
 #: A member's side where a group's pairs are those inside one block.
 WITHIN = 2
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, fingerprint) of each document's distinct n-grams, ordered by both."""
+    """(document number, hash) of each document's distinct n-grams, ordered by both."""
     data, offsets = P.concat(texts)
     words = P.Words(P.lower_ascii(data), offsets)
-    prints = words.fingerprints()
-    at, keys = words.windows(size, prints)
-    docs = words.doc[at]
-    lengths = np.diff(words.first)
-    for n in range(1, size):  # whole sequences of fewer words
-        at, short = words.windows(n, prints)
-        own = lengths[words.doc[at]] == n
-        docs = np.concatenate([docs, words.doc[at][own]])
-        keys = np.concatenate([keys, P.mix(short[own] + _U(n))])
+    number, distinct = P.dictionary(words)
+    digest = P.strong(distinct)
+    digest = P.mix(digest[:, 0] ^ P.mix(digest[:, 1]))[number] if len(number) else np.zeros(0, np.uint64)
+    left = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(len(words))  # words from here to the document's end
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    print_ = digest
+    for n in range(1, size + 1):
+        if n > 1:
+            print_ = P.mix(print_[:-1] ^ P.mix(digest[n - 1 :] + _U(0x9E3779B97F4A7C15)))
+        # whole sequences of fewer words than an n-gram, then n-grams
+        at = np.flatnonzero((left >= size) if n == size else (left == n) & (np.arange(len(words)) == words.first[words.doc]))
+        docs.append(words.doc[at])
+        keys.append(P.mix(print_[at] + _U(n)))
+    docs, keys = np.concatenate(docs), np.concatenate(keys)
     order = np.lexsort((keys, docs))
     docs, keys = docs[order], keys[order]
     new = np.ones(len(docs), bool)
@@ -66,245 +76,226 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarr
 
 
 def set_classes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """id, th (hash of the text), n (set size) and cls (equal for equal sets, null for empty ones)."""
+    """id, th (hash of the text), n (set size), cls and cls2 (both equal for equal sets only, null for empty ones)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices(batch.column("text")):
+            for part in B.slices(batch.column("text")):
                 doc, keys = shingle_sets(part, size)
                 n = np.bincount(doc, minlength=len(part))
-                total = np.zeros(len(part), np.uint64)
-                np.add.at(total, doc, P.mix(keys ^ _U(0xA5A5A5A5A5A5A5A5)))
-                cls = P.mix(total + n.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(part)), "th": batch.column("th").slice(done, len(part)), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, mask=n == 0)})
+                lanes = []
+                for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
+                    total = np.zeros(len(part), np.uint64)
+                    np.add.at(total, doc, P.mix(keys ^ _U(salt)))
+                    lanes.append(pa.array(P.mix(total + n.astype(np.uint64)).view(np.int64), mask=n == 0))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(part)), "th": batch.column("th").slice(done, len(part)), "n": pa.array(n, pa.int64()), "cls": lanes[0], "cls2": lanes[1]})
                 done += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(label, "id long, th long, n long, cls long")
+    return rows.mapInArrow(label, "id long, th long, n long, cls long, cls2 long")
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """cls, n, size (rows), m (n-grams not of this class alone), central, prefix (n-grams that a partner may share), grams (count and fingerprint of all that others hold too)."""
+    """v (number of the class), cls, cls2, n, size (rows), m (n-grams not of this class alone), prefix (n-grams that a partner may share), cut (n-grams in each fragment), grams (all that others hold too, in the global order)."""
     num, den = threshold
     n_bytes = B.total_bytes(docs, text)
     n_blocks = max(8, -(-n_bytes // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).alias("block")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).withColumn("block", place)
-    chosen = members.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size")).select("first.id", "first.th", "cls", "size").withColumn("block", place)
+    chosen = members.where("cls is not null").groupBy("cls", "cls2").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size")).select("first.id", "first.th", "cls", "cls2", "size").withColumn("block", place)
     buckets = B.n_buckets(n_bytes / 6)
     shift = _U(max(0, 64 - SPARE_BITS - max(20, int(n_bytes // 6).bit_length())))
 
     def send(key: tuple, table: pa.Table, reps: pa.Table) -> pa.Table:
-        cls = {(i, h): (c, s) for i, h, c, s in zip(*(reps[k].to_pylist() for k in ("id", "th", "cls", "size")), strict=True)}
+        cls = {(i, h): own for i, h, *own in zip(*(reps[k].to_pylist() for k in ("id", "th", "cls", "cls2", "size")), strict=True)}
         take, own = [], []
         for k, pair in enumerate(zip(table["id"].to_pylist(), table["th"].to_pylist(), strict=True)):
             if (c := cls.pop(pair, None)) is not None:
                 take.append(k)
                 own.append(c)
         _, keys = shingle_sets(table["text"].take(pa.array(take, pa.int64())), size)
-        state = np.array(own, np.int64).reshape(-1, 2).T.tobytes() + table["th"].take(pa.array(take, pa.int64())).to_numpy().astype(np.int64).tobytes()
+        state = np.array(own, np.int64).reshape(-1, 3).T.tobytes() + table["th"].take(pa.array(take, pa.int64())).to_numpy().astype(np.int64).tobytes()
         return B.ask(key[0].as_py(), keys >> shift << shift, lambda k: B.even_bucket(k, buckets), state=state)
 
     def prefixes(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        cls, rows_of, th = np.frombuffer(B.state_of(answers), np.int64).reshape(3, -1)
+        cls, cls2, rows_of, th = np.frombuffer(B.state_of(answers), np.int64).reshape(4, -1)
         where = {h: k for k, h in enumerate(table["th"].to_pylist())}
-        take = pa.array([where[h] for h in th.tolist()], pa.int64())
-        doc, keys = shingle_sets(table["text"].take(take), size)
+        doc, keys = shingle_sets(table["text"].take(pa.array([where[h] for h in th.tolist()], pa.int64())), size)
         counts = B.counts_for(keys >> shift << shift, answers)
         order = np.lexsort((keys, counts, doc))
         doc, keys, counts = doc[order], keys[order], counts[order]
         bounds = np.searchsorted(doc, np.arange(len(cls) + 1))
-        out: dict[str, list] = {c: [] for c in ("cls", "n", "size", "m", "central", "prefix", "counts", "grams")}
+        edges = 4 ** np.arange(1, FRAGMENTS)
+        out: dict[str, list] = {c: [] for c in ("v", "cls", "cls2", "n", "size", "m", "prefix", "cut", "grams")}
         for d, c in enumerate(cls.tolist()):
             lo, hi = bounds[d], bounds[d + 1]
-            n = hi - lo
+            n = int(hi - lo)
             length = n - -(-n * num // den) + 1
             alone = int(np.searchsorted(counts[lo:hi], 2))
             if alone < length:
-                out["cls"].append(c)
-                out["n"].append(n)
-                out["size"].append(rows_of[d])
-                out["m"].append(n - alone)
-                out["central"].append(float(counts[lo:hi].sum()) / n)
-                out["prefix"].append(keys[lo + alone : lo + length].view(np.int64))
-                out["counts"].append(counts[lo + alone : hi].astype(np.int16))
-                out["grams"].append(keys[lo + alone : hi].view(np.int64))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int64())]
+                cut = np.diff(np.concatenate([[0], np.searchsorted(counts[lo + alone : hi], edges), [n - alone]]))
+                for name, value in zip(out, (key[0].as_py() << 24 | d, c, int(cls2[d]), n, int(rows_of[d]), n - alone, keys[lo + alone : lo + length].view(np.int64), cut, keys[lo + alone : hi].view(np.int64)), strict=True):
+                    out[name].append(value)
+        types = [*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 3]
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), types, strict=True)})
 
     asked = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, B.MESSAGE)
     counted = B.answer(asked, B.counter())
-    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "cls long, n long, size long, m long, central double, prefix array<long>, counts array<short>, grams array<long>")
-
-
-class _Group:
-    """Classes that may be similar: those of one block (side WITHIN), or of two (sides 0 and 1)."""
-
-    def __init__(self, cls: np.ndarray, n: np.ndarray, size: np.ndarray, m: np.ndarray, central: np.ndarray, side: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.cls, self.n, self.size, self.m, self.central, self.side = cls, n, size, m, central, side
-        sizes = np.array([len(g) for g in grams])
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        _, self.ids = np.unique(np.concatenate(grams), return_inverse=True)
-        self.fragment = np.frexp(np.concatenate(counts).astype(np.float64))[1]  # by powers of two of the count
-        member = np.repeat(np.arange(len(cls)), sizes)
-        order = np.argsort(self.ids, kind="stable")
-        self.posting = member[order]
-        self.start = np.searchsorted(self.ids[order], np.arange(self.ids.max() + 2))
-
-    def overlaps(self, a: int) -> np.ndarray:
-        """Overlap of a with every member: the partial overlaps of the fragments, summed."""
-        ids, fragment = (x[self.bounds[a] : self.bounds[a + 1]] for x in (self.ids, self.fragment))
-        total = np.zeros(len(self.cls), np.int64)
-        for f in np.unique(fragment):
-            holders = [self.posting[self.start[i] : self.start[i + 1]] for i in ids[fragment == f]]
-            total += np.bincount(np.concatenate(holders), minlength=len(total))
-        return total
-
-    def complete(self, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """A forest with the components of all similar pairs, and each member's number of similar rows.
-
-        Pairs of one block, or those across two. Members are ordered by set size, so the length filter leaves a range
-        of partners. N-grams that many members hold are counted by a product of matrices, others from their lists.
-        """
-        k = len(self.cls)
-        order = np.lexsort((self.n, self.side))
-        place = np.empty(k, np.int64)
-        place[order] = np.arange(k)
-        n, size, within = self.n[order], self.size[order].astype(np.float64), self.side[0] == WITHIN
-        cut = 0 if within else int((self.side == 0).sum())
-        rows = k if within else cut
-        held = np.diff(self.start)
-        common = held >= max(2, k / 8)
-        posting, of = place[self.posting], np.repeat(np.arange(len(held)), held)
-        dense = np.zeros((k, int(common.sum())), np.float32)
-        dense[posting[common[of]], (np.cumsum(common) - 1)[of[common[of]]]] = 1
-        few = ~common & (held > 1)
-        owner, gram = posting[few[of]], of[few[of]]
-        by_owner = np.argsort(owner, kind="stable")
-        owner, gram = owner[by_owner], gram[by_owner]
-        upto = np.searchsorted(owner, np.arange(k + 1))
-        most = int(np.bincount(owner, weights=held[gram], minlength=1).max())
-        step = max(1, PAIRS // max(k, most))
-        comp, links, out, flag = np.arange(k), np.zeros(k), [], np.zeros(k, bool)
-        for lo in range(0, rows, step):
-            hi = min(rows, lo + step)
-            first = cut + int(np.searchsorted(n[cut:] * den, n[lo] * num))
-            last = hi if within else cut + int(np.searchsorted(n[cut:] * num, n[hi - 1] * den, "right"))
-            if last <= first:
-                continue
-            overlap = dense[lo:hi] @ dense[first:last].T
-            g = gram[upto[lo] : upto[hi]]
-            many = held[g]
-            if many.sum():
-                at = np.repeat(self.start[g] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                row, partner = np.repeat(owner[upto[lo] : upto[hi]] - lo, many), posting[at]
-                inside = (partner >= first) & (partner < last)
-                overlap += np.bincount(row[inside] * (last - first) + partner[inside] - first, minlength=overlap.size).reshape(overlap.shape)
-            similar = overlap >= -(-(n[lo:hi, None] + n[None, first:last]) * num // (num + den))
-            if within:
-                similar &= np.arange(first, last) < np.arange(lo, hi)[:, None]
-            weight = similar.astype(np.float64)
-            links[lo:hi] += weight @ size[first:last]
-            links[first:last] += size[lo:hi] @ weight
-            for r in np.flatnonzero(similar.any(1)).tolist():
-                b = first + np.flatnonzero(similar[r])
-                b = b[comp[b] != comp[lo + r]]
-                if len(b):
-                    joined, one_each = np.unique(comp[b], return_index=True)
-                    out += [(int(order[lo + r]), int(order[x])) for x in b[one_each]]
-                    flag[joined] = True
-                    comp[flag[comp]] = comp[lo + r]
-                    flag[joined] = False
-        return out, np.rint(links).astype(np.int64)[place]
-
-    def links(self, num: int, den: int) -> list[tuple[int, int]]:
-        """A forest with the components of the group's similar pairs.
-
-        The most central member is compared with all others. Then members outside the largest component are, until
-        every pair is inside one component or compared.
-        """
-        k = len(self.cls)
-        comp, done, out = np.arange(k), np.zeros(k, bool), []
-        a = int(np.lexsort((self.cls, -self.central))[0])
-        while True:
-            done[a] = True
-            other = (comp != comp[a]) & (np.minimum(self.m, self.m[a]) * (num + den) >= (self.n + self.n[a]) * num)
-            if other.any():
-                for b in np.flatnonzero(other & (self.overlaps(a) * (num + den) >= (self.n + self.n[a]) * num)).tolist():
-                    if comp[b] != comp[a]:
-                        out.append((a, b))
-                        comp[comp == comp[b]] = comp[a]
-            size = np.bincount(comp, minlength=k)
-            left = np.flatnonzero(~done & (comp != size.argmax()))
-            if not len(left):
-                return out
-            a = int(left[np.argmin(size[comp[left]])])
-
-
-def _links(sets: DataFrame, threshold: tuple[int, int], complete: bool) -> DataFrame:
-    """(a, b, links): similar classes, enough of them to connect all that the complete join would.
-
-    If complete, also rows without b: a's number of similar rows in one pair of blocks; their sum is the complete join's.
-
-    Classes that are connected by shared prefix n-grams form a group and are sent once. A group of more than
-    BLOCK_GRAMS n-grams is cut into blocks of members, and each pair of blocks is compared on its own, so no task holds
-    more than two blocks.
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "v long, cls long, cls2 long, n long, size long, m long, prefix array<long>, cut array<long>, grams array<long>")
+
+
+def partial_overlaps(group: np.ndarray, side: np.ndarray, bounds: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, count): common n-grams of the pairs of members of one group, for members in the order of their groups.
+
+    grams[bounds[i] : bounds[i + 1]] are those of member i. In a group of k members from place p on, whose squares of
+    earlier sizes add up to s, members p + i and p + j with i < j are pair s + i k + j.
     """
+    k = np.bincount(group)
+    first, base = np.cumsum(k) - k, np.cumsum(k * k) - k * k
+    owner = np.repeat(np.arange(len(group)), np.diff(bounds))
+    order = np.lexsort((owner, grams, group[owner]))
+    owner, grams = owner[order], grams[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (group[owner[1:]] != group[owner[:-1]])
+    run = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    held = np.diff(np.append(start, len(owner)))
+    of = group[owner[start]] if len(start) else np.zeros(0, np.int64)
+    common = (held > 64) & (held >= k[of] / 8)  # held by many of a large group: counted by a product of matrices
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for g in np.unique(of[common]).tolist():
+        runs = np.flatnonzero(common & (of == g))
+        overlap = np.zeros((k[g], k[g]), np.float32)
+        for some in np.array_split(runs, -(-len(runs) // 2048)):
+            table = np.zeros((k[g], len(some)), np.float32)
+            for c, r in enumerate(some.tolist()):
+                table[owner[start[r] : start[r] + held[r]] - first[g], c] = 1
+            overlap += table @ table.T
+        i, j = np.nonzero(np.triu(overlap, 1))
+        if side[first[g]] != WITHIN:
+            ok = side[first[g] + i] != side[first[g] + j]
+            i, j = i[ok], j[ok]
+        out.append((base[g] + i * k[g] + j, overlap[i, j].astype(np.int64)))
+    back = np.where(common[run], 0, np.arange(len(owner)) - start[run]) if len(run) else np.zeros(0, np.int64)  # earlier members of the run
+    for some in np.split(np.flatnonzero(back), np.searchsorted(np.cumsum(back[back > 0]), np.arange(PAIRS, int(back.sum()), PAIRS))):
+        n = back[some]
+        j = np.repeat(owner[some], n)
+        i = owner[np.repeat(start[run[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ok = (side[i] == WITHIN) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        g = group[i]
+        out.append(np.unique(base[g] + (i - first[g]) * k[g] + j - first[g], return_counts=True))
+    pairs, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+    uniq, inverse = np.unique(pairs, return_inverse=True)
+    total = np.zeros(len(uniq), np.int64)
+    np.add.at(total, inverse, counts)
+    return uniq, total
+
+
+def similar_pairs(pair: np.ndarray, overlap: np.ndarray, group: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of the pairs whose overlap, summed over the fragments, reaches the threshold."""
+    k = np.bincount(group)
+    first, base = np.cumsum(k) - k, np.cumsum(k * k) - k * k
+    g = np.searchsorted(base, pair, side="right") - 1
+    i, j = np.divmod(pair - base[g], k[g])
+    i, j = first[g] + i, first[g] + j
+    ok = overlap * (num + den) >= (n[i] + n[j]) * num
+    return i[ok], j[ok]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node that each node reaches over the edges (i, j)."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[i], least[j])
+        np.minimum.at(least, least[i], low)
+        np.minimum.at(least, least[j], low)
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b, links): a forest over the similar classes (b not null), and each class's number of similar rows in one pair of blocks (b null); their sum is the whole join's."""
     num, den = threshold
-    scalars = ("cls", "n", "size", "m", "central", "side")
-    tokens = sets.select("cls", F.explode("prefix").alias("token"))
-    stars = tokens.join(tokens.groupBy("token").agg(F.min("cls").alias("hub")), "token").where("cls <> hub")
-    groups = components(stars.select("cls", "hub").distinct(), "cls", "hub").select(F.col("node").alias("cls"), F.col("component").alias("g"))
-    groups = checkpoint(groups.join(sets.select("cls", "m"), "cls"))
-    n_blocks = groups.groupBy("g").agg(F.ceil(F.sum("m") / BLOCK_GRAMS).cast("int").alias("n_blocks"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")
+    # sizes of similar sets are in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
+    tokens = sets.select("v", band.alias("band"), F.explode("prefix").alias("token"))
+    hubs = checkpoint(tokens.groupBy("token", "band").agg(F.min("v").alias("hub"), F.count("*").alias("n")))
+    stars = join_salted(tokens, hubs.where("n > 1").select("token", "band", "hub"), ["token", "band"], "v").where("v <> hub").select("v", "hub")
+    bridges = hubs.select("token", "band", F.col("hub").alias("v")).join(hubs.select("token", (F.col("band") - 1).alias("band"), "hub"), ["token", "band"]).where("v <> hub").select("v", "hub")
+    groups = components(stars.union(bridges).distinct(), "v", "hub").select(F.col("node").alias("v"), F.col("component").alias("g"))
+    groups = checkpoint(groups.join(sets.select("v", "m"), "v"))
+    n_blocks = groups.groupBy("g").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int").alias("n_blocks"))
+    mine = F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = groups.join(n_blocks, "g").select("cls", "m", "g", mine.alias("mine"), other)
+    rows = join_salted(groups, n_blocks, ["g"], "v").select("v", "m", "g", mine.alias("mine"), other)
     side = F.when(F.col("mine") == F.col("other"), WITHIN).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    rows = rows.select("cls", "m", side.alias("side"), F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
+    rows = rows.select("v", "m", side.alias("side"), F.xxhash64("g", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"))
     work = rows.agg(F.sum("m")).first()[0] or 0
-    rows = rows.drop("m").join(sets.select("cls", "n", "size", "m", "central", "counts", "grams"), "cls")
-    rows = rows.withColumn("w", F.pmod(F.xxhash64("g"), F.lit(int(max(16, work // BLOCK_GRAMS)))))
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("g")
-        c = {k: table[k].combine_chunks() for k in (*scalars, "counts", "grams")}
-        c = {k: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for k, v in c.items()}
-        flat = {k: (c[k].offsets.to_numpy(), c[k].values.to_numpy()) for k in ("counts", "grams")}
-        plain = {k: c[k].to_numpy() for k in scalars}
-        a, b, n_links = [], [], []
-        for _, lo, hi in B.runs(table["g"].to_numpy()):
-            if hi - lo > 1:
-                cut = {k: [v[o[i] : o[i + 1]] for i in range(lo, hi)] for k, (o, v) in flat.items()}
-                group = _Group(*(v[lo:hi] for v in plain.values()), cut["grams"], cut["counts"])
-                forest, count = group.complete(num, den) if complete else (group.links(num, den), np.zeros(0, np.int64))
-                some = np.flatnonzero(count)
-                a += [group.cls[x] for x, _ in forest] + group.cls[some].tolist()
-                b += [group.cls[y] for _, y in forest] + [None] * len(some)
-                n_links += [None] * len(forest) + count[some].tolist()
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a), ("b", b), ("links", n_links))})
-
-    return checkpoint(rows.select("w", "g", *scalars, "counts", "grams").groupBy("w").applyInArrow(compare, "a long, b long, links long"))
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10), complete: bool = True) -> DataFrame:
-    """(id, th, n, cls, comp, component, n_links): documents linked, directly or through others, by Jaccard >= num / den.
-
-    component is the least id reachable; th is xxhash64 of the text; cls is equal for equal sets, comp for
-    linked ones, both null for empty sets. n_links is the number
-    of other rows with Jaccard >= num / den, rows of equal sets among them; without complete it is not computed.
+    rows = rows.drop("m").withColumn("w", F.pmod(F.xxhash64("g"), F.lit(int(max(16, work // BLOCK_GRAMS)))))
+    segment = F.posexplode(F.transform("cut", lambda n, f: F.slice("grams", (F.aggregate(F.slice("cut", 1, f), F.lit(0).cast("long"), lambda a, x: a + x) + 1).cast("int"), n.cast("int")))).alias("f", "segment")
+    rows = rows.join(sets.select("v", "n", "size", segment), "v")
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        """One fragment's partial overlaps, and with the first fragment what is known of the members."""
+        w, fragment = (x.as_py() for x in key)
+        table = table.combine_chunks().sort_by([("g", "ascending"), ("v", "ascending")])
+        _, group = np.unique(table["g"].to_numpy(), return_inverse=True)
+        segments = table["segment"].combine_chunks()
+        segments = segments.chunk(0) if isinstance(segments, pa.ChunkedArray) else segments
+        offsets = segments.offsets.to_numpy().astype(np.int64)
+        pair, overlap = partial_overlaps(group, table["side"].to_numpy(), offsets - offsets[0], segments.flatten().to_numpy())
+        out = [(w, fragment, B.planes(overlap) + B.pack(pair.astype(np.uint64)))]
+        if fragment == 0:
+            out.append((w, -1, pickle.dumps([group, *(table[c].to_numpy() for c in ("v", "n", "size"))])))
+        return pa.table({c: pa.array(x, kind) for c, x, kind in zip(("w", "f", "data"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+    def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        """Sums every pair's partial overlaps."""
+        data = dict(zip(table["f"].to_pylist(), table["data"].to_pylist(), strict=True))
+        group, v, n, size = pickle.loads(data.pop(-1))
+        _, pairs, counts = B.keys_and_counts([*data.values()])
+        pair, inverse = np.unique(pairs, return_inverse=True)
+        overlap = np.zeros(len(pair), np.int64)
+        np.add.at(overlap, inverse, counts)
+        i, j = similar_pairs(pair.astype(np.int64), overlap, group, n, num, den)
+        links = np.zeros(len(v), np.int64)
+        np.add.at(links, i, size[j])
+        np.add.at(links, j, size[i])
+        least, some = forest(len(v), i, j), np.flatnonzero(links)
+        tied = np.flatnonzero(least != np.arange(len(v)))
+        a, b = np.concatenate([v[tied], v[some]]), np.concatenate([v[least[tied]], v[some]])
+        n_links = np.concatenate([np.zeros(len(tied), np.int64), links[some]])
+        of_links = np.arange(len(a)) >= len(tied)
+        return pa.table({"a": a, "b": pa.array(b, mask=of_links), "links": pa.array(n_links, mask=~of_links)})
+
+    partial = rows.groupBy("w", "f").applyInArrow(count, "w long, f long, data binary")
+    return checkpoint(partial.groupBy("w").applyInArrow(add_up, "a long, b long, links long"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """(id, th, n, comp, component, n_links): documents linked, directly or through others, by Jaccard >= num / den.
+
+    component is the least id reachable; th is xxhash64 of the text; comp is equal for linked rows, null for empty sets.
+    n_links is the number of other rows with Jaccard >= num / den, rows of equal sets among them.
     """
     members = checkpoint(set_classes(docs, id_col, text, size))
     sets = checkpoint(_candidate_sets(docs, members, id_col, text, size, threshold))
-    links = _links(sets, threshold, complete)
-    labels = components(links.where("b is not null")).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-    if complete:
-        partners = links.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("partners"))
-        classes = members.where("cls is not null").groupBy("cls").agg((F.count("*") - 1).alias("copies"))
-        labels = classes.join(partners, "cls", "left").join(labels, "cls", "left")
-        labels = labels.select("cls", "comp", (F.col("copies") + F.coalesce("partners", F.lit(0))).alias("n_links"))
-    whole = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = whole.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
-    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if complete else []
-    return whole.join(least, "comp", "left").select("id", "th", "n", "cls", "comp", F.coalesce("component", "id").alias("component"), *n_links)
+    links = _links(sets, threshold)
+    tree = components(links.where("b is not null")).select(F.col("node").alias("v"), F.col("component").alias("root"))
+    partners = links.where("b is null").groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("partners"))
+    found = sets.select("v", "cls", "cls2").join(partners, "v", "left").join(tree, "v", "left").drop("v")
+    # each class's least id and rows, then each component's; rows get them by their class
+    classes = members.where("cls is not null").groupBy("cls", "cls2").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    classes = checkpoint(classes.join(found, ["cls", "cls2"], "left"))
+    roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("low"))
+    comp = F.when(F.col("root").isNull(), F.struct("cls", "cls2")).otherwise(F.struct(F.col("root").alias("cls"), F.lit(None).cast("long").alias("cls2")))
+    linked = classes.where("root is null").withColumn("low", F.col("least")).unionByName(join_salted(classes.where("root is not null"), roots, ["root"], "cls"))
+    linked = checkpoint(linked.select("cls", "cls2", comp.alias("comp"), F.col("low").alias("component"), (F.col("rows") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
+    some = join_salted(members.where("cls is not null"), linked, ["cls", "cls2"], "id", "th")
+    none = members.where("cls is null").select("id", "th", "n", F.lit(None).cast(linked.schema["comp"].dataType).alias("comp"), F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    return some.select("id", "th", "n", "comp", "component", "n_links").unionByName(none)
