@@ -1,18 +1,19 @@
 """Operator 8: benchmark decontamination by a prefix-filtered set join.
 
-A window is `size` consecutive words of a benchmark item (an item of fewer words is one window). Words are ordered
-by rarity in the corpus. A document that holds a window holds its rarest word, so one word per window, its necessary
-prefix, is joined with the documents' words. A match at word q with the rare word at offset o of the window can only
-begin at q - o: positional and length bounds drop begins outside the document. What is left is verified, first by the
-fingerprint of the whole window and then word by word.
+A window is `size` consecutive words of a benchmark item (an item of fewer words is one window). Its set is that of its
+words, each a shingle of one; words are ordered by rarity in the corpus. A document that holds a window holds its rarest word, so
+one word per window, its necessary prefix, is joined with the documents' words. A match at word q with the rare word
+at offset o of the window can only begin at q - o: positional and length bounds drop begins outside the document. What
+is left is verified, first by the hash of the whole window and then by its text.
 
-Corpus and documents are scanned without any shuffle of texts. The index of windows is sent to every task in parts
-of at most PART_WINDOWS windows, whose size is thereby bounded; a larger benchmark takes more parts, that is, more
-passes over a task's rows, and no more memory.
+Documents are scanned without any shuffle of texts: once for the rarity of words, then once per part of the
+benchmark. A part has about PART_WINDOWS windows, so what is on the driver and sent to the tasks is bounded by one part (100
+MB), whatever the benchmark's size; parts are fetched, sent and released one after the other. Rarity is counted in
+CELLS cells of a hash, of which only those of benchmark words are counted: any order of words gives the same hits.
 
 Defined results: null and empty texts have no words and no hits; items without words have no window; repeated items
-count once by id, and a null item id reads as the empty string; an empty benchmark or table hits nothing; input
-columns come back untouched in `row`.
+count once by id, and a null item id reads as the empty string; an empty benchmark or table hits nothing; repeated
+rows each give a row; input columns come back untouched in `row`.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
 from contactrank.llm.blocks import slices
+from contactrank.llm.components import checkpoint
 
-#: Windows in one part of the index: about 100 bytes each, so that a part stays under 100 MB.
-PART_WINDOWS = 1_000_000
+#: Windows in one part of the index: about 140 bytes each.
+PART_WINDOWS = 500_000
+CELLS = 1 << 18
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -60,47 +63,44 @@ def item_windows(items: DataFrame, id_col: str, text: str, size: int) -> DataFra
     return rows.mapInArrow(cut, "item string, words array<string>")
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
-    """Occurrences in the corpus of each word, given by sorted fingerprints."""
+def _cells(prints: np.ndarray) -> np.ndarray:
+    return (prints >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(docs: DataFrame, text: str, used: np.ndarray | None) -> np.ndarray:
+    """Occurrences of the words of each cell; only of the cells that are used, if given. At most CELLS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary) + 1, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for part in slices(batch.column(0)):
-                prints = words_of(part).fingerprints()
-                at = np.searchsorted(vocabulary, prints)
-                at[vocabulary[np.minimum(at, len(vocabulary) - 1)] != prints] = len(vocabulary)
-                total += np.bincount(at, minlength=len(total))
-        at = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    out = np.zeros(len(vocabulary), np.int64)
-    if len(vocabulary):
-        for r in docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-            out[r["word"]] = r["n"]
+                total += np.bincount(_cells(words_of(part).fingerprints()), minlength=CELLS)
+        at = np.flatnonzero(total if used is None else total * used)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    out = np.zeros(CELLS, np.int64)
+    for r in docs.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = r["n"]
     return out
 
 
 class WindowIndex:
-    """One part of the benchmark: windows by their rarest word."""
-
-    def __init__(self, windows: list[tuple[tuple[str, ...], list[str]]], vocabulary: np.ndarray, counts: np.ndarray):
-        self.words = [[w.encode() for w in words] for words, _ in windows]
-        self.items = [items for _, items in windows]
-        rare, offset, prints = [], [], []
-        for words in self.words:
-            own = P.hash_strings(words)
-            n = counts[np.searchsorted(vocabulary, own)]
-            first = int(np.lexsort((own, n))[0])
-            rare.append(own[first])
-            offset.append(int(np.flatnonzero(own == own[first])[0]))
-            prints.append(P.sequences(own, np.array([0]), np.array([len(own)]))[0])
-        order = np.argsort(np.array(rare, np.uint64), kind="stable")
-        self.rare = np.array(rare, np.uint64)[order]
-        self.window = order
-        self.offset = np.array(offset, np.int64)[order]
-        self.print = np.array(prints, np.uint64)[order]
-        self.length = np.array([len(w) for w in self.words], np.int64)[order]
+    """One part of the benchmark: windows by their rarest word, in arrays."""
+
+    def __init__(self, words: pa.Array, items: pa.Array, rarity: np.ndarray):
+        flat, bounds = words.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        own = P.hash_strings([w.encode() for w in flat.to_pylist()])
+        size = np.diff(bounds)
+        window = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((np.arange(len(own)), own, rarity[_cells(own)], window))
+        least = order[bounds[:-1][size > 0]]  # the first of the rarest
+        offset = least - bounds[:-1]
+        rare = own[least]
+        by_word = np.argsort(rare, kind="stable")
+        self.rare, self.offset, self.length = rare[by_word], offset[by_word], size[by_word]
+        self.print = P.sequences(own, bounds[:-1], bounds[1:])[by_word] if len(own) else rare
+        self.text = pc.binary_join(words, " ").cast(pa.large_binary()).take(pa.array(by_word))
+        self.items = items.take(pa.array(by_word))
 
     def find(self, words: P.Words) -> Iterator[tuple[int, int]]:
         """(first word, window) of every verified occurrence."""
@@ -116,26 +116,25 @@ class WindowIndex:
             start, e = start[ok], e[ok]
             if len(e):
                 ok = P.sequences(prints, start, start + self.length[e]) == self.print[e]
-                for s, w in zip(start[ok].tolist(), self.window[e[ok]].tolist(), strict=True):
-                    if all(words.data[a:b].tobytes() == x for a, b, x in zip(words.start[s : s + len(self.words[w])], words.end[s:], self.words[w], strict=False)):
+                for s, w in zip(start[ok].tolist(), e[ok].tolist(), strict=True):
+                    own = (words.data[a:b].tobytes() for a, b in zip(words.start[s : s + self.length[w]], words.end[s : s + self.length[w]], strict=True))
+                    if b" ".join(own) == self.text[w].as_py():
                         yield s, w
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, part_windows: int = PART_WINDOWS) -> DataFrame:
     """row, n_words, hits (spans of word numbers inside occurrences of windows) and items (ids as sorted strings)."""
-    windows = item_windows(benchmark, item_id, item_text, size).groupBy("words").agg(F.collect_set("item").alias("items")).orderBy("words")
-    parts, part = [], []
-    for r in windows.toLocalIterator():  # the benchmark, part by part
-        part.append((tuple(r["words"]), r["items"]))
-        if len(part) == part_windows:
-            parts.append(part)
-            part = []
-    parts += [part] if part or not parts else []
+    windows = item_windows(benchmark, item_id, item_text, size).groupBy("words").agg(F.collect_set("item").alias("items"))
+    windows = checkpoint(windows)
+    n_parts = max(1, -(-windows.count() // part_windows))
     schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
+    rarity = _counted(docs, text, _counted(benchmark, item_text, None) > 0)
     out = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(schema["hits"].dataType).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for part in parts:
-        vocabulary = np.unique(P.hash_strings(sorted({w.encode() for words, _ in part for w in words}))) if part else np.zeros(0, np.uint64)
-        index = docs.sparkSession.sparkContext.broadcast(WindowIndex(part, vocabulary, word_counts(docs, text, vocabulary)))
+    for k in range(n_parts):
+        part = windows.where(F.pmod(F.xxhash64("words"), F.lit(n_parts)) == k).toArrow()
+        words, items = (pa.chunked_array(part[c].chunks, part[c].type).combine_chunks() for c in ("words", "items"))
+        words, items = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (words, items))
+        index = docs.sparkSession.sparkContext.broadcast(WindowIndex(words, items, rarity))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -148,8 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     items: dict[int, set[str]] = {}
                     for s, w in index.value.find(words):
                         inside[s] += 1
-                        inside[s + len(index.value.words[w])] -= 1
-                        items.setdefault(int(words.doc[s]), set()).update(index.value.items[w])
+                        inside[s + index.value.length[w]] -= 1
+                        items.setdefault(int(words.doc[s]), set()).update(index.value.items[w].as_py())
                     hit = np.cumsum(inside[:-1]) > 0
                     hits, found = [], []
                     for d, (before, old) in enumerate(zip(had.column("hits").to_pylist(), had.column("items").to_pylist(), strict=True)):
@@ -162,4 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     yield pa.RecordBatch.from_arrays([had.column("row"), pa.array(np.diff(words.first), pa.int64()), pa.array(hits, _SPANS), pa.array(found, pa.list_(pa.string()))], ["row", "n_words", "hits", "items"])
 
         out = out.mapInArrow(search, schema)
+        if k < n_parts - 1:
+            out = checkpoint(out)
+            index.destroy()
     return out

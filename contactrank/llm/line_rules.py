@@ -1,13 +1,15 @@
 """Operator 4: quality rules with cross-document line frequency, on native columns only.
 
-A line is normalised (lower case, one space for white space, digits as 0) and hashed. Per host, lines that occur in
-more than `min_docs` and more than `max_share` of its distinct documents are above the limit and are removed; a
-document that keeps less than `min_left` of its words is depleted and rejected. Documents of equal text on a host
-count once.
+A line is normalised (lower case, one space for white space, digits as 0) and hashed. A line is above the limit on a
+host if it is in more than `max_share` of its distinct documents, and in more than `min_docs`. A host with fewer than
+`min_host_docs` distinct documents has too few for a share of its own: there the line's share of all hosts' documents
+counts. Lines above the limit are removed; a document that keeps less than `min_left` of its words is depleted and
+rejected. Documents of equal text on a host count once.
 
-A host with an average of m distinct lines a document has at most m / max_share lines above the limit, so the table
-of these lines is small for each host, however many documents it has; counting is a partial aggregation per task
-before its shuffle, and a hot host or line is one row per task and partition.
+A host with an average of m distinct lines a document has at most m / max_share lines above the limit, however many
+documents it has; counting is a partial aggregation per task before its shuffle, and a hot host or line is one row
+per task and partition. The table of these lines is sent to all tasks up to MAX_BROADCAST_BYTES, by its own size;
+beyond, documents are dealt to it by host, and a host's documents to SALTS tasks.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its own; repeated rows
 are one document for the counts and each gives a row; an empty table gives none; columns come back in `row`.
@@ -18,64 +20,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactrank.llm.blocks import spread
+from contactrank.llm.components import checkpoint
+
 _SPACE = " \t\n\x0b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
-#: Hosts whose tables of lines are sent to all tasks; with more, the join is by a shuffle.
-MAX_BROADCAST_HOSTS = 5_000
-
-
-def _squeezed(c: Column) -> Column:
-    return F.translate(c, _SPACE, "")
+#: White space inside a line.
+_INSIDE = r"[\x20\x09\x0B-\x0D]+"
+#: Bytes of hosts and line hashes that are sent to all tasks.
+MAX_BROADCAST_BYTES = 32 << 20
+SALTS = 64
 
 
 def words_of(c: Column) -> Column:
     return F.array_remove(F.split(c, _SPLIT), "")
 
 
+def _normal(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[1-9]", "0"), _INSIDE, " ")
+
+
 def line_hashes(text: Column) -> Column:
-    """Hash of each line with a word, normalised."""
-    lines = F.filter(F.split(text, "\n"), lambda x: _squeezed(x) != "")
-    return F.transform(lines, lambda x: F.xxhash64(F.trim(F.regexp_replace(F.translate(F.lower(x), "123456789", "0" * 9), _SPLIT, " "))))
+    """Hash of each line with a word, normalised; the whole text is normalised at once."""
+    lines = F.replace(F.replace(_normal(text), F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.transform(F.array_remove(F.split(F.trim(lines), "\n"), ""), lambda x: F.xxhash64(x))
 
 
-def lines_above_limit(docs: DataFrame, text: str, host: str, max_share: float, min_docs: int) -> DataFrame:
+def lines_above_limit(docs: DataFrame, text: str, host: str, max_share: float, min_docs: int, min_host_docs: int) -> DataFrame:
     """host and above: the hashes of its too frequent lines."""
     body = F.coalesce(F.col(text), F.lit(""))
     once = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("th"), F.array_distinct(line_hashes(body)).alias("lines")).dropDuplicates(["host", "th"])
     total = once.groupBy("host").agg(F.count("*").alias("n_docs"))
-    seen = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    return seen.join(total, seen["host"].eqNullSafe(total["host"])).where(F.col("n") > max_share * F.col("n_docs")).groupBy(seen["host"]).agg(F.collect_set("line").alias("above"))
+    total = total.withColumn("all_docs", total.agg(F.sum("n_docs")).scalar())
+    seen = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    # most lines are rare everywhere: only those over the least floor are looked at by host
+    anywhere = seen.groupBy("line").agg(F.sum("n").alias("n_all")).where(F.col("n_all") > min_docs)
+    known = seen.join(anywhere, "line").join(total.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
+    small = F.col("n_docs") < min_host_docs
+    n, of = F.when(small, F.col("n_all")).otherwise(F.col("n")), F.when(small, F.col("all_docs")).otherwise(F.col("n_docs"))
+    return known.where((n > min_docs) & (n > max_share * of)).groupBy("host").agg(F.collect_set("line").alias("above"))
+
 
+def repeated_words(words: Column) -> Column:
+    """Words inside 8-word windows that are found twice or more, from the array of word hashes."""
+    pairs = lambda a, step: F.zip_with(a, F.slice(a, step + 1, F.size(a)), lambda x, y: F.xxhash64(x, y))
+    return F.when(F.size(words) >= 8, F.slice(pairs(pairs(pairs(words, 1), 2), 4), F.lit(1), F.size(words) - 7)).otherwise(F.array().cast("array<bigint>"))
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.02, min_docs: int = 20, min_left: float = 0.5) -> DataFrame:
+
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.02, min_docs: int = 3, min_host_docs: int = 50, min_left: float = 0.5) -> DataFrame:
     """row, the base counts, n_left (words outside removed lines), base_failed, kept, clean_text (without removed lines)."""
-    above = lines_above_limit(docs, text, host, max_share, min_docs)
-    n_hosts = above.count()
-    if n_hosts <= MAX_BROADCAST_HOSTS:
-        above = F.broadcast(above)
+    docs = spread(docs)
+    above = checkpoint(lines_above_limit(docs, text, host, max_share, min_docs, min_host_docs))
+    n_bytes = above.agg(F.sum(8 * F.size("above") + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + 64)).first()[0] or 0
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{host}").alias("_host"), words_of(body).alias("words"), F.split(body, "\n").alias("lines"))
-    rows = rows.join(above, rows["_host"].eqNullSafe(above["host"]), "left").drop("_host", "host")
-    eight = F.when(F.size("words") >= 8, F.transform(F.sequence(F.lit(1), F.size("words") - 7), lambda i: F.xxhash64(F.slice("words", i, 8)))).otherwise(F.array().cast("array<bigint>"))
-    full = F.filter("lines", lambda x: _squeezed(x) != "")
-    left = F.when(F.col("above").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("above", F.xxhash64(F.trim(F.regexp_replace(F.translate(F.lower(x), "123456789", "0" * 9), _SPLIT, " "))))))
-    rows = rows.select("row", F.size("words").alias("n_words"), eight.alias("eight"), full.alias("full"), F.array_join(left, "\n").alias("clean_text"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("_host", F.col(f"row.{host}"))
+    if n_bytes <= MAX_BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(above), rows["_host"].eqNullSafe(above["host"]), "left").drop("_host", "host")
+    else:
+        salted = above.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(f"row.{text}"), F.lit(SALTS)))
+        rows = rows.join(salted, rows["_host"].eqNullSafe(salted["host"]) & (rows["_salt"] == salted["salt"]), "left").drop("_host", "host", "_salt", "salt")
+    touched = F.col("above").isNotNull() & F.arrays_overlap("above", line_hashes(body))
+    rows = rows.select("row", words_of(body).alias("words"), F.split(body, "\n").alias("lines"), F.when(touched, F.col("above")).alias("above"))
+    left = F.filter("lines", lambda x: ~F.array_contains("above", F.xxhash64(F.trim(_normal(x)))))
+    full = F.filter("lines", lambda x: F.trim(x, F.lit(_SPACE)) != "")
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    rows = rows.select("row", F.size("words").alias("n_words"), F.char_length(F.array_join("words", "")).alias("word_chars"), hashes.alias("hashes"), full.alias("full"), F.when(F.col("above").isNotNull(), F.array_join(left, "\n")).alias("left"))
+    rows = rows.withColumn("eight", repeated_words(F.col("hashes"))).drop("hashes")
     rows = rows.withColumn("tied", F.when(F.size(F.array_distinct("eight")) < F.size("eight"), F.sort_array(F.transform("eight", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     starts = F.filter("tied", lambda e, k: F.coalesce(F.get("tied", k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get("tied", k + 1)["h"] == e["h"], F.lit(False)))
     rows = rows.withColumn("starts", F.sort_array(F.transform(starts, lambda e: e["i"])))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     repeat = F.aggregate("starts", zero, lambda a, i: F.struct((i + 8).alias("end"), (a["n"] + i + 8 - F.greatest(a["end"], i)).alias("n")))["n"]
-    body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    symbols = "#*$%&|<>"
     rows = rows.select(
         "row",
         F.col("n_words").cast("long").alias("n_words"),
-        F.char_length(_squeezed(body)).cast("long").alias("word_chars"),
-        (F.char_length(body) - F.char_length(F.translate(body, symbols, ""))).cast("long").alias("n_symbols"),
+        F.col("word_chars").cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeat, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when(F.char_length("clean_text") == F.char_length(body), F.col("n_words")).otherwise(F.size(words_of(F.col("clean_text")))).cast("long").alias("n_left"),
-        "clean_text",
+        F.when(F.col("left").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("left")))).cast("long").alias("n_left"),
+        F.coalesce("left", body).alias("clean_text"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_left") >= min_left * F.col("n_words")))

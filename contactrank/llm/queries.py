@@ -153,7 +153,10 @@ l AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d
 n AS (SELECT r, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS line_words,
   trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 h AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
-a AS (SELECT n.source, norm FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, norm HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.02 * any_value(n_docs)),
+s AS (SELECT source, norm, count(DISTINCT text) AS n_here FROM n GROUP BY source, norm),
+e AS (SELECT norm, sum(n_here) AS n_all FROM s GROUP BY norm),
+a AS (SELECT s.source, s.norm FROM s JOIN e ON s.norm = e.norm JOIN h ON s.source IS NOT DISTINCT FROM h.source, (SELECT sum(n_docs) AS all_docs FROM h)
+  WHERE CASE WHEN n_docs < 50 THEN n_all > 3 AND n_all > 0.02 * all_docs ELSE n_here > 3 AND n_here > 0.02 * n_docs END),
 k AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(line_words) FILTER (WHERE a.norm IS NULL), 0) AS n_left
   FROM n LEFT JOIN a ON n.source IS NOT DISTINCT FROM a.source AND n.norm = a.norm GROUP BY r),
 o AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,

@@ -193,13 +193,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_hits(text, items, size=10):
+    """(number of hit words, sorted ids) of one text."""
+    words = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").translate(LOWER))
+    own, hit, ids = words(text), set(), set()
+    for item, t in items:
+        w = words(t)
+        for window in {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else ():
+            for s in range(len(own) - len(window) + 1):
+                if tuple(own[s : s + len(window)]) == window:
+                    hit |= set(range(s, s + len(window)))
+                    ids.add("" if item is None else str(item))
+    return len(hit), sorted(ids)
+
+
 def test_decontamination(spark):
-    items = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "Short, ITEM"), (3, None), (4, "…! "), (5, "a b c d e f g h i j k"), (None, "über straße")], "item_id long, text string")
-    texts = ["x a b c d e f g h i j y", "A-B-C-D-E-F-G-H-I-J-K", "short item short item", "item short", None, "", "die Über?Straße", "a b c d e f g h i x j", "b c d e f g h i j k"]
-    for part in (1_000_000, 1):
-        got = sorted(contaminated(clash(spark, texts), items, part_windows=part).select("row.doc_id", F.expr("aggregate(hits, 0L, (n, s) -> n + s.end - s.start)").alias("hit"), "items").collect())
-        assert [(r.hit, r["items"]) for r in got] == [(10, ["1", "5"]), (11, ["1", "5"]), (4, ["2"]), (0, []), (0, []), (0, []), (0, []), (0, []), (10, ["1", "5"])] or got[6].hit in (0, 2)
-    assert contaminated(clash(spark, texts), items.where("false")).where("size(hits) > 0").count() == 0
+    items = [(1, "a b c d e f g h i j k"), (2, "Short, ITEM"), (3, None), (4, "…! "), (5, "a b c d e f g h i j k"), (None, "über straße"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (10, "a a a")]
+    texts = ["x a b c d e f g h i j y", "A-B-C-D-E-F-G-H-I-J-K", "short item short item", "item short", None, "", "die Über?Straße", "a b c d e f g h i x j", "b c d e f g h i j k", "a A a a a"]
+    rng = random.Random(7)
+    texts += [" ".join(rng.choice(["a", "b", "w1", "über", "straße", "Short", "item"]) for _ in range(200)) for _ in range(5)]
+    texts += [" ".join(f"w{i}" for i in range(k, k + 15)) for k in range(5)] + ["z " * 20_000 + "short.item" + " z" * 20_000, texts[0], texts[0]]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for part in (1_000_000, 3):
+        got = sorted(contaminated(clash(spark, texts), table, part_windows=part).select("row.doc_id", "n_words", F.expr("aggregate(hits, 0L, (n, s) -> n + s.end - s.start)").alias("hit"), "items").collect())
+        assert [(r.hit, r["items"]) for r in got] == [brute_hits(t, items) for t in texts]
+    assert got[6].hit == 0 and brute_hits(texts[6], items) == (0, []) and got[9].hit == 5
+    assert contaminated(clash(spark, texts), table.where("false")).where("size(hits) > 0").count() == 0
 
 
 def test_bpe(spark):
@@ -305,37 +324,48 @@ def test_chat(spark):
     assert same.where("a <> s or b <> s or e like '%<|%' or e like '%\n%'").count() == 0
 
 
+def letters(i):
+    """A number in letters: digits are all one to the line rules."""
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def prose(i, n=30):
+    return " ".join(f"w{letters(i)}x{letters(k)}" for k in range(n))
+
+
 def test_line_rules(spark):
-    words = lambda i, n=30: " ".join(f"w{i}x{k}" for k in range(n))
-    texts = [f"Menu  HOME 1\n{words(i)}" for i in range(30)] + ["menu home 2\n" * 30 + words(99, 21)] + [None, "", "few words", "a b c d e f g h " * 10] + [words(0)] * 2
-    docs = spark.createDataFrame([(i, t, "h" if i < 33 else None, 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, above int")
-    got = quality_rules(docs).select("row.doc_id", "n_words", "n_repeat_words", "n_dup_lines", "n_left", "base_failed", "kept").orderBy("doc_id").collect()
-    assert all(r.kept and r.n_left == 30 and r.n_words == 33 for r in got[:30])
-    assert not got[30].kept and got[30].n_left == 21 and got[30].n_dup_lines == 29
-    assert [r.base_failed for r in got[31:37]] == [True, True, True, True, False, False]
-    assert got[34].n_repeat_words == 80 and got[35].kept
+    texts = [f"Menu  HOME 1\n{prose(i)}" for i in range(60)] + ["menu home 2\n" * 30 + prose(99, 21)] + [None, "", "few words", "a b c d e f g h " * 10] + [prose(0)] * 2
+    docs = spark.createDataFrame([(i, t, "h" if i < 63 else None, 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, above int")
+    got = quality_rules(docs).select("row.doc_id", "n_words", "n_repeat_words", "n_dup_lines", "n_left", "base_failed", "kept", "clean_text").orderBy("doc_id").collect()
+    assert all(r.kept and r.n_left == 30 and r.n_words == 33 for r in got[:60]) and got[5].clean_text == prose(5)
+    assert not got[60].kept and got[60].n_left == 21 and got[60].n_dup_lines == 29
+    assert [r.base_failed for r in got[61:67]] == [True, True, True, True, False, False]
+    assert got[64].n_repeat_words == 80 and got[65].kept
     assert quality_rules(docs.where("false")).count() == 0
 
 
-def test_line_rules_against_sql_above_the_limit(spark, tmp_path):
+def test_line_rules_against_sql_above_the_limit(spark, tmp_path, monkeypatch):
     duckdb = pytest.importorskip("duckdb")
+    import contactrank.llm.line_rules as L
     from contactrank.llm.queries import OP4_SQL, op4_quality_rules
 
-    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # digits are all one to the rule
-    words = lambda i, n=30: " ".join(f"w{letters(i)}x{letters(k)}" for k in range(n))
     line = lambda n: " ".join(f"menu{letters(k)}" for k in range(n))
-    rows = [(i, f"{line(25 + 10 * (i % 3))}\n{words(i)}", ("a", "b", None)[i % 4 % 3]) for i in range(252)]
-    rows += [(200 + i, f"Menu  Home {i % 10}\n{words(200 + i)}", "a") for i in range(21)] + [(300 + i, f"Legal Page 7\n{words(300 + i)}", "b") for i in range(20)]
-    rows += [rows[0], rows[0], (400, None, "a"), (401, "", None), (None, "menu home 3\n" * 3 + words(401), "a")]
+    rows = [(i, f"{line(25 + 10 * (i % 3))}\n{prose(i)}", ("a", "b", None)[i % 4 % 3]) for i in range(252)]
+    rows += [(200 + i, f"Menu  Home {i % 10}\n{prose(200 + i)}", "a") for i in range(21)] + [(300 + i, f" Legal\tPage 7 \n\n{prose(300 + i)}", "b") for i in range(3)]
+    rows += [(500 + i, f"Every Host's line {i}\n{prose(500 + i)}\r", f"host {i}") for i in range(60)] + [(600 + i, f"Own line\n{prose(600 + i)}", "small") for i in range(5)]
+    rows += [rows[0], rows[0], (400, None, "a"), (401, "", None), (None, "menu home 3\n" * 3 + prose(401), "a"), (402, prose(402, 30_000), "a"), (403, "\n \n x \n\x0b", "a")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    found = op4_quality_rules(spark, str(tmp_path))
-    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({OP4_SQL})").fetchall()
-    got = [tuple(r) for r in found.collect()]
-    assert sorted(map(repr, got)) == sorted(map(repr, want))
-    removed = [r for r in found.collect() if r.n_left < r.n_words and not r.base_failed]
-    assert {r.kept for r in removed} == {True, False} and all(r.n_left == r.n_words for r in found.where("doc_id between 300 and 319").collect())
+    for most in (32 << 20, 0):  # sent to all tasks, or joined by a salted shuffle
+        monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", most)
+        found = op4_quality_rules(spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({OP4_SQL})").fetchall()
+        got = found.collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+        removed = [r for r in got if r.n_left < r.n_words and not r.base_failed]
+        assert {r.kept for r in removed} == {True, False} and all(r.n_left == r.n_words for r in got if r.doc_id in (300, 301, 302, 600, 601))
+        assert all(r.n_left == 30 for r in got if r.doc_id in range(500, 560))
 
 
 def test_empty_tables(spark):
