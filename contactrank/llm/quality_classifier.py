@@ -1,25 +1,28 @@
 """Operator 7: quality classifier by positive-unlabelled learning.
 
-A logistic model over text-shape features is fitted on trusted positives (training rows labelled 1) and on unlabelled
-web text, by the non-negative unbiased risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), with a step back
-when the second term falls below zero. The class prior is estimated as the share of label 1 among labelled training
-rows; labels 0 have no other use.
+A logistic model over text-shape features is fitted on trusted positives (training rows labelled 1) and on all
+unlabelled web text, by the non-negative unbiased risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). While the
+second term is not negative the risk is convex for the logistic loss, and a Newton step is taken; where it falls below zero,
+a step back up its gradient. The class prior is estimated as the share of label 1 among labelled training rows; labels
+0 have no other use.
 
-The fit sees at most MAX_POSITIVE positives and MAX_UNLABELLED other rows, chosen by a hash of the id, of which only
-the features reach the driver (about 200 numbers each). Scoring is one pass over all whole texts without a shuffle.
+Features of every training text are made once and written, two bytes each, to the checkpoint folder; mean, scale and each step's
+gradient and curvature are sums over all of them, added up by Spark, of which about 9,000 numbers reach the driver. Of
+the trusted positives at most `max_positive` (a parameter) are used, chosen by a hash of the id. Scoring is one pass
+over all whole texts without a shuffle.
 
 Features of a text: relative frequencies of pairs of byte classes (lower case, upper case, digit, space, line break,
 common punctuation, other symbols one by one, multi-byte), logarithms of its words, lines and word length, and shares
 of words that repeat the one before, of distinct words and of repeated lines.
 
 Defined results: null and empty texts have zero features and get a score like any other; duplicates of a label row
-count once; without positives or unlabelled rows every score is the prior, or 0.5 without labels; ties of the sample's
-hash are broken by features; other columns come back in `row`.
+count once, with the larger label; repeated rows weigh as often as they occur; without positives or unlabelled rows every
+score is the prior, or 0.5 without labels; an empty table gives no scores; other columns come back in `row`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
 from contactrank.llm.blocks import slices
+from contactrank.llm.components import checkpoint
 
 MAX_POSITIVE = 8_000
-MAX_UNLABELLED = 12_000
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\f", "\n\r", ".,;:'\"-()?", "!", "#*$%&", "|<>{}[]\\/@_=+^~`"], 1):
@@ -88,32 +91,86 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 1000, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimises the non-negative unbiased risk of the logistic loss with Adam."""
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features as the model sees them, and a constant for the bias."""
+    return np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), axis=1)
+
+
+def logistic_sums(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the loss log(1 + exp(z)) of taking rows for negatives: sum, gradient and upper half of the curvature, in a row."""
+    z = np.clip(x @ weight, -30, 30)
+    s = 1 / (1 + np.exp(-z))
+    curvature = x.T @ (x * (s * (1 - s))[:, None])
+    return np.concatenate([[np.logaddexp(0, z).sum()], x.T @ s, curvature[np.triu_indices(len(weight))]])
+
+
+def _summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all blocks of a function of the block's features that gives a row of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for data in batch.column("x"):
+                some = of(np.frombuffer(data.as_buffer(), np.float16).reshape(-1, N_FEATURES).astype(np.float64))
+                total = some if total is None else total + some
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+
+    got = blocks.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
+    return got["v"].to_numpy()
+
+
+def risk(unlabelled: np.ndarray, n: float, positive: np.ndarray, weight: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(second term of the risk, gradient of the whole risk, its curvature), given logistic_sums of n unlabelled rows."""
+    d = len(weight)
+    p = logistic_sums(positive, weight) / len(positive)
+    u = unlabelled / n
+    second = u[0] - prior * p[0]
+    curvature = np.zeros((d, d))
+    curvature[np.triu_indices(d)] = u[1 + d :]
+    curvature = curvature + np.triu(curvature, 1).T
+    ridge = np.full(d, decay)
+    ridge[-1] = 0
+    # log(1 + exp(-z)) - log(1 + exp(z)) = -z: what positives add to the two terms is linear
+    return second, u[1 : 1 + d] - prior * positive.mean(axis=0) + ridge * weight, curvature + np.diag(ridge + 1e-9)
+
+
+def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, steps: int = 12, decay: float = 1e-3) -> Model:
+    """Minimises the non-negative unbiased risk; unlabelled: blocks of features (see _feature_blocks)."""
     constant = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), constant)
-    mean, scale = unlabelled.mean(axis=0), np.maximum(unlabelled.std(axis=0), 1e-3)
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float64) for x in (positive, unlabelled))
-    rng = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1]), constant
-    m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    steps = max(1, len(u) // batch)
-    for _ in range(epochs):
-        for up, uu in zip(np.array_split(rng.permutation(len(p)), steps), np.array_split(rng.permutation(len(u)), steps), strict=True):
-            x, y = p[up] if len(up) else p, u[uu]
-            sx, sy = sigmoid(x @ w + b), sigmoid(y @ w + b)
-            negative = np.mean(-np.log1p(-np.minimum(sy, 1 - 1e-9))) - prior * np.mean(-np.log1p(-np.minimum(sx, 1 - 1e-9)))
-            of = lambda rows, d: np.append(rows.T @ d, d.sum()) / len(d)
-            towards_negative = of(y, sy) - prior * of(x, sx)
-            g = prior * of(x, sx - 1) + towards_negative if negative >= 0 else -towards_negative
-            g[:-1] += decay * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-    return Model(mean, scale, w, b)
+    none = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), constant)
+    if not len(positive):
+        return none
+    sums = _summed(unlabelled, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    if not len(sums):
+        return none
+    n, mean = sums[0], sums[1 : 1 + N_FEATURES] / sums[0]
+    scale = np.maximum(np.sqrt(np.maximum(sums[1 + N_FEATURES :] / n - mean**2, 0)), 1e-3)
+    p, weight = scaled(positive.astype(np.float64), mean, scale), np.append(np.zeros(N_FEATURES), constant)
+    for _ in range(steps):
+        of = _summed(unlabelled, lambda x, w=weight: logistic_sums(scaled(x, mean, scale), w))
+        second, gradient, curvature = risk(of, n, p, weight, prior, decay)
+        if second < 0:
+            q = logistic_sums(p, weight)[1 : 1 + len(weight)] / len(p)
+            step = -0.1 * (of[1 : 1 + len(weight)] / n - prior * q)
+        else:
+            step = np.linalg.solve(curvature, gradient)
+        step *= min(1.0, 4 / max(1e-12, float(np.abs(step).max())))  # no step far outside of where the curvature was taken
+        weight = weight - step
+        if np.abs(step).max() < 1e-3:
+            break
+    return Model(mean, scale, weight[:-1], float(weight[-1]))
+
+
+def _feature_blocks(docs: DataFrame, text: str) -> DataFrame:
+    """x: features of some rows each, two bytes a number, in the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array([np.minimum(features(part), 6e4).astype(np.float16).tobytes()], pa.binary())], ["x"])
+
+    return checkpoint(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "x binary"))
 
 
 def _sample(docs: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
@@ -138,14 +195,13 @@ def _sample(docs: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
     return flat.reshape(-1, N_FEATURES)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = MAX_POSITIVE) -> Model:
     """labels: rows (id, label). Only rows where `train` (a column over the id) is true are read."""
     known = labels.where(F.coalesce(train, F.lit(True))).where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
     prior = known.agg(F.avg("_label")).first()[0]
     rows = docs.where(F.coalesce(train, F.lit(True))).select(id_col, text)
-    positive = _sample(rows.join(known.where("_label = 1").select(id_col), id_col, "left_semi"), id_col, text, MAX_POSITIVE)
-    unlabelled = _sample(rows, id_col, text, MAX_UNLABELLED)
-    return fit(positive, unlabelled, 0.5 if prior is None else float(prior))
+    positive = _sample(rows.join(known.where("_label = 1").select(id_col), id_col, "left_semi"), id_col, text, max_positive)
+    return fit(positive, _feature_blocks(rows, text), 0.5 if prior is None else float(prior))
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

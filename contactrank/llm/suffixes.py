@@ -40,8 +40,8 @@ from contactrank.llm import fingerprints as P
 
 _U = np.uint64
 #: Sampled suffixes that a group is planned for, and those of one gram from which its windows are counted one by one.
-PER_GROUP = 60_000
-HOT = 20_000
+PER_GROUP = 40_000
+HOT = 5_000
 #: Suffixes that a group sorts at once.
 RUN = 60_000
 #: Ranges of the byte order: their bounds are all that the driver knows. Larger inputs split each by the gram's hash.
