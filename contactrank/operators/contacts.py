@@ -46,18 +46,27 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("owner_id", F.col("owner_id").cast("string"))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def revoke_snapshot(spark: SparkSession, path: str, owners: list[str]) -> None:
     """A new upload withdraws its owner's confirmation. The other owners' folders are not touched."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for owner in owners:
-        fs.delete(hadoop(path, "owner_id=" + spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(owner)), True)
+        drop_folder(spark, f"{path}/owner_id=" + spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(owner))
+
+
+def stage_upload(spark: SparkSession, parsed: DataFrame, owner: str, path: str) -> DataFrame:
+    """The contacts of an owner's new upload. Good or bad, it withdraws what the owner had confirmed before."""
+    from contactrank.sources.exports import raw_rows
+
+    revoke_snapshot(spark, path, [owner])
+    return resolve_fields(raw_rows(parsed), F.lit(owner))
 
 
-def load_stats(staged: DataFrame, confirmed: DataFrame, columns: DataFrame) -> DataFrame:
-    """A1: per file the staged rows, confirmed rows and detected columns."""
-    rows = staged.groupBy("source_file").agg(F.count("*").alias("staged_rows"))
-    done = confirmed.groupBy("source_file").agg(F.count("*").alias("confirmed_rows"))
-    found = columns.groupBy("source_file").agg(F.count("*").alias("column_count"))
-    out = rows.join(done, "source_file", "left").join(found, "source_file", "left")
-    return out.select("source_file", "staged_rows", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("confirmed_rows", "column_count")))
+def load_stats(staged: DataFrame, confirmed: Column, sample_rows: int) -> DataFrame:
+    """A1: per file the staged rows, confirmed rows and columns in the first rows, in one pass over parsed rows (source_file, row_ord, cells)."""
+    keys = F.collect_list(F.when(F.col("row_ord") < sample_rows, F.col("cells.key")))  # of sample_rows rows at most
+    counts = [F.count("*").alias("staged_rows"), F.count_if(confirmed).alias("confirmed_rows")]
+    return staged.groupBy("source_file").agg(*counts, F.size(F.array_distinct(F.flatten(keys))).cast("long").alias("column_count"))

@@ -13,15 +13,17 @@ from contactrank.functions.schema import FALLBACK_REASON, MAX_REASON_TOKENS, MAX
 from contactrank.functions.text import tokenize_query, tokens_of
 
 _ORDER = ("source_file", "row_ord")
-#: Contacts of searches' owners are joined by broadcast up to so many searches (about 1 kB each).
-MAX_BROADCAST_SEARCHES = 20_000
+#: Searches are sent to all tasks up to so many bytes of theirs.
+MAX_BROADCAST_BYTES = 32 << 20
+#: Tasks that share an owner's contacts where searches are not sent to all.
+SALTS = 32
 #: Literal tokens per query before the array form takes over, so that generated code stays small.
 MAX_LITERAL_TOKENS = 24
 
 
 def lowered(contacts: DataFrame) -> DataFrame:
-    """Adds lower-cased search columns; store them with a snapshot to search it often."""
-    return contacts.withColumns({f"_{f}": F.lower(F.col(f)) for f in WEIGHTS})
+    """Adds lower-cased search columns, where a stored snapshot does not have them already."""
+    return contacts.withColumns({f"_{f}": F.lower(F.col(f)) for f in WEIGHTS if f"_{f}" not in contacts.columns})
 
 
 def hit_weight(token: Column) -> Column:
@@ -94,15 +96,24 @@ def search(contacts: DataFrame, query: str, k: int = MAX_RESULTS) -> DataFrame:
 def batch_search(contacts: DataFrame, searches: DataFrame, k: int = MAX_RESULTS) -> DataFrame:
     """B1: for each of the searches (search_id, owner_id, criteria) its owner's k best contacts.
 
-    Only columns that rank travel with a pair; the text columns come back for the winners. The window's group limit
-    keeps k rows per search and task before the shuffle, so a hot owner or search is never gathered.
+    A contact is known by (owner_id, source_file, row_ord). Only these and the score go to the ranking; the text columns
+    come back for the winners. The window's group limit keeps k rows per search and task before the shuffle, so neither
+    a hot owner nor a hot search is gathered; where searches are too large to be sent to all tasks, an owner's
+    contacts are dealt to SALTS tasks.
     """
     asked = searches.select("search_id", "owner_id", tokenize_query(F.col("criteria")).alias("tokens")).where(F.size("tokens") > 0)
-    side = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_SEARCHES else asked
-    scored = lowered(contacts).join(side, "owner_id").withColumn("score", score(F.col("tokens"))).where("score > 0")
+    n_bytes = searches.agg(F.sum(F.coalesce(F.octet_length("criteria"), F.lit(0)) + 200)).first()[0] or 0
+    rows = lowered(contacts).select("owner_id", *_ORDER, *(f"_{f}" for f in WEIGHTS))
+    if n_bytes <= MAX_BROADCAST_BYTES:
+        pairs = rows.join(F.broadcast(asked), "owner_id")
+    else:
+        dealt = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        pairs = rows.withColumn("_salt", F.pmod(F.xxhash64(*_ORDER), F.lit(SALTS))).join(dealt, ["owner_id", "_salt"])
+    scored = pairs.select("search_id", "owner_id", *_ORDER, score(F.col("tokens")).alias("score")).where("score > 0")
     by_search = Window.partitionBy("search_id").orderBy(F.desc("score"), *_ORDER)
     best = scored.withColumn("rank", F.row_number().over(by_search)).where(F.col("rank") <= k)
-    return explain(best, F.col("tokens")).drop("tokens")
+    won = best.join(asked.select("search_id", "tokens"), "search_id").join(lowered(contacts), ["owner_id", *_ORDER])
+    return explain(won, F.col("tokens")).drop("tokens")
 
 
 def result_cards(found: DataFrame) -> DataFrame:

@@ -111,20 +111,52 @@ def load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: staged rows, confirmed rows (of even owners) and columns of each CSV file."""
     rows = S.raw_rows(S.parse_exports(A.csv_files(spark, sf_dir)))
     owner = F.split_part("source_file", F.lit("-"), F.lit(2)).cast("int")
-    return C.load_stats(rows, rows.where(owner % 2 == 0), S.discover_columns(rows, COLUMN_SAMPLE_ROWS))
+    return C.load_stats(rows, owner % 2 == 0, COLUMN_SAMPLE_ROWS)
 
 
-def confirm_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All contacts confirmed by owner in a shared folder and read again, after one owner's second upload."""
+def discover_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 over CSV exports: headers that are array indexes come first, as in the browser."""
+    return S.discover_columns(S.raw_rows(S.parse_exports(A.year_files(spark, sf_dir))), COLUMN_SAMPLE_ROWS)
+
+
+def _snapshot(spark: SparkSession, change: Callable[[str], None]) -> DataFrame:
+    """What a snapshot folder holds after a change; the folder is removed, what was read stays in the checkpoint folder."""
     import uuid
 
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/confirmed-{uuid.uuid4().hex}"
-    staged = A.contacts(spark, sf_dir).select("owner_id", "source_file", "row_ord", *WEIGHTS)
-    C.confirm_snapshot(staged, path)
-    C.confirm_snapshot(staged.where("owner_id = '7'").withColumn("position", F.lit("new")), path)
-    C.confirm_snapshot(staged.where("owner_id = 'none'"), path)
-    return C.read_snapshot(spark, path).select("owner_id", "source_file", "row_ord", *WEIGHTS)
+    change(path)
+    out = C.read_snapshot(spark, path).select("owner_id", "source_file", "row_ord", *WEIGHTS).checkpoint()
+    C.drop_folder(spark, path)
+    return out
+
+
+def confirm_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contacts confirmed by owner in a shared folder and read again, after one owner's second upload."""
+
+    def change(path: str) -> None:
+        staged = A.contacts(spark, sf_dir).select("owner_id", "source_file", "row_ord", *WEIGHTS)
+        C.confirm_snapshot(staged, path)
+        C.confirm_snapshot(staged.where("owner_id = '7'").withColumn("position", F.lit("new")), path)
+        C.confirm_snapshot(staged.where("owner_id = 'none'"), path)
+
+    return _snapshot(spark, change)
+
+
+def revoke_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still confirmed after new uploads of two owners, of which only the second is good and confirmed."""
+
+    def change(path: str) -> None:
+        C.confirm_snapshot(A.contacts(spark, sf_dir).select("owner_id", "source_file", "row_ord", *WEIGHTS), path)
+        files = S.parse_exports(A.csv_files(spark, sf_dir).where("source_file like 'contacts-4-%'"))
+        bad = files.where("row_ord is null").withColumn("error", F.lit(S.NOT_PARSED))
+        C.stage_upload(spark, bad, "3", path)
+        C.confirm_snapshot(C.stage_upload(spark, files, "4", path), path)
+
+    return _snapshot(spark, change)
 
 
 # search
@@ -231,5 +263,5 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, file_status, resolve_fields, discover_columns, load_stats, confirm_snapshot, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
+    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
     return {f.__name__: f for f in made}

@@ -85,7 +85,15 @@ def oracle_sql() -> dict[str, str]:
         "resolve_fields": contacts + f"SELECT owner_id, {_FILE} AS source_file, row_ord % {FILE_ROWS} AS row_ord, {_FULL} AS full_name, position, company, email, url, connected_on, " + " || ' ' || ".join(v for _, v in _CSV_CELLS) + " AS all_text FROM contacts",
         "discover_columns": f"SELECT DISTINCT {_EVENT_FILE} AS source_file, CAST(position AS INTEGER) AS position, col_name FROM events, (VALUES (0, 'Full Name'), (1, 'role'), (2, 'n'), (3, 'tags'), (4, 'props'), (5, 'none')) AS x(position, col_name)",
         "load_stats": contacts + f"SELECT {_FILE} AS source_file, count(*) AS staged_rows, count(*) FILTER (WHERE CAST(owner_id AS INTEGER) % 2 = 0) AS confirmed_rows, CAST({len(_CSV_CELLS)} AS BIGINT) AS column_count FROM contacts GROUP BY 1",
-        "confirm_snapshot": contacts + f"SELECT owner_id, source_file, row_ord, {_FIELDS.replace('position', chr(67) + 'ASE WHEN owner_id = ' + chr(39) + '7' + chr(39) + ' THEN ' + chr(39) + 'new' + chr(39) + ' ELSE position END AS position')}, all_text FROM contacts",
+        "discover_csv_columns": "SELECT 'years-' || n_nationkey || '.csv' AS source_file, CAST(position AS INTEGER) AS position, col_name FROM nation, (VALUES (0, '10'), (1, '2023'), (2, 'Name'), (3, '007'), (4, 'Note'), (5, '4294967295')) AS x(position, col_name)",
+        "confirm_snapshot": contacts
+        + """SELECT owner_id, source_file, row_ord, full_name, CASE WHEN owner_id = '7' THEN 'new' ELSE position END AS position,
+            company, email, url, connected_on, all_text FROM contacts""",
+        "revoke_snapshot": contacts
+        + f"""SELECT owner_id, source_file, row_ord, {_FIELDS}, all_text FROM contacts WHERE owner_id NOT IN ('3', '4')
+            UNION ALL SELECT owner_id, {_FILE}, row_ord % {FILE_ROWS}, {_FULL}, position, company, email, url, connected_on, """
+        + " || ' ' || ".join(v for _, v in _CSV_CELLS)
+        + " FROM contacts WHERE owner_id = '4'",
         "score_rows": contacts + f"SELECT owner_id, row_ord, {_score(tokens_of(QUERY))} AS score FROM contacts c",
         "matched_tokens": _with(CONTACTS_SQL, _HITS) + "SELECT owner_id, row_ord, matched FROM told",
         "match_reasons": _with(CONTACTS_SQL, _HITS) + "SELECT owner_id, row_ord, reasons FROM told",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 import pyarrow as pa
@@ -70,13 +70,16 @@ def header_row(table: list[list[str]]) -> int:
 
 
 def csv_records(text: str) -> list[dict[str, str]]:
-    """S3: cells by header; a missing cell is empty, a blank header is col_N, a repeated header keeps its last value."""
+    """S3: cells by header; a missing cell is empty, a blank header is col_N, a repeated header keeps its last value.
+
+    A record is an object in the browser, so headers that are array indexes come first, ascending.
+    """
     table = csv_table(text)
     if not table:
         return []
     at = header_row(table)
     keys = [h or f"col_{c}" for c, h in enumerate(table[at])]
-    return [dict(zip(keys, r + [""] * (len(keys) - len(r)), strict=False)) for r in table[at + 1 :]]
+    return [_object(zip(keys, r + [""] * (len(keys) - len(r)), strict=False)) for r in table[at + 1 :]]
 
 
 def js_number(x: float) -> str:
@@ -126,7 +129,7 @@ def to_text(v: object) -> str:
     return compact_json(v)
 
 
-def _object(pairs: list[tuple[str, object]]) -> dict[str, object]:
+def _object(pairs: Iterable[tuple[str, object]]) -> dict[str, object]:
     """Last value, first place; keys that are array indexes come first, ascending."""
     out = dict(pairs)
     index = sorted((k for k in out if re.fullmatch(r"0|[1-9]\d{0,9}", k) and int(k) < 2**32 - 1), key=int)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from contactrank.operators.contacts import get_field
+from contactrank.operators.contacts import get_field, load_stats
 from contactrank.sources import exports as S
 
 BOM = chr(0xFEFF)
@@ -32,6 +32,7 @@ def test_csv_cases():
         ("", []),
     ]
     assert [S.csv_records(t) for t, _ in cases] == [e for _, e in cases]
+    assert list(S.csv_records("Name,2023,10,007\na,b,c,d")[0].items()) == [("10", "c"), ("2023", "b"), ("Name", "a"), ("007", "d")]
     repeated = S.csv_records("A,B,A\n1,2,3")[0]
     assert list(repeated.items()) == [("A", "3"), ("B", "2")]
 
@@ -125,3 +126,7 @@ def test_discover_columns(spark):
     text = "[" + ",".join(['{"b":1,"a":2}', *['{"a":1}'] * 99, '{"z":1}']) + "]"
     rows = S.raw_rows(S.parse_exports(spark.createDataFrame([("a.json", text)], "source_file string, content string")))
     assert [r.col_name for r in S.discover_columns(rows, 100).orderBy("position").collect()] == ["b", "a"]
+    csv = S.raw_rows(S.parse_exports(spark.createDataFrame([("a.csv", "Name,2023\nx,1"), ("b.csv", "A\n1\n2")], "source_file string, content string")))
+    assert [r.col_name for r in S.discover_columns(csv, 100).orderBy("source_file", "position").collect()] == ["2023", "Name", "A"]
+    stats = load_stats(csv, F.col("row_ord") == 0, 1).orderBy("source_file").collect()
+    assert [tuple(r) for r in stats] == [("a.csv", 1, 1, 2), ("b.csv", 2, 1, 1)]

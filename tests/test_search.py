@@ -9,6 +9,7 @@ from contactrank.functions.text import tokens_of
 from contactrank.operators import contacts as C
 from contactrank.operators import preview as V
 from contactrank.operators import search as R
+from contactrank.sources import exports as S
 
 K = ("o", "f", 0, 'Ann O"Neil', "Director", "Acme", "ann@acme.com", "https://x/ann", "12 Oct 2023", 'Ann O"Neil Director Acme ann@acme.com https://x/ann 12 Oct 2023 blue chip')
 
@@ -66,7 +67,7 @@ def test_random_rows_and_partitions(spark):
             assert all(r.matched_tokens == slow(rows[r.row_ord], tokens)[1] for r in got)
 
 
-def test_batch(spark):
+def test_batch(spark, monkeypatch):
     rows = [("b" if i % 5 else "a", "f", i, "ann", f"p{i}", "", "", "", "", "ann") for i in range(200)]
     searches = spark.createDataFrame([(1, "a", "ann p1"), (2, "b", "ann"), (3, "b", " ;"), (4, "c", "ann"), (5, "b", None)], "search_id long, owner_id string, criteria string")
     out = R.batch_search(contacts(spark, rows), searches)
@@ -74,7 +75,14 @@ def test_batch(spark):
     one = R.search(contacts(spark, [r for r in rows if r[0] == "a"]), "ann p1").collect()
     assert [(r.row_ord, r.score) for r in out.where("search_id = 1").orderBy("rank").collect()] == [(r.row_ord, r.score) for r in one]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("WindowGroupLimit") < len(plan) and plan.count("WindowGroupLimit") == 2  # before and after the exchange
+    assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
+    ranked = plan[plan.index("WindowGroupLimit") :]
+    assert "all_text" not in ranked[: ranked.index("Project")]  # texts do not travel with what is ranked
+    monkeypatch.setattr(R, "MAX_BROADCAST_BYTES", 0)  # an owner's contacts are dealt to several tasks
+    salted = R.batch_search(contacts(spark, rows), searches)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, out.collect()))
+    stored = R.lowered(contacts(spark, rows)).withColumn("_full_name", F.lit("zed"))  # a snapshot's own search columns are used
+    assert R.search(stored, "zed").count() == 10
 
 
 def test_cards(spark):
@@ -102,3 +110,6 @@ def test_snapshot(spark, tmp_path):
     assert sorted((r.owner_id, r.row_ord) for r in C.read_snapshot(spark, path).collect()) == [("1", 0), ("2", 0), ("2", 1), ("2", 2)]
     C.revoke_snapshot(spark, path, ["2", "none"])
     assert [r.owner_id for r in C.read_snapshot(spark, path).collect()] == ["1"]
+    bad = S.parse_exports(spark.createDataFrame([("a.csv", "")], "source_file string, content string"))
+    assert C.confirm_snapshot(rows, path) and C.stage_upload(spark, bad, "2", path).count() == 0
+    assert {r.owner_id for r in C.read_snapshot(spark, path).collect()} == {"1"}
