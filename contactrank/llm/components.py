@@ -6,6 +6,8 @@ shuffled, and two joins that deal a node's edges to several tasks, so a hub's ne
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage into the checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage: writes a table to the checkpoint folder and reads it again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what `checkpoint` has written, once nothing reads it any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_salted(many: DataFrame, one: DataFrame, keys: list[str], *by: str) -> DataFrame:
@@ -43,6 +57,8 @@ def join_salted(many: DataFrame, one: DataFrame, keys: list[str], *by: str) -> D
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the least node that it reaches. Loops and repeats do no harm."""
     now = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     last = None
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -56,5 +72,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: every node's smaller neighbours, and itself, are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_salted(large, least, ["u"], "v").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
-        now = checkpoint(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct())
+        before, now = now, checkpoint(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct())
+        release(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())

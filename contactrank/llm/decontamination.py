@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
 from contactrank.llm.blocks import slices
-from contactrank.llm.components import checkpoint
+from contactrank.llm.components import checkpoint, release
 
 #: Windows in one part of the index: about 140 bytes each.
 PART_WINDOWS = 500_000
@@ -164,4 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         if k < n_parts - 1:
             out = checkpoint(out)
             index.destroy()
+            if k:
+                release(last)
+            last = out
+    release(windows)
     return out

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
-from contactrank.llm.components import checkpoint, components, join_salted
+from contactrank.llm.components import checkpoint, components, join_salted, release
 
 _U = np.uint64
 #: Text in one block of documents.
@@ -274,7 +274,9 @@ def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         return pa.table({"a": a, "b": pa.array(b, mask=of_links), "links": pa.array(n_links, mask=~of_links)})
 
     partial = rows.groupBy("w", "f").applyInArrow(count, "w long, f long, data binary")
-    return checkpoint(partial.groupBy("w").applyInArrow(add_up, "a long, b long, links long"))
+    out = checkpoint(partial.groupBy("w").applyInArrow(add_up, "a long, b long, links long"))
+    release(hubs, groups)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
@@ -296,6 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     comp = F.when(F.col("root").isNull(), F.struct("cls", "cls2")).otherwise(F.struct(F.col("root").alias("cls"), F.lit(None).cast("long").alias("cls2")))
     linked = classes.where("root is null").withColumn("low", F.col("least")).unionByName(join_salted(classes.where("root is not null"), roots, ["root"], "cls"))
     linked = checkpoint(linked.select("cls", "cls2", comp.alias("comp"), F.col("low").alias("component"), (F.col("rows") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
+    release(sets, links, classes)
     some = join_salted(members.where("cls is not null"), linked, ["cls", "cls2"], "id", "th")
     none = members.where("cls is null").select("id", "th", "n", F.lit(None).cast(linked.schema["comp"].dataType).alias("comp"), F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
     return some.select("id", "th", "n", "comp", "component", "n_links").unionByName(none)

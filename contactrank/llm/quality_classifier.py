@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
 from contactrank.llm.blocks import slices
-from contactrank.llm.components import checkpoint
+from contactrank.llm.components import checkpoint, release
 
 MAX_POSITIVE = 8_000
 
@@ -201,7 +201,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     prior = known.agg(F.avg("_label")).first()[0]
     rows = docs.where(F.coalesce(train, F.lit(True))).select(id_col, text)
     positive = _sample(rows.join(known.where("_label = 1").select(id_col), id_col, "left_semi"), id_col, text, max_positive)
-    return fit(positive, _feature_blocks(rows, text), 0.5 if prior is None else float(prior))
+    blocks = _feature_blocks(rows, text)
+    model = fit(positive, blocks, 0.5 if prior is None else float(prior))
+    release(blocks)
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -279,29 +279,110 @@ def test_lm(spark):
         assert abs(sum(p3(a, b, w) for w in vocabulary) + p3(a, b, "new") - 1) < 1e-9
 
 
+def brute_ngrams(text):
+    """4 bytes inside a word, with or without the place before and after it."""
+    data = (text or "").lower().encode()
+    letter = [97 <= b <= 122 or b >= 128 for b in data]
+    plain = [b if m else 32 for b, m in zip(data, letter, strict=True)]
+    return [int.from_bytes(bytes(plain[i : i + 4])) for i in range(len(data) - 3) if letter[i + 1] and letter[i + 2]]
+
+
+LANGUAGES = {"en": "the cat and the dog with the hat", "de": "der hund und die katze mit dem hut", "fr": "le chat et le chien à côté du chapeau"}
+
+
+def test_language_filters_and_shares(spark):
+    """Counts, masks and corrected shares against sets."""
+    from contactrank.llm import language_id as L
+
+    rng = random.Random(4)
+    rows = [(name, " ".join(rng.choice(words.split()) for _ in range(rng.randrange(1, 60)))) for name, words in LANGUAGES.items() for _ in range(20)]
+    rows += [(None, "the cat"), ("en", None), ("en", "")]
+    model = L.learn_filter(spark.createDataFrame(rows, "lang string, text string"), "text", "lang")
+    counts = {name: Counter(g for x, t in rows if x == name for g in brute_ngrams(t)) for name in LANGUAGES}
+    share = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
+    top = lambda g: max(s.get(g, 0) for s in share.values())
+    chosen = {name: {g for g, x in s.items() if x >= L.MIN_SHARE and x >= L.MIN_RATIO * top(g)} for name, s in share.items()}
+    assert model.languages == sorted(LANGUAGES) and model.fallback == "en"
+    every = sorted({g for c in counts.values() for g in c})
+    slots = [x.tolist() for x in model.slots(np.array(every, np.uint32))]
+    mask = {g: int(np.bitwise_and.reduce([model.words[0][x[k]] for x in slots])) for k, g in enumerate(every)}
+    for k, name in enumerate(model.languages):
+        held = {g for g in every if mask[g] >> k & 1}
+        assert chosen[name] <= held and len(held - chosen[name]) <= 0.2 * len(every)  # none is missed, few pass by chance
+    texts = [t or "" for _, t in rows]
+    import pyarrow as pa
+
+    got = model.shares(*L.ngrams(pa.array(texts)), len(texts))
+    for t, own in zip(texts, got, strict=True):
+        grams = brute_ngrams(t)
+        for k in range(len(model.languages)):
+            n, p = max(1, len(grams)), model.passing[k]
+            want = (sum(mask[g] >> k & 1 for g in grams) - n * p) / (1 - p) / n
+            assert abs(own[k] - min(1, max(0, want))) < 1e-9
+
+
 def test_language(spark):
-    texts = ["the cat and the dog with the hat"] * 4 + ["der hund und die katze mit dem hut"] * 4 + [None, "", "123 !?", "THE DOG", "die katze", "жзи"]
-    docs = spark.createDataFrame([(i, t, "en" if i < 4 else "de" if i < 8 else None, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
-    got = predict_language(docs, F.lit(True)).select("row.doc_id", "lang_pred", F.col("score").alias("s")).orderBy("doc_id").collect()
-    assert [r.lang_pred for r in got][:13] == ["en"] * 4 + ["de"] * 4 + ["und"] * 3 + ["en", "de"]
-    assert got[13].lang_pred in ("en", "de") and all(0 <= r.s <= 1 for r in got)
+    rng = random.Random(5)
+    make = lambda name, n: " ".join(rng.choice(LANGUAGES[name].split()) for _ in range(n))
+    names = [sorted(LANGUAGES)[i // 3 % 3] for i in range(90)]
+    texts = [make(x, 40) for x in names] + [None, "", "123 !?", "жзи", make("de", 30_000), make("fr", 9), make("fr", 9)]
+    docs = spark.createDataFrame([(i, t, names[i] if i < 90 else None, 1.0, "x", "y", 3) for i, t in enumerate(texts)], "doc_id long, text string, lang string, score double, lang_pred string, row string, gram long")
+    docs = docs.union(docs.where("doc_id = 0"))
+    got = predict_language(docs, F.col("doc_id") % 3 < 2).select("row.doc_id", "lang_pred", F.col("score").alias("s")).orderBy("doc_id").collect()
+    assert len(got) == len(texts) + 1 and got[0] == got[1] and all(0 <= r.s <= 1 for r in got)
+    got = got[1:]
+    assert [r.lang_pred for r in got[:90] if r.doc_id % 3 == 2] == [names[r.doc_id] for r in got[:90] if r.doc_id % 3 == 2]  # not learned from
+    assert [r.lang_pred for r in got[90:]] == ["und"] * 3 + [got[93].lang_pred, "de", "fr", "fr"] and got[93].s == 0
     assert {r.lang_pred for r in predict_language(docs, F.lit(False)).collect()} == {"und"}
     assert predict_language(docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_risk_by_finite_differences():
+    from contactrank.llm import quality_classifier as Q
+
+    rng = np.random.default_rng(2)
+    u, p = np.append(rng.normal(size=(300, 6)), np.ones((300, 1)), 1), np.append(rng.normal(1, 1, (80, 6)), np.ones((80, 1)), 1)
+    prior, decay, w = 0.4, 0.01, rng.normal(size=7)
+    positive = lambda z: np.logaddexp(0, -z)
+    negative = lambda z: np.logaddexp(0, z)
+
+    def whole(w):
+        second = negative(u @ w).mean() - prior * negative(p @ w).mean()
+        return prior * positive(p @ w).mean() + second + decay / 2 * (w[:-1] ** 2).sum(), second
+
+    second, gradient, curvature = Q.risk(Q.logistic_sums(u, w), len(u), p, w, prior, decay)
+    assert abs(second - whole(w)[1]) < 1e-12
+    for k in range(7):
+        e = np.zeros(7)
+        e[k] = 1e-5
+        assert abs((whole(w + e)[0] - whole(w - e)[0]) / 2e-5 - gradient[k]) < 1e-8
+        ahead, back = (Q.risk(Q.logistic_sums(u, x), len(u), p, x, prior, decay)[1] for x in (w + e, w - e))
+        assert np.abs((ahead - back) / 2e-5 - curvature[k]).max() < 1e-7
+
+
 def test_quality(spark):
     rng = random.Random(6)
-    good = lambda: ". ".join(" ".join(rng.choice(["tree", "river", "stone", "walks", "under"]) for _ in range(8)).capitalize() for _ in range(6))
+    good = lambda n=6: ". ".join(" ".join(rng.choice(["tree", "river", "stone", "walks", "under"]) for _ in range(8)).capitalize() for _ in range(n))
     bad = lambda: " ".join(rng.choice(["BUY", "NOW"]) + "!!$$" for _ in range(40))
-    rows = [(i, good() if i % 4 else bad()) for i in range(400)]
-    docs = spark.createDataFrame(rows + [(1000, None), (1001, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)] + [(2, 1), (999, None), (None, 1)], "doc_id long, quality int")
-    model = train_quality(docs, labels, F.col("doc_id") % 9 < 6)
-    got = {r.doc_id: r.score for r in score_quality(docs, model).select("row.doc_id", "score").collect()}
-    assert len(got) == 402 and all(0 <= s <= 1 for s in got.values())
-    assert np.mean([(got[i] >= 0.7) == (i % 4 > 0) for i in range(400)]) > 0.95
+    rows = [(i, good() if i % 4 else bad()) for i in range(400)] + [(1000, None), (1001, ""), (1002, good(3000)), (1003, "W" * 90_000), (None, good()), (0, bad())]
+    docs = spark.createDataFrame([(*r, 0.5, "r", "x", 1) for r in rows], "doc_id long, text string, score double, row string, x string, _label long")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)] + [(2, 1), (2, 0), (999, None), (None, 1)], "doc_id long, quality int")
+    train = F.col("doc_id") % 9 < 6
+    got = [(r.doc_id, r.s) for r in score_quality(docs, train_quality(docs, labels, train)).select("row.doc_id", F.col("score").alias("s")).collect()]
+    assert len(got) == 406 and all(0 <= s <= 1 for _, s in got) and len({s for i, s in got if i == 0}) == 2
+    held = {i: s for i, s in got if i is not None and i < 400 and i % 9 >= 6}
+    assert np.mean([(s >= 0.7) == (i % 4 > 0) for i, s in held.items()]) > 0.95
     none = score_quality(docs, train_quality(docs, labels.where("false"), F.lit(True)))
-    assert {r.score for r in none.collect()} == {0.5}
+    assert {r.score for r in none.select("score").collect()} == {0.5}
+    empty = docs.where("false")
+    assert score_quality(empty, train_quality(empty, labels, train)).count() == 0
+
+
+def test_equal_rows_go_to_many_blocks(spark):
+    from contactrank.llm.blocks import in_blocks
+
+    rows = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text")).repartition(16)
+    assert in_blocks(rows, 1 << 30).select("block").distinct().count() > 8
 
 
 def test_chat(spark):
@@ -318,6 +399,9 @@ def test_chat(spark):
     assert [t.text for t in got[2].turns] == ["a", "a", "b"] and got[2].loss_text == "" and got[3].loss_text == "only"
     assert [tuple(t) for t in got[4].turns] == [("", "")]
     assert format_examples(turns.where("false")).count() == 0
+    long = [(9, t, ("user", "assistant")[t % 2], f"{t} <|im_end|>" * (20_000 if t == 1 else 1)) for t in range(300)]
+    (back,) = read_back(format_examples(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))).collect()
+    assert [tuple(t) for t in back.turns] == [(r, x) for _, _, r, x in long] and back.loss_text == "".join(x for _, _, r, x in long if r == "assistant")
     rng = random.Random(8)
     odd = spark.createDataFrame([("".join(rng.choice("\\<|n\nx") for _ in range(rng.randrange(12))),) for _ in range(500)], "s string")
     same = odd.select("s", unescape(escape(F.col("s"))).alias("a"), unescape(escape(F.col("s"), True), True).alias("b"), escape(F.col("s"), True).alias("e"))

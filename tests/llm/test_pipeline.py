@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
+from tests.llm.test_operators import brute_components, brute_hits, brute_spans
 
 pytest.importorskip("public_tokenizers")
 
@@ -42,6 +45,33 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in run.select("doc_id").collect()} == left["bpe_encoding"]
 
 
+def test_stages_against_brute_force(spark, folder):
+    """All rows of run(), stage by stage in plain Python, given the classifier's scores; extra columns do not pass."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scored = C.quality(spark, docs.withColumn("row", F.lit(1)).withColumn("score", F.lit(2)), folder)
+    assert scored.columns == C.COLUMNS
+    left = [(r.doc_id, r.text) for r in scored.orderBy("doc_id").collect()]
+    parts = brute_components([t for _, t in left], [i for i, _ in left], 5, 4, 5)
+    left = [x for x, (i, n, low) in zip(left, parts, strict=True) if n == 0 or i == low]
+    data = [(t or "").encode() for _, t in left]
+    kept = [bytes(b for b, m in zip(d, mask, strict=True) if not m).decode(errors="ignore") for d, mask in zip(data, brute_spans(data, 200), strict=True)]
+    left = [(i, t and k) for (i, t), k in zip(left, kept, strict=True) if k or not t]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    left = [(i, t) for i, t in left if not brute_hits(t, items)[0]]
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = sorted((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in left)
+    assert sorted((r.doc_id, list(r.ids)) for r in C.run(spark, folder).collect()) == want and len(want) > 60
+
+
+def test_empty_table(spark, folder):
+    none = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for _, stage in C.STAGES:
+        assert stage(spark, none, folder).count() == 0
+
+
 def test_one_document_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near, other = text + " end", " ".join(f"v{i}" for i in range(60))
