@@ -24,7 +24,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier scores under 0.7; it learns from three of four labelled rows."""
+    """Drops the documents that the quality classifier scores under 0.7; it learns from three of four labelled rows.
+
+    Null and empty texts are scored like others; repeated rows get the same score, so all or none stay; rows of a null id
+    teach nothing.
+    """
     whole_text_rows(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
@@ -52,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every byte inside a 200-byte string that occurs again; parts of characters at a cut go with it.
 
-    A document of which nothing is left is dropped, unless it was empty before.
+    A document of which nothing is left is dropped, unless it was empty before. A null text stays null; of repeated
+    rows every one loses what they share.
     """
     whole_text_rows(spark)
     out = remove_repeated_bytes(docs.select(*COLUMNS), as_text=True)
@@ -62,14 +67,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of ten consecutive words of a benchmark item."""
+    """Drops the documents that hold a window of ten consecutive words of a benchmark item.
+
+    Null and empty texts, and all if the benchmark is empty, stay; repeated rows stay or go together.
+    """
     whole_text_rows(spark)
     out = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
     return out.where(F.size("hits") == 0).select("row.*").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """doc_id, source, lang, ids (BPE), n_tokens and whether decoding gives the tokens' text again."""
+    """doc_id, source, lang, ids (BPE), n_tokens and the SHA-256 of the text that the ids decode to.
+
+    Null and empty texts have no ids and the digest of the empty text; repeated rows each give a row.
+    """
     whole_text_rows(spark)
     import public_tokenizers
 
