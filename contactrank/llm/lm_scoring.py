@@ -36,7 +36,7 @@ from contactrank.llm import fingerprints as P
 
 _U = np.uint64
 _BLOCK = 6 << 20
-SPARE_BITS = 20
+SPARE_BITS = 16
 
 
 class Tokens:
@@ -91,7 +91,7 @@ def training_size(docs: DataFrame, train: Column, text: str) -> tuple[int, int]:
 def _count_tokens(data: list[bytes]) -> list[bytes]:
     """Counts of each block's tokens over all blocks, compared as text."""
     asked = [pickle.loads(d) for d in data]
-    tokens = pa.concat_arrays([pa.array(t, pa.large_binary()) for t, _ in asked]).dictionary_encode()
+    tokens = pa.concat_arrays([t for t, _ in asked]).dictionary_encode()
     which, counts = tokens.indices.to_numpy(), np.concatenate([n for _, n in asked])
     total = np.zeros(len(tokens.dictionary), np.int64)
     np.add.at(total, which, counts)
@@ -142,13 +142,14 @@ def lm_score(docs: DataFrame, train: Column, text: str = "text", beta: tuple[flo
         asked = B.ask(block, np.concatenate([pair, triple]) >> shift << shift, lambda k: B.even_bucket(k, n), counts=np.concatenate([trained, trained]))
         counts = np.zeros(len(tokens.distinct), np.int64)
         np.add.at(counts, tokens.number, trained)
-        words = tokens.distinct.to_pylist()
-        more = [(n + b, block, pickle.dumps((words[lo:hi], counts[lo:hi]))) for b, lo, hi in B.runs(B.even_bucket(tokens.digest, n_tokens))]
+        words = tokens.distinct.cast(pa.binary())
+        more = [(n + b, block, pickle.dumps((words.take(pa.array(np.arange(lo, hi))), counts[lo:hi]))) for b, lo, hi in B.runs(B.even_bucket(tokens.digest, n_tokens))]
         return pa.concat_tables([asked, B.messages(more)])
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
-        data = table["data"].to_pylist()
-        return table.set_column(2, "data", pa.array(_count_tokens(data) if key[0].as_py() >= n else B.counter()(data), pa.binary())).select(["bucket", "block", "data"])
+        data = B.opened(table["data"].to_pylist())
+        counts = _count_tokens(data) if key[0].as_py() >= n else B.counter()(data)
+        return table.set_column(2, "data", pa.array(B.closed(counts), pa.binary())).select(["bucket", "block", "data"])
 
     def walk(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         tokens = Tokens(pc.struct_field(table["row"], text))

@@ -42,8 +42,9 @@ _U = np.uint64
 #: Sampled suffixes that a group is planned for, and those of one gram from which its windows are counted one by one.
 PER_GROUP = 40_000
 HOT = 5_000
-#: Suffixes that a group sorts at once.
-RUN = 60_000
+#: Units that a group sorts at once, and places or texts that are gathered at once: what bounds a worker's memory.
+RUN_UNITS = 3_000_000
+GATHERED = 4_000
 #: Ranges of the byte order: their bounds are all that the driver knows. Larger inputs split each by the gram's hash.
 MAX_RANGES = 2_000
 #: Bytes of a gram that place it in the byte order.
@@ -116,10 +117,11 @@ def _flat(data: np.ndarray, start: np.ndarray, end: np.ndarray, head: np.ndarray
     more = 0 if head is None else 2
     size = end - start + more
     upto = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(start - upto[:-1] - more, size) + np.arange(upto[-1])
-    if head is not None:
-        take[upto[:-1]] = take[upto[:-1] + 1] = 0
-    flat = data[take] if len(data) else np.zeros(upto[-1], np.uint8)
+    flat = np.zeros(upto[-1], np.uint8)
+    for lo in range(0, len(start), GATHERED):
+        hi = min(lo + GATHERED, len(start))
+        take = np.repeat(start[lo:hi] - upto[lo:hi] - more, size[lo:hi]) + np.arange(upto[lo], upto[hi])
+        flat[upto[lo] : upto[hi]] = data[np.maximum(take, 0)]
     if head is not None:
         flat[upto[:-1]], flat[upto[:-1] + 1] = head & 255, head >> 8
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(flat)])
@@ -158,8 +160,11 @@ def repeated_offsets(units: np.ndarray, n_units: np.ndarray, before: np.ndarray,
     """
     reach, k = size - gram + 1, len(n_units)
     table = np.zeros((k, reach - 1 + size), units.dtype)
-    row = np.repeat(np.arange(k), n_units)
-    table[row, np.arange(len(units)) - np.repeat(np.cumsum(n_units) - n_units, n_units) + (reach - 1 - before)[row]] = units
+    column, upto = np.arange(table.shape[1]), np.concatenate([[0], np.cumsum(n_units)])
+    for lo in range(0, k, GATHERED):
+        hi = min(lo + GATHERED, k)
+        lead = (reach - 1 - before[lo:hi])[:, None]
+        table[lo:hi][(column >= lead) & (column < lead + n_units[lo:hi, None])] = units[upto[lo] : upto[hi]]  # row by row
     after = n_units - before
     right, left = table[:, reach - 1 :], table[:, : reach - 1][:, ::-1]
     by_right, by_left = _sorted(right), _sorted(left)
@@ -204,7 +209,7 @@ def mark_repeated(docs: DataFrame, text: str, size: int, kind: type, finish: Cal
     gram = -(-size // 3)
     reach = size - gram + 1
     total = B.total_bytes(docs, text)
-    rows = B.in_blocks(docs.select(F.struct("*").alias("row")), total)
+    rows = B.in_blocks(docs.select(F.struct("*").alias("row")), total, 2 << 20 if kind is Bytes else B.BLOCK_BYTES)
     places = 2 * total / (reach + 1) / (6 if kind is Words else 1)
     n_counts, n_groups = B.n_buckets(places), max(1, int(places // (per_group or PER_GROUP)))
     hot = hot or HOT
@@ -334,17 +339,19 @@ def _subtrees(table: pa.Table, kind: type, size: int, gram: int) -> pa.Table:
     units, n_units = kind.rows(data[keep], offsets - 2 * np.arange(len(offsets)))
     upto = np.concatenate([[0], np.cumsum(n_units)])
     place = upto[:-1] + before
-    heads = units[place[:, None] + np.arange(gram)]
+    heads = np.empty((len(place), gram), units.dtype)
+    for lo in range(0, len(place), GATHERED):
+        heads[lo : lo + GATHERED] = units[place[lo : lo + GATHERED, None] + np.arange(gram)]
     order = _sorted(heads)
     tree = np.flatnonzero(np.concatenate([[True], _same_as_neighbour(heads[order]) < gram, [True]]))  # where a gram's subtree begins
     times = table["times"].to_numpy()
     bits = np.zeros((len(bodies), -(-(size - gram + 1) // 8)), np.uint8)
     one = 0
     while one < len(tree) - 1:  # runs of whole subtrees
-        after = max(one + 1, int(np.searchsorted(tree, tree[one] + RUN, side="right")) - 1)
+        after = max(one + 1, int(np.searchsorted(tree, tree[one] + RUN_UNITS // (2 * size), side="right")) - 1)
         some = order[tree[one] : tree[after]]
         n = n_units[some]
-        flat = units[np.repeat(upto[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        flat = np.concatenate([units[a:b] for a, b in zip(upto[some].tolist(), upto[some + 1].tolist(), strict=True)])
         bits[some] = np.packbits(repeated_offsets(flat, n, before[some], times[some], size, gram), axis=1)
         one = after
     blocks, no = table["block"].to_numpy(), table["no"].to_numpy()

@@ -89,7 +89,8 @@ TUNING = [{}, {"per_group": 50}, {"hot": 1, "per_group": 50}, {"hash_bits": 8, "
 def test_repeated_passages(spark, tuning, monkeypatch):
     import contactrank.llm.suffixes as S
 
-    monkeypatch.setattr(S, "RUN", 40 if tuning else 60_000)
+    monkeypatch.setattr(S, "RUN_UNITS", 600 if tuning else 3_000_000)
+    monkeypatch.setattr(S, "GATHERED", 7 if tuning else 4_000)
     for window in (35, 3, 1):
         check_passages(spark, odd_texts(), window, **tuning)
 
