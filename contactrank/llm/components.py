@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tasks that share the rows of one key.
-SALTS = 16
+SALTS = 8
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

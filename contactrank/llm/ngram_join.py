@@ -221,11 +221,12 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b, links): a forest over the similar classes (b not null), and each class's number of similar rows in one pair of blocks (b null); their sum is the whole join's."""
     num, den = threshold
+    # joins of two written tables have nothing but an exchange on each side: a hot key's rows are split as they are read.
     # sizes of similar sets are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("long")
     tokens = sets.select("v", band.alias("band"), F.explode("prefix").alias("token"))
     hubs = checkpoint(tokens.groupBy("token", "band").agg(F.min("v").alias("hub"), F.count("*").alias("n")))
-    stars = join_salted(tokens, hubs.where("n > 1").select("token", "band", "hub"), ["token", "band"], "v").where("v <> hub").select("v", "hub")
+    stars = tokens.join(hubs.where("n > 1").select("token", "band", "hub"), ["token", "band"]).where("v <> hub").select("v", "hub")
     bridges = hubs.select("token", "band", F.col("hub").alias("v")).join(hubs.select("token", (F.col("band") - 1).alias("band"), "hub"), ["token", "band"]).where("v <> hub").select("v", "hub")
     groups = components(stars.union(bridges).distinct(), "v", "hub").select(F.col("node").alias("v"), F.col("component").alias("g"))
     groups = checkpoint(groups.join(sets.select("v", "m"), "v"))
@@ -299,6 +300,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     linked = classes.where("root is null").withColumn("low", F.col("least")).unionByName(join_salted(classes.where("root is not null"), roots, ["root"], "cls"))
     linked = checkpoint(linked.select("cls", "cls2", comp.alias("comp"), F.col("low").alias("component"), (F.col("rows") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))
     release(sets, links, classes)
-    some = join_salted(members.where("cls is not null"), linked, ["cls", "cls2"], "id", "th")
+    some = members.where("cls is not null").join(linked, ["cls", "cls2"])
     none = members.where("cls is null").select("id", "th", "n", F.lit(None).cast(linked.schema["comp"].dataType).alias("comp"), F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
     return some.select("id", "th", "n", "comp", "component", "n_links").unionByName(none)

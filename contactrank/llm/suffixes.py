@@ -183,7 +183,7 @@ def repeated_offsets(units: np.ndarray, n_units: np.ndarray, before: np.ndarray,
     return out
 
 
-def range_bounds(docs: DataFrame, text: str, total: int, n: int) -> list[bytes]:
+def range_bounds(docs: DataFrame, text: str, total: int, n: int, kind: type) -> list[bytes]:
     """At most n - 1 strings that cut the byte order of places into ranges of about equal weight.
 
     Taken from a bounded sample of places; they only balance the groups. The shortest prefix that parts two neighbours is enough.
@@ -195,7 +195,9 @@ def range_bounds(docs: DataFrame, text: str, total: int, n: int) -> list[bytes]:
     size = F.char_length(text)
     chosen = docs.where(size > 0).where(F.pmod(h, F.lit(1 << 30)) <= F.lit(float(wanted) * (1 << 30) / total) * size)
     place = (F.pmod(F.shiftright(h, 30), size) + 1).cast("int")
-    head = F.regexp_replace(F.substring(text, place, F.lit(3 * _HEAD)), r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+", "")
+    head = F.substring(text, place, F.lit(3 * _HEAD))
+    if kind is Words:  # from the next word on
+        head = F.regexp_replace(head, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+", "")
     found = sorted(bytes(r[0])[:_HEAD] for r in chosen.select(head.cast("binary")).limit(4 * wanted).toLocalIterator())
     found = found[:: max(1, len(found) // n)][1:]
     return sorted({b[: next((i + 1 for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a) + 1)] for a, b in zip([b"", *found], found, strict=False) if a < b})
@@ -213,7 +215,7 @@ def mark_repeated(docs: DataFrame, text: str, size: int, kind: type, finish: Cal
     places = 2 * total / (reach + 1) / (6 if kind is Words else 1)
     n_counts, n_groups = B.n_buckets(places), max(1, int(places // (per_group or PER_GROUP)))
     hot = hot or HOT
-    bounds = range_bounds(docs, text, total, min(MAX_RANGES, n_groups))
+    bounds = range_bounds(docs, text, total, min(MAX_RANGES, n_groups), kind)
     cuts = np.array(bounds, f"S{_HEAD}")
     parts = max(1, n_groups // (len(bounds) + 1))
     shift = _U(max(0, 64 - SPARE_BITS - max(24, int(places).bit_length())))
