@@ -61,10 +61,10 @@ def lines_above_limit(docs: DataFrame, text: str, host: str, max_share: float, m
     return known.where((n > min_docs) & (n > max_share * of)).groupBy("host").agg(F.collect_set("line").alias("above"))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 8-word windows that are found twice or more, from the array of word hashes."""
-    pairs = lambda a, step: F.zip_with(a, F.slice(a, step + 1, F.size(a)), lambda x, y: F.xxhash64(x, y))
-    return F.when(F.size(words) >= 8, F.slice(pairs(pairs(pairs(words, 1), 2), 4), F.lit(1), F.size(words) - 7)).otherwise(F.array().cast("array<bigint>"))
+def eight_words(hashes: Column) -> Column:
+    """A hash of each 8-word window, from the array of word hashes."""
+    windows = F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, 8))))
+    return F.when(F.size(hashes) >= 8, F.slice(windows, F.lit(1), F.size(hashes) - 7)).otherwise(F.array().cast("array<bigint>"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.02, min_docs: int = 3, min_host_docs: int = 50, min_left: float = 0.5) -> DataFrame:
@@ -86,7 +86,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     full = F.filter("lines", lambda x: F.trim(x, F.lit(_SPACE)) != "")
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     rows = rows.select("row", F.size("words").alias("n_words"), F.char_length(F.array_join("words", "")).alias("word_chars"), hashes.alias("hashes"), full.alias("full"), F.when(F.col("above").isNotNull(), F.array_join(left, "\n")).alias("left"))
-    rows = rows.withColumn("eight", repeated_words(F.col("hashes"))).drop("hashes")
+    rows = rows.withColumn("eight", eight_words(F.col("hashes"))).drop("hashes")
     rows = rows.withColumn("tied", F.when(F.size(F.array_distinct("eight")) < F.size("eight"), F.sort_array(F.transform("eight", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     starts = F.filter("tied", lambda e, k: F.coalesce(F.get("tied", k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get("tied", k + 1)["h"] == e["h"], F.lit(False)))
     rows = rows.withColumn("starts", F.sort_array(F.transform(starts, lambda e: e["i"])))
