@@ -2,8 +2,8 @@
 
 A logistic model over text-shape features is fitted on trusted positives (training rows labelled 1) and on all
 unlabelled web text, by the non-negative unbiased risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). While the
-second term is not negative the risk is convex for the logistic loss, and a Newton step is taken; where it falls below zero,
-a step back up its gradient. The class prior is estimated as the share of label 1 among labelled training rows; labels
+second term is not negative the risk is convex for the logistic loss, and a Newton step is taken; a step that takes the term below zero
+is halved until it does not, so that the fit ends where more of it would only be learned by heart. The class prior is estimated as the share of label 1 among labelled training rows; labels
 0 have no other use.
 
 Features of every training text are made once and written, two bytes each, to the checkpoint folder; mean, scale and each step's
@@ -135,8 +135,11 @@ def risk(unlabelled: np.ndarray, n: float, positive: np.ndarray, weight: np.ndar
     return second, u[1 : 1 + d] - prior * positive.mean(axis=0) + ridge * weight, curvature + np.diag(ridge + 1e-9)
 
 
-def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, steps: int = 12, decay: float = 1e-3) -> Model:
-    """Minimises the non-negative unbiased risk; unlabelled: blocks of features (see _feature_blocks)."""
+def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, steps: int = 16, ridge: float = 200.0) -> Model:
+    """Minimises the non-negative unbiased risk; unlabelled: blocks of features (see _feature_blocks).
+
+    ridge: a prior on the scaled weights, worth so many rows: a few rows of an odd kind do not make it a bad one.
+    """
     constant = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
     none = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), constant)
     if not len(positive):
@@ -147,19 +150,19 @@ def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float, steps: int =
     n, mean = sums[0], sums[1 : 1 + N_FEATURES] / sums[0]
     scale = np.maximum(np.sqrt(np.maximum(sums[1 + N_FEATURES :] / n - mean**2, 0)), 1e-3)
     p, weight = scaled(positive.astype(np.float64), mean, scale), np.append(np.zeros(N_FEATURES), constant)
+    best, step = weight, np.zeros(N_FEATURES + 1)
     for _ in range(steps):
         of = _summed(unlabelled, lambda x, w=weight: logistic_sums(scaled(x, mean, scale), w))
-        second, gradient, curvature = risk(of, n, p, weight, prior, decay)
-        if second < 0:
-            q = logistic_sums(p, weight)[1 : 1 + len(weight)] / len(p)
-            step = -0.1 * (of[1 : 1 + len(weight)] / n - prior * q)
+        second, gradient, curvature = risk(of, n, p, weight, prior, ridge / n)
+        if second < 0:  # further down the risk is only what the model has learned by heart
+            step = step / 2
         else:
-            step = np.linalg.solve(curvature, gradient)
-        step *= min(1.0, 4 / max(1e-12, float(np.abs(step).max())))  # no step far outside of where the curvature was taken
-        weight = weight - step
-        if np.abs(step).max() < 1e-3:
+            best, step = weight, np.linalg.solve(curvature, gradient)
+            step *= min(1.0, 4 / max(1e-12, float(np.abs(step).max())))  # not far outside of where the curvature was taken
+        if np.abs(step).max() < 1e-2:
             break
-    return Model(mean, scale, weight[:-1], float(weight[-1]))
+        weight = best - step
+    return Model(mean, scale, best[:-1], float(best[-1]))
 
 
 def _feature_blocks(docs: DataFrame, text: str) -> DataFrame:
