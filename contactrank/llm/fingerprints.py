@@ -164,13 +164,6 @@ def strong(values: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, 2)
 
 
-def strong_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A pair of 64-bit lanes per row from two such pairs; every step mixes, so that no sum of terms can cancel."""
-    x = mix(a[:, 0] ^ mix(b[:, 0] + U(0x9E3779B97F4A7C15)))
-    y = mix(a[:, 1] + mix(b[:, 1] ^ U(0xD6E8FEB86659FD93)))
-    return np.stack([mix(x + (y >> U(7)) * U(0xA24BAED4963EE407)), mix(y ^ (x << U(9) | x >> U(55)))], axis=1)
-
-
 def hash_strings(values: list[bytes]) -> np.ndarray:
     """The word fingerprints of given words."""
     data = np.frombuffer(b"".join(values), np.uint8)
