@@ -39,7 +39,7 @@ from contactrank.llm import fingerprints as P
 from contactrank.llm.blocks import slices, spread
 
 #: Words and chunks that a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 #: Rank of a pair that no merge has.
 NEVER = 1 << 60
 #: Bytes of text that are encoded at once.

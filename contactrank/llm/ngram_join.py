@@ -38,14 +38,14 @@ _U = np.uint64
 BLOCK_BYTES = 2 << 20
 #: N-grams and classes in one block of a group; a task holds one fragment of two blocks.
 BLOCK_GRAMS = 400_000
-BLOCK_CLASSES = 1_000
+BLOCK_CLASSES = 700
 #: Fragments of the n-gram order: counts of 2 and 3, to 15, to 63, ... and all above.
 FRAGMENTS = 6
 #: Occurrences are counted by a hash's upper bits, this many more than the number of n-grams has. The count only
 #: orders n-grams, so the few that share these bits do no harm.
 SPARE_BITS = 12
 #: Pairs that are counted at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 #: A member's side where a group's pairs are those inside one block.
 WITHIN = 2
 
