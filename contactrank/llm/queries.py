@@ -117,8 +117,56 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None)
     return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.pii import BASE, KINDS, find_pii
+
+    out = find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    of = lambda spans, kinds: F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(list(kinds)), s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    told = lambda spans: F.array_join(F.transform(of(spans, KINDS), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return out.select("row.doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.blocks import spread
+    from contactrank.llm.filter_audit import interactions, mark_copies
+    from contactrank.llm.line_rules import words_of
+
+    text = F.coalesce("text", F.lit(""))
+    words = words_of(text)
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"), F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("n_distinct"))
+    fails = {"A": F.col("n") < 200, "B": 100 * F.col("n_distinct") < 50 * F.col("n"), "C": 100 * F.regexp_count("text", F.lit("[A-Z]")) > 2 * F.char_length("text"), "D": F.col("text").rlike("[#$%&*|]")}
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good_lost"), F.max(F.col("toxic") == 1).alias("toxic_lost"))
+    rows = docs.select("doc_id", "part", "text", *(c.alias(f) for f, c in fails.items())).join(labels, "doc_id", "left")
+    kinds = ["good_lost", "toxic_lost"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in kinds})
+    counted = mark_copies(rows, F.col("text"), "doc_id", ["part", *fails, *kinds], "E")
+    return interactions(counted, [*fails, "E"], lost=tuple(kinds), weight="n")
+
+
+#: Upper and lower case of the only letters that op13 lowers.
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactrank.llm.blocks import spread
+    from contactrank.llm.spelling import count_words, spelling_variants
+
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # a run that is shorter than a word can't become one
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))).alias("run"))
+    runs = runs.withColumn("run", F.translate("run", _UPPER, _LOWERED))
+    runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    less = F.concat(F.substr("run", F.lit(1), at), F.substr(F.col("run"), at + 2))
+    words = runs.select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+    return spelling_variants(count_words(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op9_ngram_links, op10_bpe_encoding)
+    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op9_ngram_links, op10_bpe_encoding, op11_pii, op12_filter_audit, op13_spelling_variants)
     return {f.__name__: f for f in made}
 
 
