@@ -271,5 +271,46 @@ LEFT JOIN (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.
 )
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+e AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+f AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+i AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, o, i.x AS step, fails[o[i.x]] AS fail, list_bool_or([false] || list_transform(o[: i.x - 1], lambda k: fails[k])) AS before, len(list_filter(fails, lambda q: q)) AS n_fails, good, toxic, n FROM m, o, i),
+r AS (SELECT part, o, step, coalesce(sum(n) FILTER (WHERE NOT fail AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (WHERE fail AND NOT before), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE fail AND before), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fail AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE fail AND NOT before AND good), 0) AS good_lost, coalesce(sum(n) FILTER (WHERE fail AND NOT before AND toxic), 0) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: CRC-32 byte by byte; near words by what is left of them without one code point, at equal places or against whole words.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM u GROUP BY ALL),
+b AS (SELECT run, n, hex(id || ':' || run) AS x FROM c),
+h AS (SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]))) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS left_over FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT x.word AS a, y.word AS b FROM k x JOIN k y ON x.left_over = y.left_over AND x.i = y.i AND length(x.word) = length(y.word) AND x.word <> y.word
+  UNION SELECT k.word, v.word FROM k JOIN v ON k.left_over = v.word UNION SELECT v.word, k.word FROM k JOIN v ON k.left_over = v.word),
+q AS (SELECT a, b, v.n AS b_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS place FROM p JOIN v ON b = v.word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n FROM v LEFT JOIN q ON a = word AND place = 1),
+r(word, root) AS (SELECT word, word FROM f UNION SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+g AS (SELECT r.word, r.root FROM r JOIN f ON r.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
