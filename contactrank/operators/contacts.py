@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactrank.functions.schema import ALIASES
+from contactrank.functions.tables import drop_folder
 from contactrank.functions.text import js_trim, normalize_key
 
 
@@ -46,11 +47,6 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("owner_id", F.col("owner_id").cast("string"))
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def revoke_snapshot(spark: SparkSession, path: str, owners: list[str]) -> None:
     """A new upload withdraws its owner's confirmation. The other owners' folders are not touched."""
     for owner in owners:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactrank.functions import tables
 from contactrank.functions import text as X
 from contactrank.functions.schema import COLUMN_SAMPLE_ROWS, WEIGHTS
 from contactrank.operators import contacts as C
@@ -123,14 +124,11 @@ def _snapshot(spark: SparkSession, change: Callable[[str], None]) -> DataFrame:
     """What a snapshot folder holds after a change; the folder is removed, what was read stays in the checkpoint folder."""
     import uuid
 
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(root)
+    root = tables.checkpoint_folder(spark)
     path = f"{root.rstrip('/')}/confirmed-{uuid.uuid4().hex}"
     change(path)
     out = C.read_snapshot(spark, path).select("owner_id", "source_file", "row_ord", *WEIGHTS).checkpoint()
-    C.drop_folder(spark, path)
+    tables.drop_folder(spark, path)
     return out
 
 
