@@ -78,17 +78,31 @@ def _quoted(c):
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+CSV_HEAD = 'Notes:\n"all, as exported"\n\nFirst Name,Last Name,Position,Company,Email Address,URL,Connected On,Notes\r'
+
+
+def _csv_line():
+    """A contact as a line of an export, with a line break inside quotes."""
+    name = F.split("full_name", "#")
+    note = F.concat(F.lit("a, "), F.col("notes"), F.lit(' "x"\n2nd'))
+    return F.concat_ws(",", F.get(name, F.lit(0)), F.get(name, F.lit(1)), _quoted(F.col("position")), F.concat(F.lit(" "), F.col("company"), F.lit(" ")), "email", _quoted(F.col("url")), "connected_on", _quoted(note))
+
+
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export files of FILE_ROWS contacts: a preamble, quoted cells with commas, quotes and line breaks, blank rows."""
     rows = contacts(spark, sf_dir)
-    name = F.split("full_name", "#")
-    note = F.concat(F.lit("a, "), F.col("notes"), F.lit(' "x"\n2nd'))
-    line = F.concat_ws(",", F.get(name, F.lit(0)), F.get(name, F.lit(1)), _quoted(F.col("position")), F.concat(F.lit(" "), F.col("company"), F.lit(" ")), "email", _quoted(F.col("url")), "connected_on", _quoted(note))
     part = F.floor(F.col("row_ord") / FILE_ROWS)
-    files = rows.select(F.concat(F.lit("contacts-"), F.col("owner_id"), F.lit("-"), part.cast("string"), F.lit(".CSV")).alias("source_file"), F.struct("row_ord", line.alias("line")).alias("r"))
+    files = rows.select(F.concat(F.lit("contacts-"), F.col("owner_id"), F.lit("-"), part.cast("string"), F.lit(".CSV")).alias("source_file"), F.struct("row_ord", _csv_line().alias("line")).alias("r"))
     files = files.groupBy("source_file").agg(F.sort_array(F.collect_list("r")).alias("r"))  # at most FILE_ROWS rows
-    head = 'Notes:\n"all, as exported"\n\nFirst Name,Last Name,Position,Company,Email Address,URL,Connected On,Notes\r\n'
-    return files.select("source_file", F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["line"]), "\r\n , ,\r\n")).alias("content"))
+    return files.select("source_file", F.concat(F.lit(CSV_HEAD + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\r\n , ,\r\n")).alias("content"))
+
+
+def write_csv_by_owner(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """An export file per owner in folders owner_id=..., whatever its size."""
+    rows = contacts(spark, sf_dir)
+    lines = rows.select("owner_id", "row_ord", F.concat(_csv_line(), F.lit("\r\n , ,\r")).alias("value"))
+    heads = rows.select("owner_id").distinct().select("owner_id", F.lit(-1).cast("long").alias("row_ord"), F.lit(CSV_HEAD).alias("value"))
+    lines.unionByName(heads).repartition("owner_id").sortWithinPartitions("owner_id", "row_ord").select("owner_id", "value").write.partitionBy("owner_id").text(path)
 
 
 def year_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +121,15 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_file", F.concat(F.lit("[\n"), F.array_join(F.transform("r", lambda x: x["v"]), ",\n"), F.lit("\n]")).alias("content"))
 
 
+def clean_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event exports as JSON arrays of FILE_ROWS objects, without anything that two JSON readers see differently."""
+    e = table(spark, sf_dir, "events")
+    value = F.concat(F.lit('{"Full Name": "user '), F.col("user_id").cast("string"), F.lit('", "role": "'), F.col("event_type"), F.lit('", "n": '), F.col("event_id").cast("string"), F.lit(', "share": 2.50, "tags": ["'), F.col("event_type"), F.lit('", null, "\\"é"], "props": '), F.col("props"), F.lit(', "none": null, "new": true}'))
+    rows = e.select(F.concat(F.lit("events-"), F.floor(F.col("event_id") / FILE_ROWS).cast("string"), F.lit(".json")).alias("source_file"), F.struct("event_id", value.alias("v")).alias("r"))
+    rows = rows.groupBy("source_file").agg(F.sort_array(F.collect_list("r")).alias("r"))  # at most FILE_ROWS rows
+    return rows.select("source_file", F.concat(F.lit("[\n"), F.array_join(F.transform("r", lambda x: x["v"]), ",\n"), F.lit("\n]\n")).alias("content"))
+
+
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per customer: well-formed ones and each kind of bad one."""
     c = table(spark, sf_dir, "customer")

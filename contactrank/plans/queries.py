@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from contactrank.operators import portfolio as D
 from contactrank.operators import preview as V
 from contactrank.operators import search as R
 from contactrank.plans import adaptors as A
+from contactrank.sources import clean_json as J
+from contactrank.sources import csv_ranges as B
 from contactrank.sources import exports as S
 
 QUERY = "nation_1, machinery; #0000001 asia.example bolt 1997 machinery"
@@ -92,6 +95,22 @@ def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_file", "row_ord", _joined(F.col("cells")).alias("row_text"))
 
 
+def json_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of JSON exports that are proved clean, by native columns only."""
+    rows = S.raw_rows(J.parse_json(A.clean_json_files(spark, sf_dir)))
+    return rows.select("source_file", "row_ord", _joined(F.col("cells")).alias("row_text"))
+
+
+def csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per owner, each parsed in ranges of 16 KB that cut it anywhere."""
+    path = f"{tables.checkpoint_folder(spark)}/exports-{uuid4().hex}"
+    A.write_csv_by_owner(spark, sf_dir, path)
+    with B.ranges_of(spark, 16 << 10):
+        rows = S.raw_rows(B.parse_csv_ranges(B.read_lines(spark, path)))
+    tables.drop_folder(spark, path)  # the rows are in the checkpoint folder by now
+    return rows.select(F.regexp_extract("source_file", "owner_id=([^/]*)", 1).alias("owner_id"), "row_ord", _joined(F.col("cells")).alias("row_text"))
+
+
 def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status per file, good or bad."""
     return S.file_status(S.parse_exports(A.mixed_files(spark, sf_dir)))
@@ -122,10 +141,7 @@ def discover_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snapshot(spark: SparkSession, change: Callable[[str], None]) -> DataFrame:
     """What a snapshot folder holds after a change; the folder is removed, what was read stays in the checkpoint folder."""
-    import uuid
-
-    root = tables.checkpoint_folder(spark)
-    path = f"{root.rstrip('/')}/confirmed-{uuid.uuid4().hex}"
+    path = f"{tables.checkpoint_folder(spark)}/confirmed-{uuid4().hex}"
     change(path)
     out = C.read_snapshot(spark, path).select("owner_id", "source_file", "row_ord", *WEIGHTS).checkpoint()
     tables.drop_folder(spark, path)
@@ -261,5 +277,5 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
+    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
     return {f.__name__: f for f in made}

@@ -77,6 +77,9 @@ def oracle_sql() -> dict[str, str]:
         "derive_full_name": contacts + f"SELECT {_FILE} AS source_file, row_ord % {FILE_ROWS} AS row_ord, {_FULL} AS full_name FROM contacts",
         "json_ingest": f"""SELECT {_EVENT_FILE} AS source_file, event_id % {FILE_ROWS} AS row_ord, 'Full Name=user ' || user_id || '|role=' || upper(event_type) || '|n=' || event_id
             || '|tags=' || event_type || '  true 2.5 1e+21|props=' || replace(props, ': ', ':') || '|none=' AS row_text FROM events""",
+        "json_clean": f"""SELECT 'events-' || (event_id // {FILE_ROWS}) || '.json' AS source_file, event_id % {FILE_ROWS} AS row_ord, 'Full Name=user ' || user_id || '|role=' || event_type || '|n=' || event_id
+            || '|share=2.5|tags=' || event_type || '  "é|props=' || replace(props, ': ', ':') || '|none=|new=true' AS row_text FROM events""",
+        "csv_ranges": contacts + "SELECT owner_id, row_ord, " + " || '|' || ".join(f"'{k}=' || {v}" for k, v in _CSV_CELLS) + " AS row_text FROM contacts",
         "file_status": """SELECT 'file-' || c_custkey || CASE WHEN k IN (0, 1) THEN '.csv' WHEN k = 5 THEN '.txt' ELSE '.json' END AS source_file,
             CASE WHEN k IN (0, 2) THEN 'OK' ELSE 'ERROR' END AS status,
             CASE k WHEN 1 THEN 'No rows found in file.' WHEN 3 THEN 'JSON must be an array of objects.' WHEN 4 THEN 'Failed to parse file.' WHEN 6 THEN 'Failed to parse file.'

@@ -32,7 +32,7 @@ _CHUNK = 5_000
 _PIECE = re.compile(r'"((?:[^"]++|"")*+)(?:"|\Z)|([^",\r\n]++)|(,)|(\r\n|\r|\n)')
 
 
-def csv_table(text: str) -> list[list[str]]:
+def csv_table(text: str, bom: bool = True) -> list[list[str]]:
     """Trimmed cells of all rows that are not blank. Quotes may open and close anywhere in a cell."""
     table: list[list[str]] = []
     row: list[str] = []
@@ -45,7 +45,7 @@ def csv_table(text: str) -> list[list[str]]:
             table.append(row.copy())
         row.clear()
 
-    for m in _PIECE.finditer(text.removeprefix("\ufeff")):
+    for m in _PIECE.finditer(text.removeprefix("\ufeff") if bom else text):
         kind = m.lastindex
         if kind == 1:
             cell.append(m[1].replace('""', '"'))
@@ -60,13 +60,13 @@ def csv_table(text: str) -> list[list[str]]:
     return table
 
 
-def _norm(key: str) -> str:
+def norm_key(key: str) -> str:
     return re.sub("[^a-z0-9]+", "", key.lower())
 
 
 def header_row(table: list[list[str]]) -> int:
     """The first row with a first and a last name column, else the first row."""
-    return next((i for i, r in enumerate(table) if {"firstname", "lastname"} <= set(map(_norm, r))), 0)
+    return next((i for i, r in enumerate(table) if {"firstname", "lastname"} <= set(map(norm_key, r))), 0)
 
 
 def csv_records(text: str) -> list[dict[str, str]]:
@@ -78,8 +78,13 @@ def csv_records(text: str) -> list[dict[str, str]]:
     if not table:
         return []
     at = header_row(table)
-    keys = [h or f"col_{c}" for c, h in enumerate(table[at])]
-    return [_object(zip(keys, r + [""] * (len(keys) - len(r)), strict=False)) for r in table[at + 1 :]]
+    return [record(table[at], r) for r in table[at + 1 :]]
+
+
+def record(header: list[str], row: list) -> dict[str, object]:
+    """S3 for one row."""
+    keys = [h or f"col_{c}" for c, h in enumerate(header)]
+    return _object(zip(keys, row + [""] * (len(keys) - len(row)), strict=False))
 
 
 def js_number(x: float) -> str:
