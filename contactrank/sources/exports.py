@@ -189,9 +189,14 @@ def _batch(*columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source_file", "file_type", "row_ord", "cells", "error", "row_count"])
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, content) of every file below a path."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("content"))
+def read_files(spark: SparkSession, path: str, which: Column | None = None) -> DataFrame:
+    """(source_file, content) of every file below a path that holds anything; which: a condition on `_metadata`.
+
+    Spark's readers don't list files without a byte, so these have no row here, nor a status later.
+    """
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    rows = rows if which is None else rows.where(which)
+    return rows.select(F.col("_metadata.file_path").alias("source_file"), F.make_valid_utf8("value").alias("content"))
 
 
 def parse_exports(files: DataFrame) -> DataFrame:

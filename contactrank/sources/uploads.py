@@ -17,11 +17,6 @@ def _named(*suffixes: str) -> Column:
     return F.coalesce(*(F.when(name.endswith(s), F.lit(True)) for s in suffixes), F.lit(False))
 
 
-def _whole(spark: SparkSession, path: str, which: Column) -> DataFrame:
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).where(which)
-    return rows.select(F.col("_metadata.file_path").alias("source_file"), F.make_valid_utf8("value").alias("content"))
-
-
 def parse_folder(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, range_bytes: int | None = None) -> DataFrame:
     """Rows and a status row of every file below a path, as `exports.parse_exports` gives them.
 
@@ -30,10 +25,10 @@ def parse_folder(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES,
     """
     large = _named(".csv") & (F.col("_metadata.file_size") > whole_bytes)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = exports.parse_exports(_whole(spark, path, _named(".csv") & ~large))
+    small = exports.parse_exports(exports.read_files(spark, path, _named(".csv") & ~large))
     other = listed.where(~_named(".csv", ".json")).select(F.col("_metadata.file_path").alias("source_file"))
     other = other.select("source_file", F.lit("").alias("file_type"), F.lit(exports.NOT_SUPPORTED).alias("error"), F.lit(0).cast("long").alias("row_count"))
-    out = small.unionByName(parse_json(_whole(spark, path, _named(".json")))).unionByName(other, allowMissingColumns=True)
+    out = small.unionByName(parse_json(exports.read_files(spark, path, _named(".json")))).unionByName(other, allowMissingColumns=True)
     big = listed.where(large).select(F.col("_metadata.file_path").alias("source_file"))
     if big.isEmpty():
         return out

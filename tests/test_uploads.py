@@ -60,7 +60,7 @@ def test_a_folder_of_files(spark, tmp_path):
         "a.csv": "First Name,Last Name\nAnn,Lee\n",
         "sub/Big.CSV": "First Name,Last Name\n" + "\n".join(f'"A\n{i}",B' for i in range(300)),
         "sub/blank.csv": "\n" * 3000,
-        "empty.csv": "",
+        "near.csv": "\n",
         "c.json": '[{"a": 1}]',
         "odd.json": '[{"a": 1e3}]',
         "bad.json": "{}",
