@@ -1,7 +1,7 @@
 """Weighted substring search with reasons.
 
 A token counts for the first field, in priority order, whose lower-cased text holds it. One query's tokens are literals
-and the score is a sum of generated conditions; many queries carry token arrays through a join by owner.
+and the score is a sum of generated conditions; many queries are matched by one automaton per owner.
 """
 
 from __future__ import annotations
@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactrank.functions.schema import FALLBACK_REASON, MAX_REASON_TOKENS, MAX_RESULTS, REASONS, WEIGHTS
+from contactrank.functions.tables import MAX_BROADCAST_BYTES, checkpoint
 from contactrank.functions.text import tokenize_query, tokens_of
+from contactrank.operators.matching import in_blocks, match
 
 _ORDER = ("source_file", "row_ord")
-#: Searches are sent to all tasks up to so many bytes of theirs.
-MAX_BROADCAST_BYTES = 32 << 20
-#: Tasks that share an owner's contacts where searches are not sent to all.
-SALTS = 32
 #: Literal tokens per query before the array form takes over, so that generated code stays small.
 MAX_LITERAL_TOKENS = 24
 
@@ -96,23 +94,19 @@ def search(contacts: DataFrame, query: str, k: int = MAX_RESULTS) -> DataFrame:
 def batch_search(contacts: DataFrame, searches: DataFrame, k: int = MAX_RESULTS) -> DataFrame:
     """B1: for each of the searches (search_id, owner_id, criteria) its owner's k best contacts.
 
-    A contact is known by (owner_id, source_file, row_ord). Only these and the score go to the ranking; the text columns
-    come back for the winners. The window's group limit keeps k rows per search and task before the shuffle, so neither
-    a hot owner nor a hot search is gathered; where searches are too large to be sent to all tasks, an owner's
-    contacts are dealt to SALTS tasks.
+    A contact is known by (owner_id, source_file, row_ord), a search by all its three columns: equal rows are one search,
+    and others under one search_id are ranked apart. Contacts are matched once for all searches of their owner; only keys
+    and scores go to the ranking, and the text columns come back for the winners. The window's group limit keeps k rows
+    per search and task before the shuffle, so neither a hot owner nor a hot search is gathered.
     """
-    asked = searches.select("search_id", "owner_id", tokenize_query(F.col("criteria")).alias("tokens")).where(F.size("tokens") > 0)
-    n_bytes = searches.agg(F.sum(F.coalesce(F.octet_length("criteria"), F.lit(0)) + 200)).first()[0] or 0
-    rows = lowered(contacts).select("owner_id", *_ORDER, *(f"_{f}" for f in WEIGHTS))
-    if n_bytes <= MAX_BROADCAST_BYTES:
-        pairs = rows.join(F.broadcast(asked), "owner_id")
-    else:
-        dealt = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        pairs = rows.withColumn("_salt", F.pmod(F.xxhash64(*_ORDER), F.lit(SALTS))).join(dealt, ["owner_id", "_salt"])
-    scored = pairs.select("search_id", "owner_id", *_ORDER, score(F.col("tokens")).alias("score")).where("score > 0")
-    by_search = Window.partitionBy("search_id").orderBy(F.desc("score"), *_ORDER)
+    asked = searches.select("search_id", "owner_id", "criteria", tokenize_query(F.col("criteria")).alias("tokens")).where(F.size("tokens") > 0).dropDuplicates(["search_id", "owner_id", "criteria"])
+    blocks = checkpoint(in_blocks(asked.withColumn("owner_id", F.col("owner_id").cast("string"))))
+    rows = lowered(contacts).withColumn("owner_id", F.col("owner_id").cast("string"))
+    scored = match(rows, blocks, MAX_BROADCAST_BYTES)
+    by_search = Window.partitionBy("owner_id", "block", "place").orderBy(F.desc("score"), *_ORDER)
     best = scored.withColumn("rank", F.row_number().over(by_search)).where(F.col("rank") <= k)
-    won = best.join(asked.select("search_id", "tokens"), "search_id").join(lowered(contacts), ["owner_id", *_ORDER])
+    named = blocks.select("owner_id", "block", F.posexplode("searches").alias("place", "s")).select("owner_id", "block", "place", "s.*")
+    won = best.join(named, ["owner_id", "block", "place"]).drop("block", "place").join(rows, ["owner_id", *_ORDER])
     return explain(won, F.col("tokens")).drop("tokens")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contactrank.functions.schema import CONTACTS, WEIGHTS
 from contactrank.functions.text import tokens_of
 from contactrank.operators import contacts as C
+from contactrank.operators import matching as M
 from contactrank.operators import preview as V
 from contactrank.operators import search as R
 from contactrank.sources import exports as S
@@ -77,7 +78,7 @@ def test_batch(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
     ranked = plan[plan.index("WindowGroupLimit") :]
-    assert "all_text" not in ranked[: ranked.index("Project")]  # texts do not travel with what is ranked
+    assert "all_text" not in ranked[: ranked.index("MapInArrow")]  # texts do not travel with what is ranked
     monkeypatch.setattr(R, "MAX_BROADCAST_BYTES", 0)  # an owner's contacts are dealt to several tasks
     salted = R.batch_search(contacts(spark, rows), searches)
     assert sorted(map(str, salted.collect())) == sorted(map(str, out.collect()))
@@ -85,6 +86,51 @@ def test_batch(spark, monkeypatch):
     assert R.search(stored, "zed").count() == 10
 
 
+def test_searches_under_one_id_and_repeated_ones(spark):
+    rows = contacts(spark, [("a", "f", i, f"ann {i}", "cto" if i % 2 else "", "", "", "", "", "") for i in range(6)])
+    asked = [(1, "a", "ann"), (1, "a", "cto"), (1, "a", "cto"), (1, "b", "ann"), (2, "a", "cto cto ann")]
+    out = R.batch_search(rows, spark.createDataFrame(asked, "search_id int, owner_id string, criteria string")).collect()
+    assert {(r.search_id, r.criteria): n for r in out for n in [sum((x.search_id, x.criteria) == (r.search_id, r.criteria) for x in out)]} == {(1, "ann"): 6, (1, "cto"): 3, (2, "cto cto ann"): 6}
+    assert sorted(r.rank for r in out if r.criteria == "cto") == [1, 2, 3] and max(r.score for r in out) == 14
+
+
+def test_matcher_equals_the_slow_model_and_reads_each_field_once():
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abC é") for _ in range(rng.randrange(n)))
+    searches = [tokens_of(f"{word(9)} {word(9)},{word(4)} {word(2)}") for _ in range(300)]
+    m = M.Matcher(searches)
+
+    class Counted:
+        def __init__(self, automaton):
+            self.automaton, self.read = automaton, []
+
+        def iter(self, text):
+            self.read.append(text)
+            return self.automaton.iter(text)
+
+    m.automaton = Counted(m.automaton)
+    for _ in range(50):
+        row = ("o", "f", 0, *(word(12) for _ in range(7)))
+        m.automaton.read.clear()
+        got = m.scores([x.lower() for x in row[3:]])
+        assert got == {p: s for p, tokens in enumerate(searches) if (s := slow(row, tokens)[0])}
+        assert len(m.automaton.read) <= 7  # of 300 searches
+    assert M.Matcher([[]]).scores(["a"] * 7) == {}
+
+
+def test_owners_with_many_searches_and_contacts(spark, monkeypatch):
+    rows = contacts(spark, [(f"o{i % 3}", "f", i, f"n{i % 7}", f"p{i % 11}", "", "", "", "", "") for i in range(150)])
+    asked = spark.createDataFrame([(i, f"o{i % 4}", f"n{i % 7} p{i % 5}") for i in range(60)], "search_id long, owner_id string, criteria string")
+    key = lambda r: (r.search_id, r["rank"], r.owner_id, r.row_ord, r.score, r.reasons)
+    want = sorted(map(key, R.batch_search(rows, asked).collect()))
+    monkeypatch.setattr(M, "SEARCHES_PER_BLOCK", 4)
+    assert sorted(map(key, R.batch_search(rows, asked).collect())) == want
+    monkeypatch.setattr(M, "CONTACTS_PER_TASK", 9)
+    monkeypatch.setattr(R, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(key, R.batch_search(rows, asked).collect())) == want
+    assert R.batch_search(rows, asked.where("false")).count() == R.batch_search(rows.where("false"), asked).count() == 0
+
+
 def test_cards(spark):
     r = R.result_cards(R.search(contacts(spark, [("o", "f", 0, "", "", "Acme", "", "", "", "Acme"), ("o", "f", 1, "N", "CTO", "Acme", "", "", "", "x")]), "acme")).orderBy("row_ord").collect()
     assert [(x.name, x.subtitle) for x in r] == [("(no name)", "Acme"), ("N", "CTO • Acme")]
