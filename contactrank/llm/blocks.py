@@ -10,6 +10,7 @@ The documents' exchange appears once or more in such a plan with the same shape,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,32 @@ def whole_text_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def trim() -> None:
+    """Gives the system what Arrow and the C library keep of freed memory: a worker outlives the stages that needed it."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
+def lean(f: Callable) -> Callable:
+    """A function for a group, or for a pair of groups, that trims memory when it has its result."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return f(key, table)
+        finally:
+            trim()
+
+    def two(key: tuple, table: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return f(key, table, other)
+        finally:
+            trim()
+
+    return one if f.__code__.co_argcount == 2 else two
+
+
 def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
     """Runs of texts of about `size` bytes, so that the arrays made from them stay small."""
     total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
@@ -133,7 +160,7 @@ def answer(asked: DataFrame, decide: Callable[[list[bytes]], list[bytes]]) -> Da
             table = table.set_column(2, "data", pa.array(closed(decide(opened(table["data"].to_pylist()))), pa.binary()))
         return table.select(["bucket", "block", "data"])
 
-    return asked.groupBy("bucket").applyInArrow(one, MESSAGE)
+    return asked.groupBy("bucket").applyInArrow(lean(one), MESSAGE)
 
 
 def answers_of(table: pa.Table) -> list[bytes]:

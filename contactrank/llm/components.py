@@ -6,48 +6,15 @@ shuffled, and two joins that deal a node's edges to several tasks, so a hub's ne
 
 from __future__ import annotations
 
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactrank.functions.tables import checkpoint, checkpoint_folder, release  # noqa: F401  the cuts that loops and stages use
+
 #: Tasks that share the rows of one key.
 SALTS = 8
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; on a local master, where none is named, a folder of our own."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes a table to the checkpoint folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes what `checkpoint` has written, once nothing reads it any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_salted(many: DataFrame, one: DataFrame, keys: list[str], *by: str) -> DataFrame:
     """Inner join of many rows with one row per key; the rows of a key are dealt to SALTS tasks by a hash of `by`."""
     dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))

@@ -91,7 +91,7 @@ def training_size(docs: DataFrame, train: Column, text: str, n_buckets: int) ->
         return pa.table({"n": pa.array([pc.sum(table["block"]).as_py()]), "v": pa.array([len(np.unique(keys))])})
 
     rows = docs.where(F.coalesce(train, F.lit(True))).select(text).mapInArrow(send, B.MESSAGE)
-    got = rows.groupBy("bucket").applyInArrow(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    got = rows.groupBy("bucket").applyInArrow(B.lean(distinct), "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return got[0] or 0, got[1] or 0
 
 
@@ -205,7 +205,7 @@ def lm_score(docs: DataFrame, train: Column, text: str = "text", beta: tuple[flo
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
     by_block = rows.groupBy("block")
-    replies = by_block.applyInArrow(send, B.MESSAGE).groupBy("bucket").applyInArrow(decide, B.MESSAGE)
-    triples = B.answer(by_block.cogroup(replies.groupBy("block")).applyInArrow(send_triples, B.MESSAGE), B.counter())
+    replies = by_block.applyInArrow(B.lean(send), B.MESSAGE).groupBy("bucket").applyInArrow(B.lean(decide), B.MESSAGE)
+    triples = B.answer(by_block.cogroup(replies.groupBy("block")).applyInArrow(B.lean(send_triples), B.MESSAGE), B.counter())
     replies = replies.union(triples.withColumn("bucket", F.col("bucket") + n + n_tokens))
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(walk, schema)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(B.lean(walk), schema)

@@ -312,10 +312,10 @@ def mark_repeated(docs: DataFrame, text: str, size: int, kind: type, finish: Cal
         return finish(table, units, upto[at + 1] - upto[np.maximum(at + 1 - size, 0)] > 0)
 
     by_block = rows.groupBy("block")
-    counts = B.answer(by_block.applyInArrow(send_grams, B.MESSAGE), B.counter())
-    sent = by_block.cogroup(counts.groupBy("block")).applyInArrow(send_suffixes, "bucket long, block long, no int, times int, data binary")
-    replies = sent.groupBy("bucket").applyInArrow(decide, "block long, data binary, part long")
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish_block, schema)
+    counts = B.answer(by_block.applyInArrow(B.lean(send_grams), B.MESSAGE), B.counter())
+    sent = by_block.cogroup(counts.groupBy("block")).applyInArrow(B.lean(send_suffixes), "bucket long, block long, no int, times int, data binary")
+    replies = sent.groupBy("bucket").applyInArrow(B.lean(decide), "block long, data binary, part long")
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(B.lean(finish_block), schema)
 
 
 def _digests_again(messages: list[bytes]) -> list[bytes]:
