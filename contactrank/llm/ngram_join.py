@@ -15,8 +15,8 @@ Words are 128-bit BLAKE2 digests, mixed into a 64-bit hash per n-gram; a class i
 never taken for another, and an overlap is off by one with a chance of its set's size times n / 2**64 for n n-grams.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link with nothing and are their
-own component with no links; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; a
-null id counts after every other id; an empty table gives none.
+own component with no links; a text of fewer words than an n-gram is one n-gram of its own kind; repeated rows are one class; ids
+are of any type with an order; a null id counts after every other id; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contactrank.llm import blocks as B
 from contactrank.llm import fingerprints as P
@@ -44,6 +45,8 @@ FRAGMENTS = 6
 #: Occurrences are counted by a hash's upper bits, this many more than the number of n-grams has. The count only
 #: orders n-grams, so the few that share these bits do no harm.
 SPARE_BITS = 12
+#: Rows that a task remembers, so as to send equal ones once.
+REMEMBERED = 100_000
 #: Pairs that are counted at once.
 PAIRS = 1 << 20
 #: A member's side where a group's pairs are those inside one block.
@@ -92,8 +95,22 @@ def set_classes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame
                 yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(done, len(part)), "th": batch.column("th").slice(done, len(part)), "n": pa.array(n, pa.int64()), "cls": lanes[0], "cls2": lanes[1]})
                 done += len(part)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(label, "id long, th long, n long, cls long, cls2 long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(label, T.StructType([rows.schema["id"], *T.StructType.fromDDL("th long, n long, cls long, cls2 long")]))
+
+
+def one_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those whose id and hash of the text their task has just sent; only so many are remembered."""
+    sent: set[tuple] = set()
+    for batch in batches:
+        take = []
+        for k, pair in enumerate(zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), strict=True)):
+            if pair not in sent:
+                sent.add(pair)
+                take.append(k)
+        if len(sent) > REMEMBERED:
+            sent.clear()
+        yield batch if len(take) == batch.num_rows else batch.take(pa.array(take, pa.int64()))
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -102,7 +119,8 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     n_bytes = B.total_bytes(docs, text)
     n_blocks = max(8, -(-n_bytes // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).alias("block")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).withColumn("block", place)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(one_of_equal, rows.schema).withColumn("block", place)
     chosen = members.where("cls is not null").groupBy("cls", "cls2").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size")).select("first.id", "first.th", "cls", "cls2", "size").withColumn("block", place)
     buckets = B.n_buckets(n_bytes / 6)
     shift = _U(max(0, 64 - SPARE_BITS - max(20, int(n_bytes // 6).bit_length())))
@@ -140,9 +158,9 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
         types = [*[pa.int64()] * 6, *[pa.list_(pa.int64())] * 3]
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), types, strict=True)})
 
-    asked = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(send, B.MESSAGE)
+    asked = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(B.lean(send), B.MESSAGE)
     counted = B.answer(asked, B.counter())
-    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "v long, cls long, cls2 long, n long, size long, m long, prefix array<long>, cut array<long>, grams array<long>")
+    return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(B.lean(prefixes), "v long, cls long, cls2 long, n long, size long, m long, prefix array<long>, cut array<long>, grams array<long>")
 
 
 def partial_overlaps(group: np.ndarray, side: np.ndarray, bounds: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +292,8 @@ def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         of_links = np.arange(len(a)) >= len(tied)
         return pa.table({"a": a, "b": pa.array(b, mask=of_links), "links": pa.array(n_links, mask=~of_links)})
 
-    partial = rows.groupBy("w", "f").applyInArrow(count, "w long, f long, data binary")
-    out = checkpoint(partial.groupBy("w").applyInArrow(add_up, "a long, b long, links long"))
+    partial = rows.groupBy("w", "f").applyInArrow(B.lean(count), "w long, f long, data binary")
+    out = checkpoint(partial.groupBy("w").applyInArrow(B.lean(add_up), "a long, b long, links long"))
     release(hubs, groups)
     return out
 
