@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactrank.functions.schema import ALIASES
-from contactrank.functions.tables import drop_folder
 from contactrank.functions.text import js_trim, normalize_key
+from contactrank.operators import snapshots
 
 
 def get_field(cells: Column, field: str) -> Column:
@@ -36,21 +36,17 @@ def resolve_fields(rows: DataFrame, owner_id: Column) -> DataFrame:
 
 def confirm_snapshot(staged: DataFrame, path: str) -> bool:
     """Replaces the confirmed contacts of the owners in `staged`; does nothing if it is empty."""
-    if staged.isEmpty():
-        return False
-    staged.repartition("owner_id", F.pmod(F.hash("source_file", "row_ord"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("owner_id").parquet(path)
-    return True
+    return snapshots.confirm(staged, path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Confirmed contacts; the owner's folder name is text again."""
-    return spark.read.parquet(path).withColumn("owner_id", F.col("owner_id").cast("string"))
+    """Confirmed contacts, with the lower-cased columns that searches use."""
+    return snapshots.read(spark, path)
 
 
 def revoke_snapshot(spark: SparkSession, path: str, owners: list[str]) -> None:
-    """A new upload withdraws its owner's confirmation. The other owners' folders are not touched."""
-    for owner in owners:
-        drop_folder(spark, f"{path}/owner_id=" + spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(owner))
+    """A new upload withdraws its owner's confirmation."""
+    snapshots.revoke(spark, path, owners)
 
 
 def stage_upload(spark: SparkSession, parsed: DataFrame, owner: str, path: str) -> DataFrame:

@@ -110,6 +110,13 @@ def batch_search(contacts: DataFrame, searches: DataFrame, k: int = MAX_RESULTS)
     return explain(won, F.col("tokens")).drop("tokens")
 
 
+def search_guard(confirmed: DataFrame, searches: DataFrame) -> DataFrame:
+    """The searches with `runs`: their criteria have a token and their owner has confirmed contacts."""
+    owners = confirmed.select(F.col("owner_id").cast("string").alias("_owner")).distinct()
+    asked = searches.join(owners, F.col("owner_id").cast("string") == F.col("_owner"), "left")
+    return asked.withColumn("runs", F.col("_owner").isNotNull() & (F.coalesce(F.size(tokenize_query(F.col("criteria"))), F.lit(0)) > 0)).drop("_owner")
+
+
 def result_cards(found: DataFrame) -> DataFrame:
     """P5: what a result shows; the first 3 reasons and the first 10 tokens."""
     blank = lambda c: F.when(F.col(c) != "", F.col(c))

@@ -15,6 +15,7 @@ from contactrank.operators import contacts as C
 from contactrank.operators import portfolio as D
 from contactrank.operators import preview as V
 from contactrank.operators import search as R
+from contactrank.operators import snapshots as N
 from contactrank.plans import adaptors as A
 from contactrank.sources import clean_json as J
 from contactrank.sources import csv_ranges as B
@@ -173,9 +174,42 @@ def revoke_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshot(spark, change)
 
 
+def _confirmed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all contacts confirmed."""
+    path = f"{tables.checkpoint_folder(spark)}/confirmed-{uuid4().hex}"
+    C.confirm_snapshot(A.contacts(spark, sf_dir), path)
+    return path
+
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    out = tables.checkpoint(rows)
+    tables.drop_folder(rows.sparkSession, path)
+    return out
+
+
+def search_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 over a snapshot: the ten best confirmed contacts of one owner, from the files that can hold a token."""
+    path = _confirmed(spark, sf_dir)
+    out = N.search_confirmed(spark, path, QUERY, owner="7")
+    return _kept(out.select("source_file", "row_ord", *_FIELDS, "score", F.array_join("matched_tokens", "|").alias("matched"), F.array_join("reasons", "|").alias("reasons")), path)
+
+
+def confirmed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 over a snapshot: of one owner's file the second page of 25, the first of 100, and the last by a number past it."""
+    path = _confirmed(spark, sf_dir)
+    pages = [N.page(spark, path, "7", "7", at, size).withColumn("page_size", F.lit(size)) for at, size in ((1, 25), (0, 100), (10**6, 50))]
+    return _kept(pages[0].unionByName(pages[1]).unionByName(pages[2]), path)
+
+
 # search
 
 
+def search_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each search runs, where every third owner has confirmed contacts."""
+    rows = A.contacts(spark, sf_dir).where(F.col("owner_id").cast("int") % 3 == 0)
+    return R.search_guard(rows, A.searches(spark, sf_dir)).select("search_id", "runs")
+
+
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every contact."""
     return R.score_rows(A.contacts(spark, sf_dir), QUERY).select("owner_id", "row_ord", "score")
@@ -277,5 +311,5 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
+    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, search_confirmed, confirmed_pages, search_guard, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
     return {f.__name__: f for f in made}

@@ -101,6 +101,13 @@ def oracle_sql() -> dict[str, str]:
         "matched_tokens": _with(CONTACTS_SQL, _HITS) + "SELECT owner_id, row_ord, matched FROM told",
         "match_reasons": _with(CONTACTS_SQL, _HITS) + "SELECT owner_id, row_ord, reasons FROM told",
         "search_topk": _with(CONTACTS_SQL, _HITS) + f"SELECT source_file, row_ord, {_FIELDS}, {_score(tokens_of(QUERY))} AS score, matched, reasons FROM contacts c JOIN told USING (owner_id, row_ord) WHERE score > 0 ORDER BY score DESC, source_file, row_ord LIMIT 10",
+        "search_confirmed": _with(CONTACTS_SQL, _HITS) + f"SELECT source_file, row_ord, {_FIELDS}, {_score(tokens_of(QUERY))} AS score, matched, reasons FROM contacts c JOIN told USING (owner_id, row_ord) WHERE score > 0 AND owner_id = '7' ORDER BY score DESC, source_file, row_ord LIMIT 10",
+        "search_guard": _with(CONTACTS_SQL, SEARCHES_SQL) + f"SELECT search_id, len(list_filter(regexp_split_to_array(lower(criteria), '[{JS_WS},;]+'), lambda t: t <> '')) > 0 AND owner_id IN (SELECT owner_id FROM contacts WHERE CAST(owner_id AS INTEGER) % 3 = 0) AS runs FROM searches",
+        "confirmed_pages": contacts
+        + """, p(page, page_size) AS (VALUES (1, 25), (0, 100), (1000000, 50)), n AS (SELECT count(*) AS n FROM contacts WHERE owner_id = '7')
+            SELECT source_file, row_ord, CASE WHEN full_name = '' THEN '(no name)' ELSE full_name END AS name, """
+        + ", ".join(f"CASE WHEN {c} = '' THEN '—' ELSE {c} END AS {c}" for c in ("position", "company", "connected_on", "email", "url"))
+        + ", CAST(page_size AS INTEGER) AS page_size FROM contacts, p, n WHERE owner_id = '7' AND row_ord // page_size = least(page, greatest(0, (n - 1) // page_size))",
         "batch_search": _with(CONTACTS_SQL, SEARCHES_SQL, _BATCH) + "SELECT search_id, CAST(rank AS INTEGER) AS rank, owner_id, row_ord, score, matched FROM best JOIN batch_matched USING (search_id, owner_id, row_ord)",
         "result_cards": _with(CONTACTS_SQL, SEARCHES_SQL, _BATCH)
         + """SELECT search_id, CAST(rank AS INTEGER) AS rank, CASE WHEN full_name = '' THEN '(no name)' ELSE full_name END AS name, concat_ws(' • ', nullif(position, ''), nullif(company, '')) AS subtitle,
