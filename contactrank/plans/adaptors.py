@@ -155,6 +155,12 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("company_id"), F.col("c_mktsegment").alias("sector"), F.coalesce("active", F.lit(False)).alias("active"))
 
 
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company was active on the days of its open orders."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(F.col("c_custkey").alias("company_id"), F.col("c_mktsegment").alias("sector"), F.col("o_orderdate").cast("date").alias("as_of"), (F.col("o_orderstatus") == "O").alias("active"))
+
+
 def capital_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     status = F.when(F.col("o_orderstatus") == "F", "FUNDED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("OVERDUE")

@@ -14,6 +14,7 @@ from contactrank.functions.schema import COLUMN_SAMPLE_ROWS, WEIGHTS
 from contactrank.operators import contacts as C
 from contactrank.operators import portfolio as D
 from contactrank.operators import preview as V
+from contactrank.operators import rollups as U
 from contactrank.operators import search as R
 from contactrank.operators import snapshots as N
 from contactrank.plans import adaptors as A
@@ -281,6 +282,36 @@ def aum_yoy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("year", F.round("total", 2).alias("total"), F.round("change_pct", 4).alias("change_pct"))
 
 
+def _states(spark: SparkSession, rows: DataFrame, load: Callable[[DataFrame, str, str], None], result: Callable[[str], DataFrame]) -> DataFrame:
+    """A result from the states of rows that come in three loads by their day, the last of them twice."""
+    path = f"{tables.checkpoint_folder(spark)}/states-{uuid4().hex}"
+    part = F.dayofmonth("as_of") % 3
+    for k in (0, 2, 1, 1):
+        load(rows.where(part == k), path, f"load-{k}")
+    out = tables.checkpoint(result(path))
+    for folder in (path, f"{path}-sketches"):
+        tables.drop_folder(spark, folder)
+    return out
+
+
+def valuation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 from monthly states of three loads."""
+    out = _states(spark, A.valuations(spark, sf_dir), U.load_valuations, lambda path: U.valuation_trend(spark, path))
+    return out.select(F.col("month").cast("string").alias("month"), "fund", F.round("value", 2).alias("value"))
+
+
+def aum_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 from monthly states of three loads."""
+    out = _states(spark, A.valuations(spark, sf_dir), U.load_valuations, lambda path: U.aum_yoy(spark, path))
+    return out.select("year", F.round("total", 2).alias("total"), F.round("change_pct", 4).alias("change_pct"))
+
+
+def activity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 by month from states of three loads: active companies, and those since the first month."""
+    out = _states(spark, A.activity(spark, sf_dir), U.load_activity, lambda path: U.active_by_month(spark, path))
+    return out.select(F.col("month").cast("string").alias("month"), "companies", "companies_so_far")
+
+
 def active_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3."""
     return D.active_portfolio(A.companies(spark, sf_dir))
@@ -311,5 +342,5 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, search_confirmed, confirmed_pages, search_guard, preview_page, page_stats, valuation_trend, aum_yoy, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
+    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, search_confirmed, confirmed_pages, search_guard, preview_page, page_stats, valuation_trend, aum_yoy, valuation_rollup, aum_rollup, activity_rollup, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
     return {f.__name__: f for f in made}

@@ -123,6 +123,11 @@ def oracle_sql() -> dict[str, str]:
         "page_stats": contacts + "SELECT source_file, count(*) AS row_count, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS page_count FROM contacts GROUP BY 1",
         "valuation_trend": _with(_VALUATIONS) + "SELECT CAST(CAST(date_trunc('month', as_of) AS DATE) AS VARCHAR) AS month, fund, round(sum(value), 2) AS value FROM v GROUP BY ALL",
         "aum_yoy": _with(_VALUATIONS) + ", t AS (SELECT CAST(year(as_of) AS INTEGER) AS year, sum(value) AS total FROM v GROUP BY 1) SELECT year, round(total, 2) AS total, round(100 * (total - lag(total) OVER (ORDER BY year)) / lag(total) OVER (ORDER BY year), 4) AS change_pct FROM t",
+        "valuation_rollup": _with(_VALUATIONS) + "SELECT CAST(CAST(date_trunc('month', as_of) AS DATE) AS VARCHAR) AS month, fund, round(sum(value), 2) AS value FROM v GROUP BY ALL",
+        "aum_rollup": _with(_VALUATIONS) + ", t AS (SELECT CAST(year(as_of) AS INTEGER) AS year, sum(value) AS total FROM v GROUP BY 1) SELECT year, round(total, 2) AS total, round(100 * (total - lag(total) OVER (ORDER BY year)) / lag(total) OVER (ORDER BY year), 4) AS change_pct FROM t",
+        "activity_rollup": """WITH a AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'),
+            f AS (SELECT c, min(month) AS month FROM a GROUP BY c)
+            SELECT CAST(month AS VARCHAR) AS month, count(*) AS companies, (SELECT count(*) FROM f WHERE f.month <= a.month) AS companies_so_far FROM a GROUP BY a.month""",
         "active_portfolio": "SELECT count(DISTINCT c_custkey) AS companies, count(DISTINCT c_mktsegment) AS sectors FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
         "fund_deployment": _with(_VALUATIONS)
         + "SELECT fund, round(sum(value), 2) AS committed, round(coalesce(sum(value) FILTER (WHERE status = 'F'), 0), 2) AS called, round(100 * coalesce(sum(value) FILTER (WHERE status = 'F'), 0) / sum(value), 4) AS deployed_pct, round(sum(value) - coalesce(sum(value) FILTER (WHERE status = 'F'), 0), 2) AS dry_powder FROM v GROUP BY 1",

@@ -231,10 +231,12 @@ def derive_full_name(cells: Column) -> Column:
 
 
 def discover_columns(rows: DataFrame, sample_rows: int) -> DataFrame:
-    """A2: source_file, position and col_name of the keys in a file's first rows, in order of appearance."""
-    from pyspark.sql import Window
+    """A2: source_file, position and col_name of the keys in a file's first rows, in order of appearance.
 
-    seen = rows.where(F.col("row_ord") < sample_rows).select("source_file", "row_ord", F.posexplode("cells.key").alias("pos", "col_name"))
-    first = seen.groupBy("source_file", "col_name").agg(F.min(F.struct("row_ord", "pos")).alias("at"))
-    by_file = Window.partitionBy("source_file").orderBy("at", "col_name")  # keys of at most sample_rows rows
-    return first.select("source_file", (F.row_number().over(by_file) - 1).alias("position"), "col_name")
+    Rows with the same keys in the same order count once, so a wide CSV file sends one list; the lists of a file, of
+    sample_rows at most, are merged in their order into one that holds each key once.
+    """
+    lists = rows.where(F.col("row_ord") < sample_rows).groupBy("source_file", F.col("cells.key").alias("keys")).agg(F.min("row_ord").alias("row_ord"))
+    of = lists.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("row_ord", "keys"))).alias("lists"))
+    merged = F.aggregate("lists", F.array().cast("array<string>"), lambda keys, x: F.array_union(keys, x["keys"]))
+    return of.select("source_file", F.posexplode(merged).alias("position", "col_name"))

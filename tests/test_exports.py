@@ -130,3 +130,15 @@ def test_discover_columns(spark):
     assert [r.col_name for r in S.discover_columns(csv, 100).orderBy("source_file", "position").collect()] == ["2023", "Name", "A"]
     stats = load_stats(csv, F.col("row_ord") == 0, 1).orderBy("source_file").collect()
     assert [tuple(r) for r in stats] == [("a.csv", 1, 1, 2), ("b.csv", 2, 1, 1)]
+
+
+def test_columns_of_wide_files(spark):
+    keys = [f"k{i}" for i in range(100_000)]
+    rows = spark.createDataFrame([("w.csv", i) for i in range(30)], "source_file string, row_ord long").withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda k: F.struct(F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit("").alias("value"))))
+    out = S.discover_columns(rows, 100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert [r.col_name for r in out.orderBy("position").collect()] == keys
+    cell = lambda *names: [(n, "") for n in names]
+    mixed = spark.createDataFrame([("a", 2, cell("z", "b")), ("a", 0, cell("b", "c")), ("a", 1, cell("d", "b", "a")), ("a", 3, cell("late")), ("b", 0, [])], "source_file string, row_ord long, cells array<struct<key:string,value:string>>")
+    assert [(r.source_file, r.position, r.col_name) for r in S.discover_columns(mixed, 3).orderBy("position").collect()] == [("a", k, n) for k, n in enumerate("bcdaz")]
