@@ -3,12 +3,13 @@
 A logistic model over text-shape features is fitted on trusted positives (training rows labelled 1) and on all
 unlabelled web text, by the non-negative unbiased risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). While the
 second term is not negative the risk is convex for the logistic loss, and a Newton step is taken; a step that takes the term below zero
-is halved until it does not, so that the fit ends where more of it would only be learned by heart. The class prior is estimated as the share of label 1 among labelled training rows; labels
+is halved until it does not. So where the term is clipped, the fit stops early at that boundary and does not go on along it, as
+beyond it only the positives' own loss would fall. The class prior is estimated as the share of label 1 among labelled training rows; labels
 0 have no other use.
 
 Features of every training text are made once and written, two bytes each, to the checkpoint folder; mean, scale and each step's
 gradient and curvature are sums over all of them, added up by Spark, of which about 9,000 numbers reach the driver. Of
-the trusted positives at most `max_positive` (a parameter) are used, chosen by a hash of the id. Scoring is one pass
+the trusted positives at most `max_positive` (a parameter) are used, chosen by a hash of the id; no text is shuffled. Scoring is one pass
 over all whole texts without a shuffle.
 
 Features of a text: relative frequencies of pairs of byte classes (lower case, upper case, digit, space, line break,
@@ -176,13 +177,15 @@ def _feature_blocks(docs: DataFrame, text: str) -> DataFrame:
     return checkpoint(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "x binary"))
 
 
-def _sample(docs: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
-    """Features of n rows by the least hash of the id, or of all."""
-    count = docs.count()
-    order = F.xxhash64(F.col(id_col), F.lit(17))
-    if count > n:  # leave out most of the rest before their texts are read; a margin of six deviations
-        share = min(1.0, (n + 6 * n**0.5 + 50) / count)
-        docs = docs.where(F.pmod(order, F.lit(1 << 30)) <= int(share * (1 << 30)))
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
+    """Features of the n rows with ids in `known` that come first by a hash of the id, or of all.
+
+    The ids are chosen before any text is read, from narrow rows; n of them at most are sent to all tasks, and the texts
+    stay where they are.
+    """
+    hashed = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)).alias("h")
+    ids = docs.select(id_col).join(known.select(id_col), id_col, "left_semi").distinct()
+    chosen = ids.select(id_col, hashed).orderBy("h", id_col).limit(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +195,7 @@ def _sample(docs: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(done, len(part)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["h", "x"])
                 done += len(part)
 
-    rows = docs.select(F.pmod(order, F.lit(1 << 30)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "h long, x array<float>")
+    rows = docs.join(F.broadcast(chosen), id_col).select("h", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "h long, x array<float>")
     got = rows.orderBy("h", "x").limit(n).select("x").toArrow()["x"].combine_chunks()
     flat = got.flatten().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, np.float32)
     return flat.reshape(-1, N_FEATURES)
@@ -203,7 +206,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     known = labels.where(F.coalesce(train, F.lit(True))).where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
     prior = known.agg(F.avg("_label")).first()[0]
     rows = docs.where(F.coalesce(train, F.lit(True))).select(id_col, text)
-    positive = _sample(rows.join(known.where("_label = 1").select(id_col), id_col, "left_semi"), id_col, text, max_positive)
+    positive = _sample(rows, known.where("_label = 1"), id_col, text, max_positive)
     blocks = _feature_blocks(rows, text)
     model = fit(positive, blocks, 0.5 if prior is None else float(prior))
     release(blocks)

@@ -361,6 +361,47 @@ def test_risk_by_finite_differences():
         assert np.abs((ahead - back) / 2e-5 - curvature[k]).max() < 1e-7
 
 
+def test_fit_finds_the_minimum_or_stops_at_the_boundary(spark, monkeypatch):
+    from contactrank.llm import quality_classifier as Q
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(Q, "N_FEATURES", 3)
+
+    def blocks(x):
+        data = [bytearray(part.astype(np.float16).tobytes()) for part in np.array_split(x, 4)]
+        return spark.createDataFrame([(d,) for d in data], "x binary")
+
+    def terms(model, p, u, prior):
+        z = lambda x: Q.scaled(x, model.mean, model.scale) @ np.append(model.weight, model.bias)
+        return prior * np.logaddexp(0, -z(p)).mean(), np.logaddexp(0, z(u)).mean() - prior * np.logaddexp(0, z(p)).mean()
+
+    p = rng.normal(0.7, 1, (400, 3)).astype(np.float16).astype(float)
+    u = np.concatenate([rng.normal(0.7, 1, (300, 3)), rng.normal(-0.7, 1, (500, 3))]).astype(np.float16).astype(float)
+    prior, ridge = 0.375, 200.0
+    model = Q.fit(p, blocks(u), prior, ridge=ridge)
+    whole = lambda m: sum(terms(m, p, u, prior)) + ridge / len(u) / 2 * (m.weight**2).sum()
+    assert terms(model, p, u, prior)[1] > 0
+    for k in range(4):  # no way down from here
+        for d in (-0.1, 0.1):
+            other = Q.Model(model.mean, model.scale, model.weight + d * (np.arange(3) == k), model.bias + d * (k == 3))
+            assert whole(other) > whole(model)
+    # with too large a prior the second term would fall below zero: the fit ends before it does
+    odd = Q.fit(p, blocks(u), 0.9, ridge=0.1)
+    assert terms(odd, p, u, 0.9)[1] >= 0
+
+
+def test_a_bound_on_positives_takes_the_same_rows_whatever_the_layout(spark):
+    from contactrank.llm import quality_classifier as Q
+
+    docs = spark.createDataFrame([(i % 90, f"text {i} " * (i % 7 + 1)) for i in range(200)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    known = spark.range(0, 400, 2).withColumnRenamed("id", "doc_id")
+    every = Q._sample(docs, known, "doc_id", "text", 1000)
+    assert len(every) == docs.where("doc_id % 2 = 0").count()
+    some = [Q._sample(docs.repartition(n), known, "doc_id", "text", 30) for n in (1, 7)]
+    assert len(some[0]) == 30 and (some[0] == some[1]).all() and {r.tobytes() for r in some[0]} <= {r.tobytes() for r in every}
+    assert len(Q._sample(docs, known.where("false"), "doc_id", "text", 30)) == 0
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = lambda n=6: ". ".join(" ".join(rng.choice(["tree", "river", "stone", "walks", "under"]) for _ in range(8)).capitalize() for _ in range(n))
