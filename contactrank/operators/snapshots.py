@@ -122,11 +122,11 @@ def _stored(rows: DataFrame, path: str, write: str) -> list[int]:
     return [r.bucket for r in counts.select("bucket").distinct().collect()]
 
 
-def replace(spark: SparkSession, path: str, owners: DataFrame, rows: DataFrame | None) -> int:
-    """A new version in which the owners have these rows and no others; its number."""
+def replace(spark: SparkSession, path: str, owners: DataFrame, rows: DataFrame | None, n_buckets: int = BUCKETS) -> int:
+    """A new version in which the owners have these rows and no others; its number. n_buckets: of the first version, and so of all."""
     for _ in range(ATTEMPTS):
         base = manifest(spark, path)
-        n = base["n_buckets"]
+        n = base["n_buckets"] if base["version"] else n_buckets
         owned = owners.select(F.col("owner_id").cast("string").alias("owner_id")).distinct()
         touched = {str(r[0]) for r in owned.select(bucket_of(F.col("owner_id"), n)).distinct().collect()}
         old = _folders(path, "data", base, sorted(touched))
@@ -143,12 +143,16 @@ def replace(spark: SparkSession, path: str, owners: DataFrame, rows: DataFrame |
     raise RuntimeError(f"{ATTEMPTS} other writers were first")
 
 
-def confirm(staged: DataFrame, path: str) -> bool:
-    """Replaces the confirmed contacts of the owners in `staged`; does nothing if it is empty."""
+def confirm(staged: DataFrame, path: str, n_buckets: int = BUCKETS) -> bool:
+    """Replaces the confirmed contacts of the owners in `staged`; does nothing if it is empty.
+
+    A change rewrites its owners' buckets, so the first confirmation sets their number by the size to come: as many as
+    make a bucket a few GB.
+    """
     if staged.isEmpty():
         return False
     rows = checkpoint(staged.select(*_ROW))
-    replace(staged.sparkSession, path, rows, rows)
+    replace(staged.sparkSession, path, rows, rows, n_buckets)
     release(rows)
     return True
 

@@ -168,7 +168,7 @@ def revoke_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     def change(path: str) -> None:
         C.confirm_snapshot(A.contacts(spark, sf_dir).select("owner_id", "source_file", "row_ord", *WEIGHTS), path)
         files = S.parse_exports(A.csv_files(spark, sf_dir).where("source_file like 'contacts-4-%'"))
-        bad = files.where("row_ord is null").withColumn("error", F.lit(S.NOT_PARSED))
+        bad = S.parse_exports(A.mixed_files(spark, sf_dir).where("source_file like '%.json' and content not like '%]'"))
         C.stage_upload(spark, bad, "3", path)
         C.confirm_snapshot(C.stage_upload(spark, files, "4", path), path)
 
@@ -195,6 +195,15 @@ def search_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(out.select("source_file", "row_ord", *_FIELDS, "score", F.array_join("matched_tokens", "|").alias("matched"), F.array_join("reasons", "|").alias("reasons")), path)
 
 
+def upload_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 to T1 in a row: one owner's CSV exports parsed, staged, confirmed and searched."""
+    path = f"{tables.checkpoint_folder(spark)}/confirmed-{uuid4().hex}"
+    parsed = S.parse_exports(A.csv_files(spark, sf_dir).where("source_file like 'contacts-4-%'"))
+    C.confirm_snapshot(C.stage_upload(spark, parsed, "4", path), path)
+    out = N.search_confirmed(spark, path, QUERY, owner="4")
+    return _kept(out.select("owner_id", "source_file", "row_ord", "full_name", "score"), path)
+
+
 def confirmed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 over a snapshot: of one owner's file the second page of 25, the first of 100, and the last by a number past it."""
     path = _confirmed(spark, sf_dir)
@@ -342,5 +351,5 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, search_confirmed, confirmed_pages, search_guard, preview_page, page_stats, valuation_trend, aum_yoy, valuation_rollup, aum_rollup, activity_rollup, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
+    made = (search_topk, batch_search, score_rows, matched_tokens, match_reasons, result_cards, search_documents, normalize_key, tokenize_query, js_trim, to_text, csv_parse, csv_header_detect, csv_records, derive_full_name, json_ingest, json_clean, csv_ranges, file_status, resolve_fields, discover_columns, discover_csv_columns, load_stats, confirm_snapshot, revoke_snapshot, search_confirmed, upload_and_search, confirmed_pages, search_guard, preview_page, page_stats, valuation_trend, aum_yoy, valuation_rollup, aum_rollup, activity_rollup, active_portfolio, fund_deployment, deal_funnel, recent_calls, upcoming_meetings)
     return {f.__name__: f for f in made}

@@ -102,6 +102,10 @@ def oracle_sql() -> dict[str, str]:
         "match_reasons": _with(CONTACTS_SQL, _HITS) + "SELECT owner_id, row_ord, reasons FROM told",
         "search_topk": _with(CONTACTS_SQL, _HITS) + f"SELECT source_file, row_ord, {_FIELDS}, {_score(tokens_of(QUERY))} AS score, matched, reasons FROM contacts c JOIN told USING (owner_id, row_ord) WHERE score > 0 ORDER BY score DESC, source_file, row_ord LIMIT 10",
         "search_confirmed": _with(CONTACTS_SQL, _HITS) + f"SELECT source_file, row_ord, {_FIELDS}, {_score(tokens_of(QUERY))} AS score, matched, reasons FROM contacts c JOIN told USING (owner_id, row_ord) WHERE score > 0 AND owner_id = '7' ORDER BY score DESC, source_file, row_ord LIMIT 10",
+        "upload_and_search": contacts
+        + f""", c AS (SELECT owner_id, {_FILE} AS source_file, row_ord % {FILE_ROWS} AS row_ord, {_FULL} AS full_name, position, company, email, url, connected_on, """
+        + " || ' ' || ".join(v for _, v in _CSV_CELLS)
+        + f" AS all_text FROM contacts WHERE owner_id = '4') SELECT owner_id, source_file, row_ord, full_name, {_score(tokens_of(QUERY))} AS score FROM c WHERE score > 0 ORDER BY score DESC, source_file, row_ord LIMIT 10",
         "search_guard": _with(CONTACTS_SQL, SEARCHES_SQL) + f"SELECT search_id, len(list_filter(regexp_split_to_array(lower(criteria), '[{JS_WS},;]+'), lambda t: t <> '')) > 0 AND owner_id IN (SELECT owner_id FROM contacts WHERE CAST(owner_id AS INTEGER) % 3 = 0) AS runs FROM searches",
         "confirmed_pages": contacts
         + """, p(page, page_size) AS (VALUES (1, 25), (0, 100), (1000000, 50)), n AS (SELECT count(*) AS n FROM contacts WHERE owner_id = '7')

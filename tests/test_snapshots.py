@@ -75,10 +75,13 @@ def test_an_unfinished_or_lost_change_shows_nothing(spark, tmp_path, monkeypatch
 def test_many_owners_share_few_folders(spark, tmp_path):
     path = str(tmp_path / "s")
     rows = spark.range(3000).select(F.concat(F.lit("owner-"), "id").alias("owner_id"), F.lit("f").alias("source_file"), F.lit(0).cast("long").alias("row_ord"), *(F.lit("x").alias(f.name) for f in CONTACTS.fields[3:]))
-    N.confirm(rows, path)
+    N.confirm(rows, path, n_buckets=8)
     assert N.read(spark, path).select("owner_id").distinct().count() == 3000
     (write,) = (tmp_path / "s" / "data").iterdir()
-    assert len([f for f in write.iterdir() if f.is_dir()]) <= N.BUCKETS
+    assert len([f for f in write.iterdir() if f.is_dir()]) == 8
+    N.confirm(rows.where("owner_id = 'owner-7'"), path)
+    assert N.manifest(spark, path)["n_buckets"] == 8 and N.read(spark, path).count() == 3000
+    assert len(set(N.manifest(spark, path)["buckets"].values())) == 2  # one bucket is in a new write
 
 
 def test_searches_open_only_files_that_can_hold_a_token(spark, tmp_path, monkeypatch):
