@@ -75,6 +75,10 @@ class Tokens:
         return pair, triple
 
 
+#: So many documents or fewer are walked one by one.
+FEW = 24
+
+
 def training_size(docs: DataFrame, train: Column, text: str, n_buckets: int) -> tuple[int, int]:
     """Number of tokens in training documents, end tokens among them, and of distinct ones (by their digests)."""
 
@@ -106,25 +110,37 @@ def _count_tokens(data: list[bytes]) -> list[bytes]:
 
 
 def traverse(length: np.ndarray, start: int, target: np.ndarray, arcs: np.ndarray, has: np.ndarray, failure: np.ndarray) -> np.ndarray:
-    """Log-probability of each document, walked from left to right, all documents a step at a time.
+    """Log-probability of each document, walked from left to right, all documents a step at a time; the last few one by one.
 
     start: order of the first state; target: of the longest state that ends with the token; arcs, has, failure (order,
     token): weight of the arc that the state of this order has for the token, whether it has one, and the weight of the
     state's failure arc.
     """
+    # what each state does with each token: over its arc, or over failure arcs to a state that has one
+    gain, after = np.empty((3, len(target))), np.empty((3, len(target)), np.int8)
+    gain[0], used = arcs[0], np.zeros(len(target), np.int8)
+    after[0] = np.minimum(1, target)
+    for order in (1, 2):
+        gain[order] = np.where(has[order], arcs[order], failure[order] + gain[order - 1])
+        used = np.where(has[order], np.int8(order), used)
+        after[order] = np.minimum(used + 1, target)
     place = np.cumsum(length) - length
     by_length = np.argsort(-length, kind="stable")
     lanes = np.searchsorted(-length[by_length], -np.arange(length.max(initial=0)), side="left")  # documents with more than t tokens
     state = np.full(len(length), start)
     score, at = np.zeros(len(length)), place[by_length]
-    for t, n in enumerate(lanes.tolist()):
-        p, now = at[:n] + t, state[:n].copy()
-        for order in (2, 1):
-            fails = (now == order) & ~has[order, p]
-            score[:n][fails] += failure[order, p[fails]]
-            now[fails] -= 1
-        score[:n] += arcs[now, p]
-        state[:n] = np.minimum(now + 1, target[p])
+    done = int(np.searchsorted(-lanes, -FEW, side="right"))
+    for t, n in enumerate(lanes[:done].tolist()):
+        p, now = at[:n] + t, state[:n]
+        score[:n] += gain[now, p]
+        state[:n] = after[now, p]
+    for k in range(int(lanes[done]) if done < len(lanes) else 0):
+        of = slice(int(at[k]) + done, int(at[k] + length[by_length[k]]))
+        now, total, gains, states = int(state[k]), 0.0, gain[:, of].tolist(), after[:, of].tolist()
+        for i in range(of.stop - of.start):
+            total += gains[now][i]
+            now = states[now][i]
+        score[k] += total
     out = np.empty(len(length))
     out[by_length] = score
     return out

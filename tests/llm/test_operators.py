@@ -361,6 +361,29 @@ def test_risk_by_finite_differences():
         assert np.abs((ahead - back) / 2e-5 - curvature[k]).max() < 1e-7
 
 
+def test_traverse_equals_a_walk_of_each_document():
+    from contactrank.llm.lm_scoring import traverse
+
+    rng = np.random.default_rng(1)
+    for trial in range(20):
+        length = rng.integers(0, 50, rng.integers(0, 80))
+        if trial % 3 == 0 and len(length):
+            length[0] = 700
+        n = int(length.sum())
+        target, arcs, has, failure = rng.integers(0, 3, n), rng.normal(size=(3, n)), rng.random((3, n)) < 0.5, rng.normal(size=(3, n))
+        want, p = [], 0
+        for size in length.tolist():
+            state, score = 1, 0.0
+            for p in range(p, p + size):
+                now = state
+                while now and not has[now, p]:
+                    score, now = score + failure[now, p], now - 1
+                score, state = score + arcs[now, p], min(now + 1, target[p])
+            p += size > 0
+            want.append(score)
+        assert np.allclose(traverse(length, 1, target, arcs, has, failure), want)
+
+
 def test_fit_finds_the_minimum_or_stops_at_the_boundary(spark, monkeypatch):
     from contactrank.llm import quality_classifier as Q
 
