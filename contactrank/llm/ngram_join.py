@@ -248,7 +248,7 @@ def _links(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     bridges = hubs.select("token", "band", F.col("hub").alias("v")).join(hubs.select("token", (F.col("band") - 1).alias("band"), "hub"), ["token", "band"]).where("v <> hub").select("v", "hub")
     groups = components(stars.union(bridges).distinct(), "v", "hub").select(F.col("node").alias("v"), F.col("component").alias("g"))
     groups = checkpoint(groups.join(sets.select("v", "m"), "v"))
-    n_blocks = groups.groupBy("g").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int").alias("n_blocks"))
+    n_blocks = groups.groupBy("g").agg(F.ceil(F.greatest(F.sum("m") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int").alias("n_blocks"), F.count("*").alias("n"))
     mine = F.pmod(F.xxhash64("v"), F.col("n_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     rows = join_salted(groups, n_blocks, ["g"], "v").select("v", "m", "g", mine.alias("mine"), other)
@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # each class's least id and rows, then each component's; rows get them by their class
     classes = members.where("cls is not null").groupBy("cls", "cls2").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     classes = checkpoint(classes.join(found, ["cls", "cls2"], "left"))
-    roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("low"))
+    roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("low"), F.count("*").alias("n"))
     comp = F.when(F.col("root").isNull(), F.struct("cls", "cls2")).otherwise(F.struct(F.col("root").alias("cls"), F.lit(None).cast("long").alias("cls2")))
     linked = classes.where("root is null").withColumn("low", F.col("least")).unionByName(join_salted(classes.where("root is not null"), roots, ["root"], "cls"))
     linked = checkpoint(linked.select("cls", "cls2", comp.alias("comp"), F.col("low").alias("component"), (F.col("rows") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")))

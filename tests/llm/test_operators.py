@@ -208,6 +208,20 @@ def brute_hits(text, items, size=10):
     return len(hit), sorted(ids)
 
 
+@pytest.mark.parametrize(("heavy", "most"), [(1, 1000), (3, 5)])
+def test_joins_deal_a_key_by_its_rows(spark, monkeypatch, heavy, most):
+    from contactrank.llm import components as K
+
+    monkeypatch.setattr(K, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(K, "MAX_HEAVY", most)
+    many = spark.createDataFrame([(k, i) for k in range(6) for i in range(4**k // 4)] + [(None, 1)], "k int, i int")
+    one = many.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    got = sorted(map(tuple, K.join_salted(many, one, ["k"], "i").collect()))
+    assert got == sorted((k, i, 4**k // 4 - 1) for k in range(6) for i in range(4**k // 4))
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)]
+    assert {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(i, 0) for i in range(60)} | {(i, 100) for i in range(100, 141)}
+
+
 def test_decontamination(spark):
     items = [(1, "a b c d e f g h i j k"), (2, "Short, ITEM"), (3, None), (4, "…! "), (5, "a b c d e f g h i j k"), (None, "über straße"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (10, "a a a")]
     texts = ["x a b c d e f g h i j y", "A-B-C-D-E-F-G-H-I-J-K", "short item short item", "item short", None, "", "die Über?Straße", "a b c d e f g h i x j", "b c d e f g h i j k", "a A a a a"]
