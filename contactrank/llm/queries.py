@@ -129,6 +129,16 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op11_pii, which SQL can express, and the spans they are the digest of."""
+    from contactrank.llm.pii import find_pii
+
+    out = find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    out = out.select("row.doc_id", F.filter("spans", lambda s: s["base"]).alias("spans"))
+    told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), told.alias("base_spans"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactrank.llm.blocks import spread
     from contactrank.llm.filter_audit import interactions, mark_copies
@@ -166,7 +176,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op9_ngram_links, op10_bpe_encoding, op11_pii, op12_filter_audit, op13_spelling_variants)
+    made = (op1_substring_dedup, op2_chat_formatting, op3_lm_scoring, op4_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_quality_classifier, op8_benchmark_decontamination, op9_ngram_join, op9_ngram_links, op10_bpe_encoding, op11_pii, pii_base_spans, op12_filter_audit, op13_spelling_variants)
     return {f.__name__: f for f in made}
 
 
@@ -271,6 +281,24 @@ LEFT JOIN (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.
 )
 
 
+#: A match starts after the pieces between matches and the matches before it.
+PII_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+k(place, kind, pattern) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT r, place, kind, regexp_extract_all(text, pattern) AS ms, regexp_split_to_array(text, pattern) AS ps FROM d, k WHERE regexp_matches(text, pattern)),
+s AS (SELECT *, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM m),
+n AS (SELECT r, place, kind, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+  CAST(list_sum(list_transform(ps[: i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[: i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM s),
+v AS (SELECT *, CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(x, 3) AS INTEGER) <= 255))
+  WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  ELSE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(digits, length(digits) - j, 1) AS INTEGER)
+    ELSE (2 * CAST(substr(digits, length(digits) - j, 1) AS INTEGER)) // 10 + (2 * CAST(substr(digits, length(digits) - j, 1) AS INTEGER)) % 10 END)) % 10 = 0 END AS fits FROM n),
+o AS (SELECT r, count(*) AS n_spans, string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, place) AS base_spans FROM v WHERE fits GROUP BY r)
+SELECT doc_id, coalesce(n_spans, 0) AS n_spans, coalesce(base_spans, '') AS base_spans FROM d LEFT JOIN o USING (r)
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -313,4 +341,4 @@ SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL, "pii_base_spans": PII_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
