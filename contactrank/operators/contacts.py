@@ -59,6 +59,6 @@ def stage_upload(spark: SparkSession, parsed: DataFrame, owner: str, path: str)
 
 def load_stats(staged: DataFrame, confirmed: Column, sample_rows: int) -> DataFrame:
     """A1: per file the staged rows, confirmed rows and columns in the first rows, in one pass over parsed rows (source_file, row_ord, cells)."""
-    keys = F.collect_list(F.when(F.col("row_ord") < sample_rows, F.col("cells.key")))  # of sample_rows rows at most
+    keys = F.collect_set(F.when(F.col("row_ord") < sample_rows, F.col("cells.key")))  # different key lists of sample_rows rows at most
     counts = [F.count("*").alias("staged_rows"), F.count_if(confirmed).alias("confirmed_rows")]
     return staged.groupBy("source_file").agg(*counts, F.size(F.array_distinct(F.flatten(keys))).cast("long").alias("column_count"))

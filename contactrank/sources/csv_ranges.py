@@ -36,15 +36,16 @@ _RANGE = ["source_file", "at"]
 
 @contextmanager
 def ranges_of(spark: SparkSession, n_bytes: int | None) -> Iterator[None]:
-    """Ranges of so many bytes while the files are read; the session's own size, if None."""
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    if n_bytes:
-        spark.conf.set(key, str(n_bytes))
+    """Ranges of so many bytes while the files are read; the session's own size, if None. Either way not by the number of cores, which may change between two reads."""
+    wanted = {"spark.sql.files.minPartitionNum": "1"} | ({"spark.sql.files.maxPartitionBytes": str(n_bytes)} if n_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_lines(spark: SparkSession, path: str, which: Column | None = None) -> DataFrame:
@@ -66,9 +67,11 @@ def with_states(lines: DataFrame, states: DataFrame, max_bytes: int = MAX_BROADC
     """Adds `inside` to every line and keeps a range's lines together and in order."""
     n_bytes = states.agg(F.sum(F.octet_length("source_file") + 16)).first()[0] or 0
     if n_bytes <= max_bytes:
-        return lines.join(F.broadcast(states), _RANGE)
-    numbered = lines.withColumn("_line", F.monotonically_increasing_id())
-    return numbered.join(states.hint("merge"), _RANGE).sortWithinPartitions(*_RANGE, "_line").drop("_line")
+        out = lines.join(F.broadcast(states), _RANGE, "left")
+    else:
+        numbered = lines.withColumn("_line", F.monotonically_increasing_id())
+        out = numbered.join(states.hint("merge"), _RANGE, "left").sortWithinPartitions(*_RANGE, "_line").drop("_line")
+    return out.withColumn("inside", F.coalesce("inside", F.raise_error(F.lit("the files or their ranges have changed between two reads")).cast("boolean")))
 
 
 def _is_header(row: list[str]) -> bool:
@@ -179,7 +182,8 @@ def parse_csv_ranges(lines: DataFrame) -> DataFrame:
 
     Runs at once up to the cut rows, so that a size given by `ranges_of` holds for them.
     """
-    rows = cut_rows(lines, checkpoint(start_states(lines)))
+    with ranges_of(lines.sparkSession, None):
+        rows = cut_rows(lines, checkpoint(start_states(lines)))
     first = F.struct("ordinal", "cells")
     heads = rows.where("named or ordinal = 0").groupBy("source_file").agg(F.coalesce(F.min(F.when(F.col("named"), first)), F.min(first)).alias("h")).select("source_file", "h.ordinal", "h.cells")
     heads = checkpoint(heads.mapInArrow(_layout, "source_file string, header long, keys array<struct<key:string,cell:int>>"))

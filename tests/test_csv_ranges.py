@@ -75,12 +75,21 @@ def test_large_tables_of_states_are_merged(spark, tmp_path):
     assert one == two
 
 
+def test_changed_ranges_are_an_error(spark, tmp_path):
+    write(tmp_path, "a.csv", random_csv(random.Random(3), 30))
+    with R.ranges_of(spark, 50):
+        lines = R.read_lines(spark, str(tmp_path))
+        states = R.start_states(lines).where("at = 0")
+        with pytest.raises(Exception, match="have changed"):
+            R.with_states(lines, states).collect()
+
+
 def test_no_task_reads_more_than_its_range(spark, tmp_path):
     text = "First Name,Last Name\n" + "\n".join(f'"A {i}",B' for i in range(2000))
     write(tmp_path, "a.csv", text)
-    with R.ranges_of(spark, 2000):
+    with R.ranges_of(spark, 1000):
         lines = R.read_lines(spark, str(tmp_path))
         sizes = lines.groupBy("at").agg(F.sum(F.octet_length("line") + 1).alias("n")).collect()
         tasks = lines.select(F.spark_partition_id().alias("p"), F.octet_length("line").alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
-    assert len(sizes) > 16 and max(r.n for r in sizes) < 2100 and max(r.n for r in tasks) < 2100
-    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "2000"
+    assert len(sizes) > 16 and max(r.n for r in sizes) < 1100 and max(r.n for r in tasks) < 1100
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "1000"
