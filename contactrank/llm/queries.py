@@ -86,15 +86,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactrank.llm.ngram_join import jaccard_components
 
     out = jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 def op9_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_ngram_join with each document's number of links."""
-    from contactrank.llm.ngram_join import jaccard_components
-
-    out = jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    """op9_ngram_join under its earlier name, from when that had no number of links."""
+    return op9_ngram_join(spark, sf_dir)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,18 +264,10 @@ o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AN
 e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN both_ways ON q = a)
-SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x.doc_id) AS component_id
-FROM reach JOIN d USING (r) JOIN d x ON x.r = q LEFT JOIN n ON n.r = d.r GROUP BY reach.r
-"""
-
-OP9_LINKS_SQL = (
-    OP9_SQL[: OP9_SQL.index("SELECT any_value(d.doc_id)")]
-    + """
 SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(x.doc_id) AS component_id, coalesce(any_value(l.n_links), 0) AS n_links
 FROM reach JOIN d USING (r) JOIN d x ON x.r = q LEFT JOIN n ON n.r = d.r
 LEFT JOIN (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.r = d.r GROUP BY reach.r
 """
-)
 
 
 #: A match starts after the pieces between matches and the matches before it.
@@ -341,4 +330,4 @@ SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_LINKS_SQL, "pii_base_spans": PII_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op9_ngram_links": OP9_SQL, "pii_base_spans": PII_SQL, "op12_filter_audit": OP12_SQL, "op13_spelling_variants": OP13_SQL}
