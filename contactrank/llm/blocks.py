@@ -61,6 +61,18 @@ def lean(f: Callable) -> Callable:
     return one if f.__code__.co_argcount == 2 else two
 
 
+def lean_map(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for all batches of a task that trims memory when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
     """Runs of texts of about `size` bytes, so that the arrays made from them stay small."""
     total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))

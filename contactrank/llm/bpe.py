@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
-from contactrank.llm.blocks import slices, spread
+from contactrank.llm.blocks import lean_map, slices, spread
 
 #: Words and chunks that a worker remembers.
 CACHE = 100_000
@@ -274,6 +274,11 @@ class WordBpe:
         decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(some[words.first], pa.int32()), told), " ")
         return lists, decoded
 
+    def forget(self) -> None:
+        """Empties the caches: a worker outlives the stage that fills them."""
+        self.chunks.clear()
+        self.words.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -301,10 +306,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
                     columns[decoded] = told
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 done += len(texts)
+        bpe.forget()
 
     rows = spread(docs).select(F.struct("*").alias("row"))
     more = [T.StructField(decoded, T.StringType())] if decoded else []
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
+    return rows.mapInArrow(lean_map(run), T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
-from contactrank.llm.blocks import slices
+from contactrank.llm.blocks import lean_map, slices
 from contactrank.llm.components import checkpoint, release
 
 #: Windows in one part of the index: about 140 bytes each.
@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                         found.append(sorted({*(old or ()), *items.get(d, ())}))
                     yield pa.RecordBatch.from_arrays([had.column("row"), pa.array(np.diff(words.first), pa.int64()), pa.array(hits, _SPANS), pa.array(found, pa.list_(pa.string()))], ["row", "n_words", "hits", "items"])
 
-        out = out.mapInArrow(search, schema)
+        out = out.mapInArrow(lean_map(search), schema)
         if k < n_parts - 1:
             out = checkpoint(out)
             index.destroy()

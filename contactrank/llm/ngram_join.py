@@ -96,7 +96,7 @@ def set_classes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame
                 done += len(part)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(label, T.StructType([rows.schema["id"], *T.StructType.fromDDL("th long, n long, cls long, cls2 long")]))
+    return rows.mapInArrow(B.lean_map(label), T.StructType([rows.schema["id"], *T.StructType.fromDDL("th long, n long, cls long, cls2 long")]))
 
 
 def one_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, id_col: str, text: str,
     n_blocks = max(8, -(-n_bytes // BLOCK_BYTES))
     place = F.pmod(F.xxhash64("id", "th"), F.lit(n_blocks)).alias("block")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(one_of_equal, rows.schema).withColumn("block", place)
+    rows = rows.mapInArrow(B.lean_map(one_of_equal), rows.schema).withColumn("block", place)
     chosen = members.where("cls is not null").groupBy("cls", "cls2").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size")).select("first.id", "first.th", "cls", "cls2", "size").withColumn("block", place)
     buckets = B.n_buckets(n_bytes / 6)
     shift = _U(max(0, 64 - SPARE_BITS - max(20, int(n_bytes // 6).bit_length())))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactrank.llm import fingerprints as P
-from contactrank.llm.blocks import slices
+from contactrank.llm.blocks import lean_map, slices
 from contactrank.llm.components import checkpoint, release
 
 MAX_POSITIVE = 8_000
@@ -117,7 +117,7 @@ def _summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.nda
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
 
-    got = blocks.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
+    got = blocks.mapInArrow(lean_map(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
     return got["v"].to_numpy()
 
 
@@ -174,7 +174,7 @@ def _feature_blocks(docs: DataFrame, text: str) -> DataFrame:
             for part in slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array([np.minimum(features(part), 6e4).astype(np.float16).tobytes()], pa.binary())], ["x"])
 
-    return checkpoint(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "x binary"))
+    return checkpoint(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lean_map(run), "x binary"))
 
 
 def _sample(docs: DataFrame, known: DataFrame, id_col: str, text: str, n: int) -> np.ndarray:
@@ -195,7 +195,7 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text: str, n: int) -
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(done, len(part)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], ["h", "x"])
                 done += len(part)
 
-    rows = docs.join(F.broadcast(chosen), id_col).select("h", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "h long, x array<float>")
+    rows = docs.join(F.broadcast(chosen), id_col).select("h", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lean_map(run), "h long, x array<float>")
     got = rows.orderBy("h", "x").limit(n).select("x").toArrow()["x"].combine_chunks()
     flat = got.flatten().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, np.float32)
     return flat.reshape(-1, N_FEATURES)
@@ -225,4 +225,4 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 done += len(part)
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean_map(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
