@@ -96,13 +96,13 @@ def batch_search(contacts: DataFrame, searches: DataFrame, k: int = MAX_RESULTS)
 
     A contact is known by (owner_id, source_file, row_ord), a search by all its three columns: equal rows are one search,
     and others under one search_id are ranked apart. Contacts are matched once for all searches of their owner; only keys
-    and scores go to the ranking, and the text columns come back for the winners. The window's group limit keeps k rows
-    per search and task before the shuffle, so neither a hot owner nor a hot search is gathered.
+    and scores of those that can be among the k best go to the ranking, and the text columns come back for the winners. The
+    window's group limit keeps k rows per search and task before the shuffle, so neither a hot owner nor a hot search is gathered.
     """
     asked = searches.select("search_id", "owner_id", "criteria", tokenize_query(F.col("criteria")).alias("tokens")).where(F.size("tokens") > 0).dropDuplicates(["search_id", "owner_id", "criteria"])
     blocks = checkpoint(in_blocks(asked.withColumn("owner_id", F.col("owner_id").cast("string"))))
     rows = lowered(contacts).withColumn("owner_id", F.col("owner_id").cast("string"))
-    scored = match(rows, blocks, MAX_BROADCAST_BYTES)
+    scored = match(rows, blocks, MAX_BROADCAST_BYTES, k)
     by_search = Window.partitionBy("owner_id", "block", "place").orderBy(F.desc("score"), *_ORDER)
     best = scored.withColumn("rank", F.row_number().over(by_search)).where(F.col("rank") <= k)
     named = blocks.select("owner_id", "block", F.posexplode("searches").alias("place", "s")).select("owner_id", "block", "place", "s.*")

@@ -131,6 +131,25 @@ def test_owners_with_many_searches_and_contacts(spark, monkeypatch):
     assert R.batch_search(rows, asked.where("false")).count() == R.batch_search(rows.where("false"), asked).count() == 0
 
 
+def test_common_tokens_do_not_multiply_contacts_and_searches(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"o{i % 2}", f"f{i % 3}", i, f"ann {i}", rng.choice(["cto", "ceo", "dev"]), rng.choice(["acme", "bolt"]), "", "", rng.choice(["Jan", "May"]), "ann") for i in range(400)]
+    asked = [(i, f"o{i % 2}", rng.choice([f"ann {i * 3}", "ann cto jan", f"{i} bolt; may bolt", "acme ceo ann", "zzz", f"ann {i % 7}x"])) for i in range(200)]
+    frame, searches = contacts(spark, rows), spark.createDataFrame(asked, "search_id long, owner_id string, criteria string")
+    want = []
+    for search, owner, criteria in asked:
+        scored = sorted((-slow(r, tokens_of(criteria))[0], r[1], r[2]) for r in rows if r[0] == owner)
+        want += [(search, n, -s, file, row) for n, (s, file, row) in enumerate(scored[:10], 1) if s]
+    key = lambda r: (r.search_id, r["rank"], r.score, r.source_file, r.row_ord)
+    monkeypatch.setattr(M, "FEW", 12)
+    for max_bytes in (R.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(R, "MAX_BROADCAST_BYTES", max_bytes)
+        assert sorted(map(key, R.batch_search(frame, searches).collect())) == sorted(want)
+    blocks = M.in_blocks(searches.withColumn("tokens", F.split("criteria", "[ ;]+")))
+    pairs = M.match(R.lowered(frame), blocks).groupBy("owner_id", "place").count()
+    assert pairs.agg(F.max("count")).first()[0] <= 10 + 2 * M.FEW  # of 200 contacts
+
+
 def test_cards(spark):
     r = R.result_cards(R.search(contacts(spark, [("o", "f", 0, "", "", "Acme", "", "", "", "Acme"), ("o", "f", 1, "N", "CTO", "Acme", "", "", "", "x")]), "acme")).orderBy("row_ord").collect()
     assert [(x.name, x.subtitle) for x in r] == [("(no name)", "Acme"), ("N", "CTO • Acme")]
