@@ -26,7 +26,7 @@ NOT_PARSED = "Failed to parse file."
 
 _OUT = "source_file string, file_type string, row_ord long, cells array<struct<key:string,value:string>>, error string, row_count long"
 _CELLS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
-_CHUNK = 5_000
+_CHUNK, _CHUNK_CHARS = 5_000, 8 << 20
 
 #: A quoted run (closed or up to the end), a plain run, a comma, or a line break; no backtracking.
 _PIECE = re.compile(r'"((?:[^"]++|"")*+)(?:"|\Z)|([^",\r\n]++)|(,)|(\r\n|\r|\n)')
@@ -174,19 +174,41 @@ def _whole(text: str) -> str:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many small files leave together; those of a large one in batches of _CHUNK."""
+    out = _Rows()
     for batch in batches:
         for name, content in zip(batch.column("source_file").to_pylist(), batch.column("content").to_pylist(), strict=True):
             kind, rows, error = parse_file(name or "", content or "")
-            for begin in range(0, len(rows), _CHUNK):
-                part = rows[begin : begin + _CHUNK]
-                cells = [[{"key": _whole(k), "value": _whole(v)} for k, v in r.items()] for r in part]
-                yield _batch([name] * len(part), [kind] * len(part), list(range(begin, begin + len(part))), cells, [None] * len(part), [None] * len(part))
-            yield _batch([name], [kind], [None], [None], [error], [len(rows)])
-
-
-def _batch(*columns: list) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.int64(), _CELLS, pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source_file", "file_type", "row_ord", "cells", "error", "row_count"])
+            for i, r in enumerate(rows):
+                out.add(name, kind, i, [{"key": _whole(k), "value": _whole(v)} for k, v in r.items()], None, None)
+                if out.full():
+                    yield out.batch()
+            out.add(name, kind, None, None, error, len(rows))
+            if out.full():
+                yield out.batch()
+    yield out.batch()
+
+
+class _Rows:
+    """Rows that have not left yet, _CHUNK rows or _CHUNK_CHARS characters of cells and one row more at most."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.chars = 0
+
+    def add(self, *row: object) -> None:
+        self.rows.append(row)
+        self.chars += sum(len(c["key"]) + len(c["value"]) for c in row[3] or ())
+
+    def full(self) -> bool:
+        return len(self.rows) >= _CHUNK or self.chars >= _CHUNK_CHARS
+
+    def batch(self) -> pa.RecordBatch:
+        types = [pa.string(), pa.string(), pa.int64(), _CELLS, pa.string(), pa.int64()]
+        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(types)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source_file", "file_type", "row_ord", "cells", "error", "row_count"])
+        self.rows, self.chars = [], 0
+        return out
 
 
 def read_files(spark: SparkSession, path: str, which: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from contactrank.operators.contacts import get_field, load_stats
@@ -115,6 +116,18 @@ def test_status_and_nulls(spark):
     assert got == {"a.csv": ("OK", None, 1), "b.pdf": ("ERROR", S.NOT_SUPPORTED, 0), None: ("ERROR", S.NOT_SUPPORTED, 0), "c.json": ("ERROR", S.NOT_PARSED, 0)}
 
 
+def test_rows_of_small_files_leave_together(monkeypatch):
+    files = pa.RecordBatch.from_pydict({"source_file": [f"{i}.csv" for i in range(700)], "content": [f"A\n{i}\n{'x' * (i % 50)}" for i in range(700)]})
+    out = list(S._parse(iter([files, files])))
+    assert [b.num_rows for b in out] == [sum(2 + (i % 50 > 0) for i in range(700)) * 2]
+    monkeypatch.setattr(S, "_CHUNK_CHARS", 100)
+    small = list(S._parse(iter([files, files])))
+    assert pa.Table.from_batches(small).combine_chunks() == pa.Table.from_batches(out).combine_chunks()
+    assert max(sum(len(c["value"]) for r in b.to_pylist() for c in r["cells"] or ()) for b in small) < 150
+    monkeypatch.setattr(S, "_CHUNK", 9)
+    assert {b.num_rows for b in S._parse(iter([files]))} >= {9} and max(b.num_rows for b in S._parse(iter([files]))) == 9
+
+
 def test_files_from_disk(spark, tmp_path):
     (tmp_path / "a.csv").write_text('A\n"x\ny"', encoding="utf-8")
     (tmp_path / "b.json").write_text('[{"k":1}]', encoding="utf-8")
