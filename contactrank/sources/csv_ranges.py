@@ -4,7 +4,8 @@ Whether a place of a file is inside quotes follows from the number of quotes bef
 turns the state over. So what a range does to either state it may start in is one bit, its number of quotes modulo 2.
 
 1. Spark splits a file into ranges of physical lines. A native aggregate gives each range's bit; a running sum over the
-   ranges of a file, a row each, gives the state that each really starts in.
+   ranges of a file, a row each, gives the state that each really starts in. A task reads as many ranges as make
+   TASK_BYTES, so small ranges are no small tasks.
 2. Every range is read again and cut, in its task, into rows that begin and end in it. What it holds of rows that cross
    its ends leaves as fragments: one at its start, one at its end, or all of it.
 3. Fragments of one row are joined and parsed like any row. Their number is that of the ranges at most.
@@ -31,6 +32,8 @@ from contactrank.sources import exports as S
 
 _CUT = "source_file string, at long, place long, cells array<string>, named boolean, fragment string, opens boolean"
 _BATCH = 5_000
+#: Bytes of ranges that one task reads, one range after the other.
+TASK_BYTES = 16 << 20
 _RANGE = ["source_file", "at"]
 
 
@@ -55,6 +58,14 @@ def read_lines(spark: SparkSession, path: str, which: Column | None = None) -> D
     return rows.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"), F.make_valid_utf8("value").alias("line"))
 
 
+def in_tasks(lines: DataFrame) -> DataFrame:
+    """Ranges one after the other in tasks of TASK_BYTES, or as many tasks as there are cores; the ranges stay what they are."""
+    spark = lines.sparkSession
+    n = lines.rdd.getNumPartitions()
+    range_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return lines.coalesce(max(1, min(n, max(-(-n * range_bytes // TASK_BYTES), spark.sparkContext.defaultParallelism))))
+
+
 def start_states(lines: DataFrame) -> DataFrame:
     """source_file, at, inside: whether a range starts inside quotes."""
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
@@ -134,12 +145,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
-def _stitch(key: tuple, table: pa.Table) -> pa.Table:
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that all fragments from one opening on make."""
-    parts = sorted(zip(table["at"].to_pylist(), table["opens"].to_pylist(), table["fragment"].to_pylist(), strict=True), key=lambda p: p[0])
     out = _Cut()
-    out.text((key[0].as_py(), key[1].as_py()), 0, "\n".join(p[2] for p in parts))
-    return pa.Table.from_batches([out.batch()])
+    for batch in batches:
+        for file, owner, text in zip(*(batch.column(c).to_pylist() for c in ("source_file", "owner", "text")), strict=True):
+            out.text((file, owner), 0, text)
+            if len(out.rows) >= _BATCH:
+                yield out.batch()
+    yield out.batch()
 
 
 def cut_rows(lines: DataFrame, states: DataFrame) -> DataFrame:
@@ -147,7 +161,9 @@ def cut_rows(lines: DataFrame, states: DataFrame) -> DataFrame:
     cut = checkpoint(with_states(lines, states).mapInArrow(_cut, _CUT))
     upto = Window.partitionBy("source_file").orderBy("at", "opens")  # two fragments per range at most
     pieces = cut.where("fragment is not null").withColumn("owner", F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(upto))
-    joined = checkpoint(pieces.groupBy("source_file", "owner").applyInArrow(_stitch, _CUT))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "fragment")))  # one fragment per range
+    texts = pieces.groupBy("source_file", "owner").agg(F.array_join(F.transform(in_order, lambda p: p["fragment"]), "\n").alias("text"))
+    joined = checkpoint(texts.mapInArrow(_stitch, _CUT))
     whole = cut.where("fragment is null")
     counts = whole.groupBy(*_RANGE).agg(F.count("*").alias("n"), F.lit(0).alias("n_joined")).unionByName(joined.groupBy(*_RANGE).agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("n_joined")))
     counts = counts.groupBy(*_RANGE).agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("n_joined")).alias("all"))
@@ -183,6 +199,7 @@ def parse_csv_ranges(lines: DataFrame) -> DataFrame:
     Runs at once up to the cut rows, so that a size given by `ranges_of` holds for them.
     """
     with ranges_of(lines.sparkSession, None):
+        lines = in_tasks(lines)
         rows = cut_rows(lines, checkpoint(start_states(lines)))
     first = F.struct("ordinal", "cells")
     heads = rows.where("named or ordinal = 0").groupBy("source_file").agg(F.coalesce(F.min(F.when(F.col("named"), first)), F.min(first)).alias("h")).select("source_file", "h.ordinal", "h.cells")

@@ -93,3 +93,16 @@ def test_no_task_reads_more_than_its_range(spark, tmp_path):
         tasks = lines.select(F.spark_partition_id().alias("p"), F.octet_length("line").alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
     assert len(sizes) > 16 and max(r.n for r in sizes) < 1100 and max(r.n for r in tasks) < 1100
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "1000"
+
+
+def test_small_ranges_are_no_small_tasks(spark, tmp_path):
+    text = "\n".join(f'"a{i}\n",b{i}' for i in range(2000))
+    write(tmp_path, "a.csv", text)
+    with R.ranges_of(spark, 64):
+        lines = R.read_lines(spark, str(tmp_path))
+        states = R.start_states(R.in_tasks(lines))
+        assert lines.rdd.getNumPartitions() > 300 and R.with_states(R.in_tasks(lines), states).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        rows = R.parse_csv_ranges(lines)
+    assert rows.rdd.getNumPartitions() < 50
+    got, n = ranged(spark, tmp_path, 64)
+    assert n > 300 and got["a.csv"] == whole(text)
