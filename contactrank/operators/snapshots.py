@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from uuid import uuid4
 
 import numpy as np
@@ -37,6 +38,9 @@ ROWS_PER_FILE = 500_000
 #: A filter's size, 2 bits a trigram: a file of 50,000 different trigrams lets through 29 % of those that it does not hold.
 FILTER_BITS = 1 << 17
 FILTERS_HELD = 256
+#: Code points that a filter takes at once; they need some 100 bytes each.
+CODES_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 256
 ATTEMPTS = 5
 
 _ROW = [f.name for f in CONTACTS]
@@ -211,6 +215,30 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _runs(files: pa.Array) -> Iterator[tuple[str, int, int]]:
+    """Equal neighbours: value, begin and end."""
+    begin = 0
+    for value, of in groupby(files.to_pylist()):
+        end = begin + sum(1 for _ in of)
+        yield value, begin, end
+        begin = end
+
+
+def _pieces(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """Code points of all texts in pieces of CODES_AT_ONCE; a longer text is cut so that each of its trigrams is in a piece."""
+    held, n = [], 0
+    for text in texts:
+        for at in range(0, len(text or ""), CODES_AT_ONCE):
+            held.append(text[at : at + CODES_AT_ONCE + 2])
+            n += len(held[-1]) + 1
+            if n >= CODES_AT_ONCE:
+                yield _codes("\n".join(held) + "\n\n")
+                held, n = [], 0
+    # no token holds a line break, so trigrams across two texts are never asked for
+    if held:
+        yield _codes("\n".join(held) + "\n\n")
+
+
 def trigram_filters(rows: DataFrame) -> DataFrame:
     """file and bits, from rows of a file's name and texts: filters per batch, then their union per file."""
 
@@ -223,14 +251,14 @@ def trigram_filters(rows: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            if len(held) >= FILTERS_HELD:
-                yield told()
-            texts: dict[str, list[str]] = {}
-            for file, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts.setdefault(file, []).extend(f for f in fields if f)
-            for file, of in texts.items():
-                # no token holds a line break, so trigrams across two texts are never asked for
-                held.setdefault(file, np.zeros(FILTER_BITS, bool))[_places(_codes("\n".join(of) + "\n\n"))] = True
+            files, *fields = batch.columns
+            for file, begin, end in _runs(files):
+                if file not in held and len(held) >= FILTERS_HELD:
+                    yield told()
+                bits = held.setdefault(file, np.zeros(FILTER_BITS, bool))
+                some = ((at, min(ROWS_AT_ONCE, end - at)) for at in range(begin, end, ROWS_AT_ONCE))
+                for codes in _pieces(t for at, n in some for f in fields for t in f.slice(at, n).to_pylist()):
+                    bits[_places(codes)] = True
         yield told()
 
     def union(key: tuple, table: pa.Table) -> pa.Table:
@@ -241,6 +269,12 @@ def trigram_filters(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(some, kind).groupBy("file").applyInArrow(union, kind)
 
 
+def _holds(bits: bytes, asked: list[np.ndarray]) -> bool:
+    """Whether a filter has all places of one of the tokens."""
+    of = np.frombuffer(bits, np.uint8)
+    return any((of[p >> 3] >> (7 - (p & 7)) & 1).all() for p in asked)
+
+
 def files_with(index: DataFrame, tokens: list[str]) -> DataFrame:
     """The files that may hold one of the tokens."""
     if any(len(t) < 3 for t in tokens):
@@ -249,8 +283,7 @@ def files_with(index: DataFrame, tokens: list[str]) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in batch.column("bits").to_pylist()]
-            found = [any(b[p].all() for p in asked) for b in bits]
+            found = [_holds(b.as_py(), asked) for b in batch.column("bits")]
             yield pa.RecordBatch.from_arrays([batch.column("file").filter(pa.array(found, pa.bool_()))], names=["file"])
 
     return index.select("file", "bits").mapInArrow(keep, "file string")

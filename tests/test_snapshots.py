@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,20 @@ def test_guard(spark):
     asked = spark.createDataFrame([(1, "a", "x"), (2, "a", " ,;"), (3, "a", None), (4, "b", "x"), (5, None, "x"), (1, "a", "x")], "search_id int, owner_id string, criteria string")
     got = sorted((r.search_id, r.runs) for r in R.search_guard(contacts(spark, rows_of("a", 3)), asked).collect())
     assert got == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, False)]
+
+
+def test_filters_take_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé日 ") for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "x" * 500]
+    rows = spark.createDataFrame([(f"f{i // 100}", t, t) for i, t in enumerate(texts)], "file string, a string, b string").coalesce(1)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(f"f{i // 100}", set()).update((t or "")[k : k + 3] for k in range(len(t or "") - 2))
+    for file, bits in N.trigram_filters(rows).collect():
+        assert all(N._holds(bits, [N._places(N._codes(g))]) for g in want[file])
+        assert not N._holds(bits, [N._places(N._codes("qqq"))]) and N._holds(bits, [N._places(N._codes(g)) for g in ("qqq", min(want[file]))])
+    monkeypatch.setattr(N, "CODES_AT_ONCE", 64)
+    pieces = list(N._pieces(iter(texts)))
+    assert max(map(len, pieces)) <= 2 * 64 + 8  # whatever the number and length of texts
+    parts = ["".join(map(chr, p)) for p in pieces]
+    assert {p[k : k + 3] for p in parts for k in range(len(p) - 2) if "\n" not in p[k : k + 3]} == set().union(*want.values())
